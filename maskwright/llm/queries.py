@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.catalog import Catalog
 from maskwright.llm.common import table
 from maskwright.llm.exact_dedup import exact_dedup
+from maskwright.llm.token_binary import read_documents, write_tokens
 
 CATALOG = Catalog()
 
@@ -23,3 +24,16 @@ CATALOG = Catalog()
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, largest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def byte_bpe() -> str:
+    """The path of the byte-level tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@CATALOG.query("op5_token_binary")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_documents(write_tokens(docs, byte_bpe(), end_id=0))
