@@ -9,6 +9,7 @@ from maskwright.catalog import Catalog
 from maskwright.llm.common import table
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.token_binary import read_documents, write_tokens
+from maskwright.llm.warc import read_warc, write_warc
 
 CATALOG = Catalog()
 
@@ -37,3 +38,19 @@ def byte_bpe() -> str:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_documents(write_tokens(docs, byte_bpe(), end_id=0))
+
+
+@CATALOG.query(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first, count(*) OVER (PARTITION BY d) AS copies FROM p)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest,
+           CASE WHEN n >= 100 AND copies > 1 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND copies > 1 AND page_id <> first THEN first END AS refers_to
+    FROM g
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return read_warc(write_warc(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
