@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.catalog import Catalog
+from maskwright.llm.chat_format import chat_digests, format_chats
 from maskwright.llm.common import table
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.token_binary import read_documents, write_tokens
@@ -54,3 +55,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return read_warc(write_warc(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@CATALOG.query(
+    "op3_chat_format",
+    r"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+    m AS (SELECT *, chr(10) || '</turn>' || chr(10) AS tail FROM c),
+    e AS (
+      SELECT *, CASE WHEN regexp_matches(text, '\\(### |</turn>)') OR strpos(text || tail, tail) <> length(text) + 1
+                     THEN regexp_replace(text, '(\\*)(### |</turn>)', '\\\1\2', 'g') ELSE text END AS body
+      FROM m)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length('### ' || role || ': ' || body || tail)) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = dict(rows.dtypes)
+    planted = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat_digests(format_chats(rows.unionByName(planted)))
