@@ -9,6 +9,7 @@ from maskwright.catalog import Catalog
 from maskwright.llm.chat_format import chat_digests, format_chats
 from maskwright.llm.common import table
 from maskwright.llm.exact_dedup import exact_dedup
+from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.token_binary import read_documents, write_tokens
 from maskwright.llm.warc import read_warc, write_warc
 
@@ -82,3 +83,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = dict(rows.dtypes)
     planted = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat_digests(format_chats(rows.unionByName(planted)))
+
+
+@CATALOG.query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    profiles = train(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
