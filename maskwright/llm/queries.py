@@ -10,6 +10,7 @@ from maskwright.llm.chat_format import chat_digests, format_chats
 from maskwright.llm.common import table
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.language_id import held_out, identify, train
+from maskwright.llm.mixing import mix
 from maskwright.llm.token_binary import read_documents, write_tokens
 from maskwright.llm.warc import read_warc, write_warc
 
@@ -90,3 +91,41 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     profiles = train(docs.where(~F.col("held_out")))
     return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+REPETITIONS = 2.0  # passes over the smallest source for one over the largest
+
+
+@CATALOG.query(
+    "op2_mixing",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+    s AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY source),
+    r AS (SELECT max(tokens)::DOUBLE AS most, min(tokens) FILTER (tokens > 0)::DOUBLE AS least FROM s),
+    b AS (
+      SELECT 0 AS i, 0.0::DOUBLE AS low, CASE WHEN pow(least / most, -1.0) <= 2.0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS high, least / most AS q FROM r
+      UNION ALL
+      SELECT i + 1, CASE WHEN pow(q, (low + high) / 2 - 1) <= 2.0 THEN low ELSE (low + high) / 2 END,
+             CASE WHEN pow(q, (low + high) / 2 - 1) <= 2.0 THEN (low + high) / 2 ELSE high END, q FROM b WHERE i < 48),
+    a AS (SELECT round(high, 6) AS alpha FROM b WHERE i = 48),
+    p AS (
+      SELECT s.source, CASE WHEN tokens > 0 THEN round(pow(tokens / most, alpha - 1), 6) ELSE 1.0 END AS epochs,
+             greatest(CAST(ceil(tokens / 262144.0) AS BIGINT), 1) AS n_blocks
+      FROM s, r, a),
+    k AS (
+      SELECT doc_id, d.source, n, epochs, CAST(floor(epochs) AS BIGINT) AS whole,
+             ('0x' || substr(md5('17:' || doc_id), 1, 12))::BIGINT % n_blocks AS mix_block
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    w AS (
+      SELECT *, sum(n) OVER (PARTITION BY source, mix_block ORDER BY md5('17:' || (whole + 1) || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS running,
+             sum(n) OVER (PARTITION BY source, mix_block) AS total
+      FROM k),
+    t AS (SELECT *, whole + CASE WHEN epochs > whole AND 2 * running - n <= 2 * (epochs - whole) * total THEN 1 ELSE 0 END AS times FROM w),
+    e AS (SELECT *, unnest(range(1, times + 1)) AS mix_epoch FROM t)
+    SELECT doc_id, source, CAST(mix_epoch AS INTEGER) AS mix_epoch, mix_block, md5('17:' || mix_epoch || ':' || doc_id) AS mix_key FROM e
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, repetitions=REPETITIONS, carry=["doc_id", "source"])
