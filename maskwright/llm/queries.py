@@ -11,6 +11,7 @@ from maskwright.llm.common import table
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.mixing import mix
+from maskwright.llm.sentencepiece_sampling import sample_segmentations
 from maskwright.llm.token_binary import read_documents, write_tokens
 from maskwright.llm.warc import read_warc, write_warc
 
@@ -129,3 +130,16 @@ REPETITIONS = 2.0  # passes over the smallest source for one over the largest
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs, repetitions=REPETITIONS, carry=["doc_id", "source"])
+
+
+def piece_model() -> str:
+    """The path of the SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@CATALOG.query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sample_segmentations(docs, piece_model(), with_ids=False)
