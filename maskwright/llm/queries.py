@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.catalog import Catalog
 from maskwright.llm.chat_format import chat_digests, format_chats
 from maskwright.llm.common import table
+from maskwright.llm.embedding_dedup import near_dedup
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.mixing import mix
@@ -143,3 +144,8 @@ def piece_model() -> str:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sample_segmentations(docs, piece_model(), with_ids=False)
+
+
+@CATALOG.query("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select("vec_id", "n_links", "component_id", "kept")
