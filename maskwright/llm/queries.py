@@ -12,6 +12,7 @@ from maskwright.llm.embedding_dedup import near_dedup
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.mixing import mix
+from maskwright.llm.ngram_join import jaccard_join
 from maskwright.llm.sentencepiece_sampling import sample_segmentations
 from maskwright.llm.token_binary import read_documents, write_tokens
 from maskwright.llm.warc import read_warc, write_warc
@@ -149,3 +150,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("op9_embedding_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@CATALOG.query(
+    "op4_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+    n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.k + y.k - common)),
+    r AS (SELECT doc_id AS a, doc_id AS low FROM n UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.a)
+    SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(low) AS low FROM r GROUP BY a) c ON c.a = d.doc_id
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
