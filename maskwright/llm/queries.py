@@ -10,6 +10,7 @@ from maskwright.llm.chat_format import chat_digests, format_chats
 from maskwright.llm.common import table
 from maskwright.llm.embedding_dedup import near_dedup
 from maskwright.llm.exact_dedup import exact_dedup
+from maskwright.llm.html_text import main_text
 from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.mixing import mix
 from maskwright.llm.ngram_join import jaccard_join
@@ -171,3 +172,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@CATALOG.query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
