@@ -21,7 +21,7 @@ CHUNK = 1024  # members of a list that are compared in one task
 SALTS = 16
 MANY = 2_000_000  # rows up to which identifiers are broadcast; beyond, they are joined by a shuffle
 _TEXTS = "doc_id long, n long, code long, code2 long, sketch binary"
-_PARTS = "bucket int, low binary, ref binary, codes binary, sizes binary"
+_PARTS = "bucket int, low binary, counts binary, codes binary"
 _LISTS = "list long, code long"
 
 
@@ -122,29 +122,31 @@ def text_codes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _dealt(buckets: int):
-    """Signatures of texts, packed: per bucket their low halves, the set of each, and the sets' codes and sizes."""
+    """Signatures of texts, packed: per bucket their low halves, how many come from each set, and the sets' codes."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        codes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        codes = [np.zeros(0, np.uint64)]
         n_held = n_sets = 0
         seen: set[int] = set()
 
         def passed():
             sig, ref = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            code, size = np.concatenate(codes), np.concatenate(sizes)
+            code = np.concatenate(codes)
+            rise = np.argsort(ref, kind="stable")  # a set of two bands comes twice
+            sig, ref = sig[rise], ref[rise]
             bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
             bucket, low, ref = bucket[order], sig[order].astype(np.uint32), ref[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                used, local = np.unique(ref[a:b], return_inverse=True)
-                yield int(bucket[a]), low[a:b].tobytes(), local.astype(np.uint32).tobytes(), code[used].tobytes(), size[used].tobytes()
+                used, count = np.unique(ref[a:b], return_counts=True)  # refs rise within a bucket: counts say whose each signature is
+                yield int(bucket[a]), low[a:b].tobytes(), count.astype(np.uint32).tobytes(), code[used].tobytes()
 
         def rows():
             found = list(zip(*passed(), strict=True))
             for i in range(0, len(found[0]), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(found[0][i : i + 256], pa.int32()), *(pa.array(c[i : i + 256], pa.binary()) for c in found[1:])], names=["bucket", "low", "ref", "codes", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][i : i + 256], pa.int32()), *(pa.array(c[i : i + 256], pa.binary()) for c in found[1:])], names=["bucket", "low", "counts", "codes"])
 
         for batch in batches:
             for a, b in text_slices(batch.column(0), SLICE):
@@ -160,11 +162,10 @@ def _dealt(buckets: int):
                 ok = fresh[ref]
                 held.append((sig[ok], ref[ok] + n_sets))
                 codes.append(code)
-                sizes.append(np.diff(first).astype(np.uint32))
                 n_held, n_sets = n_held + int(ok.sum()), n_sets + len(code)
                 if n_held >= HELD:
                     yield from rows()
-                    held, codes, sizes, n_held, n_sets = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0, 0
+                    held, codes, n_held, n_sets = [], [np.zeros(0, np.uint64)], 0, 0
         if n_held:
             yield from rows()
 
@@ -185,9 +186,8 @@ def _lists(batches):
         nonlocal held, n_held, carried
         low, code = [], []
         for r in held:
-            codes = _words64(r[3])
             low.append(np.frombuffer(r[1], np.uint32))
-            code.append(codes[np.frombuffer(r[2], np.uint32)])
+            code.append(np.repeat(_words64(r[3]), np.frombuffer(r[2], np.uint32)))
         by_signature = carried is not None or not last
         if carried is not None:
             low.append(carried[0])
@@ -217,7 +217,7 @@ def _lists(batches):
             yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + 100_000]), pa.array(members[i : i + 100_000])], names=["list", "code"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "ref", "codes", "sizes")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "counts", "codes")), strict=True):
             if bucket is not None and row[0] != bucket and held:
                 yield from close(True)
             if row[0] != bucket:
@@ -299,9 +299,10 @@ def _candidates(batches):
             ok = np.fromiter(((int(code[p]), int(code[q])) not in failed and (int(code[q]), int(code[p])) not in failed for p, q in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
             i, j, d = i[ok], j[ok], d[ok]
         if len(i):
-            pick = spanning(comp, i, j, d)
+            late = len(few) < len(rows)  # not the first round: what is left is checked whole while it is little
+            pick = np.arange(len(i)) if late and len(i) <= 4 * len(rows) else spanning(comp, i, j, d)
             x, y = code[i[pick]], code[j[pick]]
-            yield np.minimum(x, y), np.maximum(x, y)
+            yield np.full(len(pick), rows[0][0]), np.minimum(x, y), np.maximum(x, y)
 
     def groups():
         held: list = []
@@ -315,14 +316,17 @@ def _candidates(batches):
 
     out: list = []
     n = 0
-    for a, b in groups():
-        out.append((a, b))
-        n += len(a)
+    def passed():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["list", "a", "b"])
+
+    for found in groups():
+        out.append(found)
+        n += len(found[0])
         if n > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
+            yield passed()
             out, n = [], 0
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], names=["a", "b"])
+        yield passed()
 
 
 def _sets(batches):
@@ -375,31 +379,37 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = empty.select(F.col("id").alias("a"), F.col("id").alias("b"))
     failed = links
     comps = empty.select(F.col("id").alias("code"), F.col("id").alias("comp"))
+    sizes = lists.groupBy("list").agg(F.count("*").alias("g"))
+    chunk = lambda salt, n: F.pmod(F.xxhash64("code", F.lit(salt)), F.ceil(F.col(n) / CHUNK)).cast("long")
+    pieces = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / CHUNK) - 1).cast("long")))
+    # at first every chunk of a list by itself; what that leaves open comes in the next rounds
+    members = lists.join(sizes, "list").withColumn("part", chunk(1, "g")).select("list", "part", "code", F.col("code").alias("comp"), F.lit(True).alias("few"))
+    lost = failed.groupBy(F.col("a").alias("code")).agg(F.collect_list("b").alias("failed"))
+    large = keep(sizes.where(F.col("g") > CHUNK).select("list"), "large")
     first = True
     while True:
-        members = lists.join(reps.select("code", "n", "sketch"), "code").join(comps, "code", "left").withColumn("comp", F.coalesce("comp", "code"))
-        sizes = lists.groupBy("list").agg(F.count("*").alias("g"))
-        if first:  # every chunk of a list by itself; what is left open comes in the next round
-            members = members.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("code"), F.ceil(F.col("g") / CHUNK)).cast("long"))
-            members = members.select("list", "part", "code", "n", "sketch", "comp", F.lit(True).alias("few"), F.lit(None).cast("array<long>").alias("failed"))
-        else:
-            shares = lists.join(comps, "code", "left").withColumn("comp", F.coalesce("comp", "code")).groupBy("list", "comp").agg(F.count("*").alias("k"))
-            main = shares.groupBy("list").agg(F.sum("k").alias("g"), F.max(F.struct("k", "comp")).alias("m")).where("g > m.k").select("list", "g", F.col("m.comp").alias("main"), (F.col("g") - F.col("m.k")).alias("rest"))
-            lost = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("code")).agg(F.collect_list("b").alias("failed"))
-            members = members.join(main, "list").join(lost, "code", "left")
-            chunk = lambda salt, n: F.pmod(F.xxhash64("code", F.lit(salt)), F.ceil(F.col(n) / CHUNK))
-            every = members.select("*", F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rest") / CHUNK) - 1)).alias("r")).withColumn("part", F.col("r") * 1_000_000_000 + chunk(1, "g"))
-            minor = members.where("comp <> main").select("*", F.lit(True).alias("few"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("g") / CHUNK) - 1)).alias("r")).withColumn("part", chunk(2, "rest") * 1_000_000_000 + F.col("r"))
-            columns = ["list", "part", "code", "n", "sketch", "comp", "few", "failed"]
-            members = every.select(columns).unionByName(minor.select(columns))
-        pairs = members.repartition(4 * shuffles, "list", "part").sortWithinPartitions("list", "part").mapInArrow(_candidates, "a long, b long")
-        pairs = keep(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
+        members = members.join(reps.select("code", "n", "sketch"), "code")
+        members = members.withColumn("failed", F.lit(None).cast("array<long>")) if first else members.join(lost, "code", "left")
+        pairs = members.repartition(4 * shuffles, "list", "part").sortWithinPartitions("list", "part").mapInArrow(_candidates, "list long, a long, b long")
+        pairs = keep(pairs, "pairs")
+        if pairs.isEmpty() and not (first and not large.isEmpty()):
             return texts.select("doc_id", "n", "code"), comps
-        checked = keep(_verify(docs, pairs, reps, id_col, text_col), "checked")
-        failed = keep(failed.union(checked.where("not linked").select("a", "b")), "failed")
+        checked = keep(_verify(docs, pairs.select("a", "b").distinct(), reps, id_col, text_col), "checked")
+        bad = checked.where("not linked").select("a", "b")
         links = keep(links.union(checked.where("linked").select("a", "b")), "linked")
         comps = components(links).select(F.col("node").alias("code"), F.col("component").alias("comp"))
+        # A list is settled when each pair that its forest needed is a link: then all pairs that may be links lie in one component.
+        open_lists = pairs.join(bad, ["a", "b"], "left_semi").select("list")
+        open_lists = keep((open_lists.union(large) if first else open_lists).distinct(), "open")
+        failed = keep(failed.union(bad), "failed")
+        lost = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("code")).agg(F.collect_list("b").alias("failed"))
+        known = lists.join(open_lists, "list", "left_semi").join(comps, "code", "left").withColumn("comp", F.coalesce("comp", "code"))
+        shares = known.groupBy("list", "comp").agg(F.count("*").alias("k"))
+        main = shares.groupBy("list").agg(F.sum("k").alias("g"), F.max(F.struct("k", "comp")).alias("m")).where("g > m.k").select("list", "g", F.col("m.comp").alias("main"), (F.col("g") - F.col("m.k")).alias("rest"))
+        known = known.join(main, "list")
+        every = known.select("list", "code", "comp", "g", F.lit(False).alias("few"), pieces("rest").alias("r")).withColumn("part", F.col("r") * 1_000_000_000 + chunk(1, "g"))
+        minor = known.where("comp <> main").select("list", "code", "comp", "rest", F.lit(True).alias("few"), pieces("g").alias("r")).withColumn("part", chunk(2, "rest") * 1_000_000_000 + F.col("r"))
+        members = every.select("list", "part", "code", "comp", "few").unionByName(minor.select("list", "part", "code", "comp", "few"))
         first = False
 
 
