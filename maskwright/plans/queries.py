@@ -3,5 +3,8 @@
 from __future__ import annotations
 
 from maskwright.catalog import Catalog
+from maskwright.plans import detection
 
 CATALOG = Catalog()
+for module in (detection,):
+    module.register(CATALOG)
