@@ -19,6 +19,10 @@ class Spark:
         """``s`` without the only match of an anchored pattern."""
         return f"regexp_replace({s}, {self.lit(pattern)}, '')"
 
+    def replace_all(self, s: str, pattern: str, group: int, tail: str) -> str:
+        """Every match by one of its groups and ``tail``."""
+        return f"regexp_replace({s}, {self.lit(pattern)}, '${group}{tail}')"
+
     def digits(self, s: str) -> str:
         return f"regexp_replace({s}, '[^0-9]', '')"
 
@@ -45,6 +49,9 @@ class Duck(Spark):
     def like(self, s: str, pattern: str) -> str:
         return f"regexp_matches({s}, {self.lit(pattern)})"
 
+    def replace_all(self, s: str, pattern: str, group: int, tail: str) -> str:
+        return f"regexp_replace({s}, {self.lit(pattern)}, '\\{group}{tail}', 'g')"
+
     def digits(self, s: str) -> str:
         return f"regexp_replace({s}, '[^0-9]', '', 'g')"
 

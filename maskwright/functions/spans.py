@@ -78,13 +78,22 @@ def _found(rule: Rule, text: str) -> str:
     return f"(CASE WHEN {SPARK.like(text, rule.hint)} THEN CAST(transform({bound}, b -> {out})[0] AS array<{CANDIDATE}>) ELSE CAST(array() AS array<{CANDIDATE}>) END)"
 
 
+def bound(docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """``docs`` with a column that is worked out once per row.
+
+    The one-element generator is a wall for the optimiser, which would
+    otherwise copy a costly expression into each later filter and reference.
+    """
+    return docs.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def with_candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", to: str = "candidates") -> DataFrame:
     """``docs`` with an array of candidates of the rules, in order of start, end and type; one pass over the text, no shuffle.
 
     Confidence is 1. A null text has none.
     """
     every = F.concat(*[F.expr(_found(r, text)) for r in rules])
-    return docs.withColumn(to, in_order(every))
+    return bound(docs, to, in_order(every))
 
 
 def in_order(candidates: Column) -> Column:
@@ -93,14 +102,14 @@ def in_order(candidates: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["c"])
 
 
-def rule_spans_sql(rule: Rule, docs: str, text: str = "text") -> str:
-    """DuckDB SQL for the spans of one rule: doc_id, type, start, end, confidence, sources."""
+def rule_spans_sql(rule: Rule, docs: str, text: str = "text", places: bool = False) -> str:
+    """DuckDB SQL for the spans of one rule: doc_id, type, start, end, confidence, sources [, first and last character]."""
     d = DUCK
     return f"""
-    SELECT doc_id, '{rule.type}' AS type, s AS start_byte, s + strlen(kept) AS end_byte, 1.0::DOUBLE AS confidence, '{"regex,validator" if rule.validated else "regex"}' AS sources FROM (
-      SELECT *, {strip_value(d, rule, "cut")} AS kept, b + strlen(match) - strlen(value) AS s FROM (
+    SELECT doc_id, '{rule.type}' AS type, s AS start_byte, s + strlen(kept) AS end_byte, 1.0::DOUBLE AS confidence, '{"regex,validator" if rule.validated else "regex"}' AS sources{", c AS cstart, c + length(kept) AS cend" if places else ""} FROM (
+      SELECT *, {strip_value(d, rule, "cut")} AS kept, b + strlen(match) - strlen(value) AS s, length(array_to_string(g[1 : i], '') || array_to_string(m[1 : i - 1], '')) + length(match) - length(value) AS c FROM (
         SELECT *, {cut_value(d, rule, "value")} AS cut FROM (
-          SELECT doc_id, m[i] AS match, v[i] AS value, right(CASE WHEN i > 1 THEN m[i - 1] ELSE '' END, 3) || g[i] AS left_, g[i + 1] || CASE WHEN i < len(m) THEN m[i + 1] ELSE '' END AS right_,
+          SELECT doc_id, m, g, i, m[i] AS match, v[i] AS value, right(CASE WHEN i > 1 THEN m[i - 1] ELSE '' END, 3) || g[i] AS left_, g[i + 1] || CASE WHEN i < len(m) THEN m[i + 1] ELSE '' END AS right_,
                  strlen(array_to_string(g[1 : i], '') || array_to_string(m[1 : i - 1], '')) AS b,
                  string_split(substr({text}, 1, length(array_to_string(g[1 : i], '') || array_to_string(m[1 : i - 1], ''))), chr(10))[-1] AS before_,
                  string_split(substr({text}, length(array_to_string(g[1 : i], '') || array_to_string(m[1 : i], '')) + 1), chr(10))[1] AS after_

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.checks import INN_PERSON_11, INN_PERSON_12
+from maskwright.functions.spans import bound
 from maskwright.sources.tables import table
 
 
@@ -61,7 +62,7 @@ def text_sql(k: str) -> str:
 
 def ru_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of each customer."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(text_sql("c_custkey").replace("\n", " ")).alias("text"))
+    return bound(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), "text", F.expr(text_sql("doc_id")))
 
 
 def ru_docs_sql() -> str:
