@@ -11,7 +11,7 @@ from maskwright.functions.crypto import seal, token_sql, unseal
 from maskwright.functions.dialect import DUCK, SPARK
 from maskwright.functions.registry import TYPES
 from maskwright.operators import entities as E
-from maskwright.operators import scoring, vault
+from maskwright.operators import scoring, vault, windows
 from maskwright.plans import entity_sql as S
 from maskwright.sources.synthetic import ru_docs, ru_docs_sql
 from maskwright.sources.tables import table
@@ -168,3 +168,63 @@ def register(catalog: Catalog) -> None:
         kinds = spark.range(1).select(F.explode(F.array(*map(F.lit, ("view", "click", "purchase", "signup", "error", "refund")))).alias("event_type"))
         seen = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
         return kinds.join(seen, "event_type", "left").select("event_type", F.col("n").isNull().alias("absent"))
+
+    hexes = "h AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents)"
+    cont = lambda i: f"(({i}) < n AND substr(h, 2 * ({i}) + 1, 1) IN ('8', '9', 'A', 'B'))"
+    back = lambda e: f"CASE WHEN {cont(e)} THEN CASE WHEN {cont(e + ' - 1')} THEN CASE WHEN {cont(e + ' - 2')} THEN {e} - 3 ELSE {e} - 2 END ELSE {e} - 1 END ELSE {e} END"
+    ahead = lambda e: f"CASE WHEN {cont(e)} THEN CASE WHEN {cont(e + ' + 1')} THEN CASE WHEN {cont(e + ' + 2')} THEN {e} + 3 ELSE {e} + 2 END ELSE {e} + 1 END ELSE {e} END"
+
+    @catalog.query(
+        "window_split",
+        f"""WITH RECURSIVE {hexes}, w AS (
+          SELECT doc_id, h, n, 0 AS i, 0 AS s, {back('least(512, n)')} AS e FROM h WHERE n > 0
+          UNION ALL SELECT doc_id, h, n, i + 1, s2, {back('least(s2 + 512, n)')} FROM (SELECT *, {ahead('(e - 64)')} AS s2 FROM w WHERE e < n))
+        SELECT doc_id, CAST(i AS INTEGER) AS "window", CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte FROM w""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return windows.split_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 512, 64)
+
+    planned = "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 7 = 3 THEN 0 ELSE (c_custkey % 4 + 1) * 80 + 20 END AS n_chars, CASE WHEN c_custkey % 7 = 3 THEN 0 ELSE 100 END AS total, CASE WHEN c_custkey % 11 = 4 THEN 20 ELSE 64 END AS capacity FROM customer"
+    spread = "SELECT c_custkey AS doc_id, i, CASE WHEN i = 0 THEN 0 WHEN c_custkey % 13 = 6 THEN i * 80 + 25 ELSE i * 80 END AS start_, CASE WHEN c_custkey % 17 = 8 AND i = c_custkey % 4 THEN (i + 1) * 80 ELSE (i + 1) * 80 + 20 END AS end_, 30 + i AS tokens"
+
+    @catalog.query(
+        "window_plan_validation",
+        f"""WITH p AS ({planned}), w AS ({spread} FROM (SELECT c_custkey, unnest(range(0, c_custkey % 4 + 1)) AS i FROM customer WHERE c_custkey % 7 <> 3)),
+        l AS (SELECT *, lag(start_) OVER o AS ps, lag(end_) OVER o AS pe FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        d AS (SELECT doc_id, bool_and(start_ >= 0 AND end_ > start_ AND tokens > 0 AND CASE WHEN pe IS NULL THEN start_ = 0 ELSE start_ > ps AND end_ > pe AND start_ < pe END) AS ok, max(tokens) AS most, max(end_) AS reach, count(*) AS k FROM l GROUP BY doc_id)
+        SELECT p.doc_id, total >= 0 AND capacity > 0 AND capacity > 16 AND CASE WHEN coalesce(k, 0) = 0 THEN total = 0 ELSE n_chars > 0 AND total > 0 AND ok AND most <= capacity AND reach = n_chars END AS valid FROM p LEFT JOIN d USING (doc_id)""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        customer = table(spark, sf_dir, "customer").select("c_custkey")
+        plans = customer.select(*[F.expr(x) for x in ("c_custkey AS doc_id", "CASE WHEN c_custkey % 7 = 3 THEN 0 ELSE (c_custkey % 4 + 1) * 80 + 20 END AS n_chars", "CASE WHEN c_custkey % 7 = 3 THEN 0 ELSE 100 END AS total", "CASE WHEN c_custkey % 11 = 4 THEN 20 ELSE 64 END AS capacity")])
+        parts = customer.where("c_custkey % 7 <> 3").select("c_custkey", F.explode(F.expr("sequence(0, CAST(c_custkey % 4 AS INT))")).alias("i"))
+        parts = parts.select(F.col("c_custkey").alias("doc_id"), "i", F.expr("CASE WHEN i = 0 THEN 0 WHEN c_custkey % 13 = 6 THEN i * 80 + 25 ELSE i * 80 END AS start"), F.expr("CASE WHEN c_custkey % 17 = 8 AND i = c_custkey % 4 THEN (i + 1) * 80 ELSE (i + 1) * 80 + 20 END AS end"), F.expr("30 + i AS tokens"))
+        return windows.plan_is_valid(plans, parts, 16)
+
+    cumulative = " UNION ALL ".join(f"SELECT event_type, {b}::DOUBLE AS le, {BUCKETS[i - 1] if i else 0.0}::DOUBLE AS low, count(*) FILTER (value <= {b}) AS n, count(*) FILTER (value <= {BUCKETS[i - 1] if i else -1.0}) AS below, count(*) AS total FROM events GROUP BY event_type" for i, b in enumerate(BUCKETS))
+
+    @catalog.query("histogram_quantile", f"WITH c AS ({cumulative}), r AS (SELECT *, 0.95 * total AS rank FROM c) SELECT event_type, round(coalesce(min(low + (le - low) * (rank - below) / (n - below)) FILTER (n >= rank AND below < rank), {BUCKETS[-1]}), 6) AS p95 FROM r GROUP BY event_type")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        wide = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("total"), *[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(BUCKETS)])
+        rank = F.lit(0.95) * F.col("total")
+        value = F.lit(BUCKETS[-1])
+        for i in range(len(BUCKETS) - 1, -1, -1):
+            low, below = (F.lit(BUCKETS[i - 1]), F.col(f"b{i - 1}")) if i else (F.lit(0.0), F.lit(0))
+            value = F.when(F.col(f"b{i}") >= rank, low + (F.lit(BUCKETS[i]) - low) * (rank - below) / (F.col(f"b{i}") - below)).otherwise(value)
+        return wide.select("event_type", F.round(value, 6).alias("p95"))
+
+    @catalog.query("alert_hold_islands", f"WITH {days}, f AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM d WHERE errors / n > 0.2) SELECT CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, count(*) AS n_days FROM f GROUP BY island HAVING count(*) >= 2")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        daily = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("r")).where("r > 0.2")
+        islands = daily.withColumn("island", F.unix_date("day") - F.row_number().over(Window.orderBy("day")))
+        out = islands.groupBy("island").agg(F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"), F.count("*").alias("n_days"))
+        return out.where("n_days >= 2").drop("island")
+
+    @catalog.query("revoke_scope", f"{valued} SELECT scope, count(DISTINCT (type, original)) AS n FROM v WHERE scope <> 's1' GROUP BY scope")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return vault.mappings(_owned(spark, sf_dir), KEY).where("scope <> 's1'").groupBy("scope").agg(F.count("*").alias("n"))
+
+    @catalog.query("token_scope_isolation", f"{valued} SELECT type, original, count(DISTINCT scope) AS n_scopes, count(DISTINCT scope) AS n_tokens FROM v GROUP BY ALL")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vault.mappings(_owned(spark, sf_dir), KEY)
+        return rows.groupBy("type", "original").agg(F.count_distinct("scope").alias("n_scopes"), F.count_distinct("token").alias("n_tokens"))
