@@ -15,6 +15,7 @@ from maskwright.operators import scoring, vault, windows
 from maskwright.plans import entity_sql as S
 from maskwright.sources.synthetic import ru_docs, ru_docs_sql
 from maskwright.sources.tables import table
+from maskwright.streaming.process import process_stream
 from maskwright.streaming.rates import error_rates, streamed
 
 KEY = bytes(range(32))
@@ -87,12 +88,23 @@ def register(catalog: Catalog) -> None:
         held = events.groupBy("scope", "token").agg((F.min("at") + F.expr("INTERVAL 2 DAY")).alias("expires_at"), F.min("event_type").alias("original"))
         return vault.resolve(events.select("event_id", "scope", "token", "at"), held).select("event_id", "original")
 
-    @catalog.query("process_idempotent", "WITH r AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN '<' || upper(o_orderstatus) || '>' ELSE o_orderstatus END AS payload FROM orders), w AS (SELECT *, first(payload) OVER o AS original, '<' || upper(first(payload) OVER o) || '>' AS result, row_number() OVER o AS k FROM r WINDOW o AS (PARTITION BY id ORDER BY seq)), d AS (SELECT *, CASE WHEN k = 1 THEN 'masked' WHEN payload = original THEN 'stored' WHEN payload = result THEN 'restored' ELSE 'conflict' END AS outcome FROM w) SELECT id AS payload_id, seq, outcome, CASE WHEN outcome IN ('masked', 'stored') THEN result WHEN outcome = 'restored' THEN original END AS reply FROM d")
+    requests = "WITH r AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN '<' || upper(o_orderstatus) || '>' ELSE o_orderstatus END AS payload FROM orders), w AS (SELECT *, first(payload) OVER o AS original, '<' || upper(first(payload) OVER o) || '>' AS result, row_number() OVER o AS k FROM r WINDOW o AS (PARTITION BY id ORDER BY seq)), d AS (SELECT *, CASE WHEN k = 1 THEN 'masked' WHEN payload = original THEN 'stored' WHEN payload = result THEN 'restored' ELSE 'conflict' END AS outcome FROM w) SELECT id AS payload_id, seq, outcome, CASE WHEN outcome IN ('masked', 'stored') THEN result WHEN outcome = 'restored' THEN original END AS reply FROM d"
+
+    @catalog.query("process_idempotent", requests)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         status = F.col("o_orderstatus")
         rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("payload_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<"), F.upper(status), F.lit(">"))).otherwise(status).alias("payload"))
         return scoring.idempotent(rows, F.concat(F.lit("<"), F.upper("payload"), F.lit(">")))
 
+    @catalog.query("stream_process_state", requests)
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        status = F.col("o_orderstatus")
+        orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+        rows = orders.select(F.col("o_custkey").cast("bigint").alias("payload_id"), F.col("o_orderkey").cast("bigint").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<"), F.upper(status), F.lit(">"))).otherwise(status).alias("payload"))
+        spark.catalog.dropTempView("stream_process_state")
+        process_stream(rows, lambda x: f"<{x.upper()}>").writeStream.format("memory").queryName("stream_process_state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return spark.table("stream_process_state")
+
     truth = f"{base}, p AS (SELECT DISTINCT doc_id, type, start_byte, end_byte FROM entities WHERE personal), g AS (SELECT doc_id, type, start_byte, CASE WHEN doc_id % 10 = 0 THEN end_byte + 1 ELSE end_byte END AS end_byte FROM p)"
     metric = f"""{truth}, f AS (SELECT coalesce(p.type, g.type) AS type, p.type IS NOT NULL AS inp, g.type IS NOT NULL AS ing FROM p FULL JOIN g USING (doc_id, type, start_byte, end_byte)),
         c AS (SELECT type, count(*) FILTER (inp AND ing) AS tp, count(*) FILTER (inp AND NOT ing) AS fp, count(*) FILTER (ing AND NOT inp) AS fn FROM f GROUP BY type),
