@@ -14,15 +14,18 @@ from maskwright.llm.components import components
 from maskwright.llm.embedding_dedup import local_roots
 from maskwright.llm.shingles import shingle_sets
 
-SLICE = 4 << 20  # bytes of text that are worked on at once
-HELD = 4_000_000  # signatures that a task holds before it passes them on
+SLICE = 1 << 20  # bytes of text that are worked on at once
+HELD = 1_000_000  # signatures that a task holds before it passes them on
+MERGED = 3_000_000  # signatures of a bucket that a task sorts at once
 BUCKET = 1_500_000  # signatures that a bucket shall have
-CHUNK = 1024  # members of a list that are compared in one task
+CROWDED = 64  # members from which a list is thinned where that loses no link
+CHUNK = 4096  # members of a list that are compared in one task
+FEW = 8  # candidate pairs of a member up to which all are checked
 SALTS = 16
 MANY = 2_000_000  # rows up to which identifiers are broadcast; beyond, they are joined by a shuffle
-_TEXTS = "doc_id long, n long, code long, code2 long, sketch binary"
+_TEXTS = "doc_id long, n long, code long, code2 long, spare long, sketch binary"
 _PARTS = "bucket int, low binary, counts binary, codes binary"
-_LISTS = "list long, code long"
+_LISTS = "list long, code long, weight long"
 
 
 def _words64(x: bytes) -> np.ndarray:
@@ -64,6 +67,43 @@ def segments(group: int) -> int:
     return math.ceil(0.27 * 2 ** (group + 1)) + 8
 
 
+def _bands(n: np.ndarray):
+    """(band, sets): the band of each set's size, and the one below where a linked set may be."""
+    own = np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64), -1)
+    for group in np.unique(own[n >= 4]).tolist():
+        for band, member in ((group, own == group), (group - 1, (own == group) & (4 * n <= 5 * (2**group - 1)))):
+            who = np.flatnonzero(member & (n >= 4))
+            if band >= 2 and len(who):
+                yield band, who
+
+
+def _parts(value: np.ndarray, first: np.ndarray, who: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, their sets, their segments, first hash of each non-empty segment) of some sets in a band."""
+    size = np.diff(first)[who]
+    place = np.concatenate([[0], np.cumsum(size)])
+    h = value[np.arange(int(place[-1])) + np.repeat(first[who] - place[:-1], size)]
+    ref = np.repeat(who, size)
+    part = ((h >> np.uint64(32)) * np.uint64(segments(band))) >> np.uint64(32)
+    new = np.ones(len(h), bool)
+    new[1:] = (part[1:] != part[:-1]) | (ref[1:] != ref[:-1])
+    return h, ref, part, np.flatnonzero(new)
+
+
+def _most_apart(n: np.ndarray) -> np.ndarray:
+    """The most elements in which a set of n and a linked one may differ."""
+    return (n + (5 * n) // 4) // 9
+
+
+def spare_segments(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many non-empty segments a set has at least in common with any linked one, in each of its bands."""
+    n = np.diff(first)
+    out = np.full(len(n), np.iinfo(np.int64).max)
+    for band, who in _bands(n):
+        _, ref, _, at = _parts(value, first, who, band)
+        out[who] = np.minimum(out[who], np.bincount(ref[at], minlength=len(n))[who] - _most_apart(n[who]))
+    return np.where(n >= 4, out, 0)
+
+
 def signatures(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set) pairs such that two linked sets share one.
 
@@ -77,37 +117,24 @@ def signatures(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     n = np.diff(first)
     out_sig, out_ref = [], []
-    own = np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64), -1)
-    for group in np.unique(own[n >= 4]).tolist() if (n >= 4).any() else []:
-        for band, member in ((group, own == group), (group - 1, (own == group) & (4 * n <= 5 * (2**group - 1)))):
-            who = np.flatnonzero(member & (n >= 4))
-            if band < 2 or not len(who):
-                continue
-            size = n[who]
-            place = np.concatenate([[0], np.cumsum(size)])
-            take = np.arange(int(place[-1])) + np.repeat(first[who] - place[:-1], size)
-            h, ref = value[take], np.repeat(who, size)
-            m = segments(band)
-            part = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            new = np.ones(len(h), bool)
-            new[1:] = (part[1:] != part[:-1]) | (ref[1:] != ref[:-1])
-            at = np.flatnonzero(new)
-            with np.errstate(over="ignore"):
-                word = np.bitwise_xor.reduceat(mix64(h ^ np.uint64(0x27D4EB2F165667C5)), at)
-                out_sig.append(mix64(word ^ mix64(part[at] + np.uint64(band << 40) + np.uint64(1))))
-            out_ref.append(ref[at])
-            filled = np.bincount(ref[at], minlength=len(n))[who]
-            few = who[filled <= (size + (5 * size) // 4) // 9]
-            if len(few):
-                out_sig.append(np.full(len(few), mix64(np.full(1, (band << 40) + (1 << 39), np.uint64))[0]))
-                out_ref.append(few)
+    for band, who in _bands(n):
+        h, ref, part, at = _parts(value, first, who, band)
+        with np.errstate(over="ignore"):
+            word = np.bitwise_xor.reduceat(mix64(h ^ np.uint64(0x27D4EB2F165667C5)), at)
+            out_sig.append(mix64(word ^ mix64(part[at] + np.uint64(band << 40) + np.uint64(1))))
+        out_ref.append(ref[at])
+        filled = np.bincount(ref[at], minlength=len(n))[who]
+        few = who[filled <= _most_apart(n[who])]
+        if len(few):
+            out_sig.append(np.full(len(few), mix64(np.full(1, (band << 40) + (1 << 39), np.uint64))[0]))
+            out_ref.append(few)
     if not out_sig:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_sig), np.concatenate(out_ref)
 
 
 def text_codes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, code, code2, sketch) of each text's shingle set."""
+    """(doc_id, n, code, code2, spare, sketch) of each text's shingle set."""
 
     def run(batches):
         for batch in batches:
@@ -115,7 +142,7 @@ def text_codes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 value, first = shingle_sets(batch.column(1).slice(a, b - a))
                 code, code2 = _codes(value, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(code.view(np.int64)), pa.array(code2.view(np.int64)), pa.array(sketches(value, first), pa.binary())], names=["doc_id", "n", "code", "code2", "sketch"]
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(code.view(np.int64)), pa.array(code2.view(np.int64)), pa.array(spare_segments(value, first)), pa.array(sketches(value, first), pa.binary())], names=["doc_id", "n", "code", "code2", "spare", "sketch"]
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _TEXTS)
@@ -173,7 +200,7 @@ def _dealt(buckets: int):
 
 
 def _lists(batches):
-    """Per bucket: the lists of sets that share a signature, each list of members once.
+    """Per bucket: the lists of sets that share a signature, each list of members once, with how many signatures it stands for.
 
     Rows come sorted by bucket. A bucket beyond the usual size is worked
     through in parts that carry one set of every signature along; its lists
@@ -205,16 +232,16 @@ def _lists(batches):
             return
         if by_signature:
             name = mix64(run[start[many]].astype(np.uint64) + np.uint64((bucket + 1) << 32))
-            chosen = np.arange(len(many))
+            chosen, count = np.arange(len(many)), np.ones(len(many), np.int64)
         else:
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(mix64(who), start)[many]
-            name, chosen = np.unique(mix64(total + size[many].astype(np.uint64)), return_index=True)
+            name, chosen, count = np.unique(mix64(total + size[many].astype(np.uint64)), return_index=True, return_counts=True)
         begin, length = start[many[chosen]], size[many[chosen]]
         take = np.arange(int(length.sum())) + np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-        lists, members = np.repeat(name, length).view(np.int64), who[take].view(np.int64)
+        lists, members, weight = np.repeat(name, length).view(np.int64), who[take].view(np.int64), np.repeat(count, length)
         for i in range(0, len(lists), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + 100_000]), pa.array(members[i : i + 100_000])], names=["list", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (lists, members, weight)], names=["list", "code", "weight"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "counts", "codes")), strict=True):
@@ -224,7 +251,7 @@ def _lists(batches):
                 bucket, carried = row[0], None
             held.append(row)
             n_held += len(row[1]) // 4
-            if n_held >= HELD:
+            if n_held >= MERGED:
                 yield from close(False)
     if held or carried is not None:
         if held:
@@ -299,10 +326,14 @@ def _candidates(batches):
             ok = np.fromiter(((int(code[p]), int(code[q])) not in failed and (int(code[q]), int(code[p])) not in failed for p, q in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
             i, j, d = i[ok], j[ok], d[ok]
         if len(i):
-            late = len(few) < len(rows)  # not the first round: what is left is checked whole while it is little
-            pick = np.arange(len(i)) if late and len(i) <= 4 * len(rows) else spanning(comp, i, j, d)
+            # All pairs of members that have few, and of a list that has few; of the others, among themselves, a forest.
+            degree = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
+            low = (np.minimum(degree[i], degree[j]) <= FEW) | (len(i) <= FEW * len(rows) // 2)
+            dense = np.flatnonzero(~low)
+            pick = np.concatenate([np.flatnonzero(low), dense[spanning(comp, i[dense], j[dense], d[dense])]])
+            forest = np.arange(len(pick)) >= int(low.sum())
             x, y = code[i[pick]], code[j[pick]]
-            yield np.full(len(pick), rows[0][0]), np.minimum(x, y), np.maximum(x, y)
+            yield np.where(forest, rows[0][0], 0), np.minimum(x, y), np.maximum(x, y), forest
 
     def groups():
         held: list = []
@@ -317,7 +348,9 @@ def _candidates(batches):
     out: list = []
     n = 0
     def passed():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["list", "a", "b"])
+        whole = np.rec.fromarrays([np.concatenate([o[k] for o in out]) for k in range(4)])
+        whole = np.unique(whole)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(whole[f])) for f in whole.dtype.names], names=["list", "a", "b", "forest"])
 
     for found in groups():
         out.append(found)
@@ -366,7 +399,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keep(text_codes(docs, id_col, text_col), "texts")
-    reps = texts.where("n >= 4 and doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("code2") != F.max("code2")).alias("clash"))
+    reps = texts.where("n >= 4 and doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch"), (F.min("code2") != F.max("code2")).alias("clash"))
     reps = keep(reps, "reps")
     total = reps.agg(F.sum("n").alias("n"), F.max("clash").alias("clash")).first()
     if total.clash:
@@ -374,23 +407,29 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(shuffles, math.ceil(0.45 * (total.n or 0) / BUCKET))
     parts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(_dealt(buckets), _PARTS)
     lists = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS)
-    lists = keep(lists.distinct(), "lists")
+    lists = keep(lists.groupBy("list", "code").agg(F.sum("weight").alias("weight")), "lists")
     empty = spark.range(0)
     links = empty.select(F.col("id").alias("a"), F.col("id").alias("b"))
     failed = links
     comps = empty.select(F.col("id").alias("code"), F.col("id").alias("comp"))
-    sizes = lists.groupBy("list").agg(F.count("*").alias("g"))
+    lists = keep(lists.join(lists.groupBy("list").agg(F.count("*").alias("g")), "list"), "lists")
+    crowded = F.col("g") > CROWDED
+    # A class with fewer signatures in crowded lists than it must share with any linked one meets each of those in another list too.
+    load = lists.where(crowded).groupBy("code").agg(F.sum("weight").alias("load"))
+    light = load.join(reps.select("code", "spare"), "code").where("load < spare").select("code", F.lit(True).alias("light"))
+    lists = keep(lists.join(light, "code", "left").where(~(crowded & F.col("light").isNotNull())).select("list", "code", "g"), "lists")
+    large = keep(lists.where(F.col("g") > CHUNK).select("list").distinct(), "large")
     chunk = lambda salt, n: F.pmod(F.xxhash64("code", F.lit(salt)), F.ceil(F.col(n) / CHUNK)).cast("long")
     pieces = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / CHUNK) - 1).cast("long")))
     # at first every chunk of a list by itself; what that leaves open comes in the next rounds
-    members = lists.join(sizes, "list").withColumn("part", chunk(1, "g")).select("list", "part", "code", F.col("code").alias("comp"), F.lit(True).alias("few"))
+    members = lists.withColumn("part", chunk(1, "g")).select("list", "part", "code", F.col("code").alias("comp"), F.lit(True).alias("few"))
     lost = failed.groupBy(F.col("a").alias("code")).agg(F.collect_list("b").alias("failed"))
-    large = keep(sizes.where(F.col("g") > CHUNK).select("list"), "large")
     first = True
     while True:
-        members = members.join(reps.select("code", "n", "sketch"), "code")
-        members = members.withColumn("failed", F.lit(None).cast("array<long>")) if first else members.join(lost, "code", "left")
-        pairs = members.repartition(4 * shuffles, "list", "part").sortWithinPartitions("list", "part").mapInArrow(_candidates, "list long, a long, b long")
+        known = reps.select("code", "n", "sketch")
+        known = known.withColumn("failed", F.lit(None).cast("array<long>")) if first else known.join(lost, "code", "left")
+        members = members.join(known, "code")
+        pairs = members.repartition(4 * shuffles, "list", "part").sortWithinPartitions("list", "part").mapInArrow(_candidates, "list long, a long, b long, forest boolean")
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty() and not (first and not large.isEmpty()):
             return texts.select("doc_id", "n", "code"), comps
@@ -398,15 +437,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bad = checked.where("not linked").select("a", "b")
         links = keep(links.union(checked.where("linked").select("a", "b")), "linked")
         comps = components(links).select(F.col("node").alias("code"), F.col("component").alias("comp"))
-        # A list is settled when each pair that its forest needed is a link: then all pairs that may be links lie in one component.
-        open_lists = pairs.join(bad, ["a", "b"], "left_semi").select("list")
+        # A list is settled when each pair of its forest is a link: its other pairs were all checked, or lie in one component.
+        open_lists = pairs.where("forest").join(bad, ["a", "b"], "left_semi").select("list")
         open_lists = keep((open_lists.union(large) if first else open_lists).distinct(), "open")
         failed = keep(failed.union(bad), "failed")
         lost = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("code")).agg(F.collect_list("b").alias("failed"))
         known = lists.join(open_lists, "list", "left_semi").join(comps, "code", "left").withColumn("comp", F.coalesce("comp", "code"))
+        known = keep(known, "open-members")
         shares = known.groupBy("list", "comp").agg(F.count("*").alias("k"))
-        main = shares.groupBy("list").agg(F.sum("k").alias("g"), F.max(F.struct("k", "comp")).alias("m")).where("g > m.k").select("list", "g", F.col("m.comp").alias("main"), (F.col("g") - F.col("m.k")).alias("rest"))
-        known = known.join(main, "list")
+        main = shares.groupBy("list").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m")).where("n > m.k").select("list", F.col("m.comp").alias("main"), (F.col("n") - F.col("m.k")).alias("rest"))
+        known = keep(known.join(main, "list"), "open-members")
         every = known.select("list", "code", "comp", "g", F.lit(False).alias("few"), pieces("rest").alias("r")).withColumn("part", F.col("r") * 1_000_000_000 + chunk(1, "g"))
         minor = known.where("comp <> main").select("list", "code", "comp", "rest", F.lit(True).alias("few"), pieces("g").alias("r")).withColumn("part", chunk(2, "rest") * 1_000_000_000 + F.col("r"))
         members = every.select("list", "part", "code", "comp", "few").unionByName(minor.select("list", "part", "code", "comp", "few"))
@@ -428,11 +468,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     2. Each class deals signatures, one per non-empty segment of its band's
        sketch; by the pigeonhole principle linked classes share one. They
        travel packed, by bucket; a bucket gives the lists of classes that
-       share a signature.
+       share a signature. A class leaves the crowded lists (of a passage that many
+       texts quote, say) if it must share more signatures with every linked
+       class than it has in crowded lists.
     3. In each list, pairs that the sizes and the sketches' Hamming distance
-       allow are reduced to a forest over the components known so far, nearest
-       first; these pairs are verified exactly on sets made again from the
-       texts. Links merge components; a pair that fails is not tried again.
+       allow are taken whole for members that have few of them, and reduced to
+       a forest over the components known so far, nearest first, for the rest;
+       these pairs are verified exactly on sets made again from the texts.
+       Links merge components; a pair that fails is not tried again.
        This goes on until no list has a pair of different components that is
        still open, so every link is found, or both its ends are connected
        otherwise. No step gives all pairs of a group; a list beyond ``CHUNK``
@@ -441,7 +484,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
     texts, comps = jaccard_classes(docs, id_col, text_col)
     classes = texts.where("n > 0 and doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("low"), F.count("*").alias("k")).join(comps, "code", "left")
-    classes = classes.withColumn("comp", F.coalesce("comp", "code"))
+    classes = keep(classes.withColumn("comp", F.coalesce("comp", "code")), "classes")
     roots = classes.groupBy("comp").agg(F.min("low").alias("component"), F.sum("k").alias("k")).where("k > 1").select("comp", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     known = classes.withColumn("salt", salt("code")).join(roots, ["comp", "salt"]).select("code", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
