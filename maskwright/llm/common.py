@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: list[tuple[SparkSession, str]] = []
+_OWN: list[str] = []  # the temporary folder of a session without a shared one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where unset (tests), a temporary one that is set here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='maskwright-')}"
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        global _OWN
-        found = _OWN = _OWN or found
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='maskwright-')}")
+        found = _OWN[0]
     return found.rstrip("/")
 
 
-_OWN = ""
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new folder below the shared one; it is deleted when the driver ends."""
     if not _KEPT:

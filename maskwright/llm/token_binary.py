@@ -50,7 +50,9 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         """The encoder of this worker for a file."""
-        return cls._own.setdefault(path, None) or cls._own.update({path: cls(path)}) or cls._own[path]
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
 
     def pieces(self, text: str) -> list[str]:
         if not self.splits or "\0" in text:
