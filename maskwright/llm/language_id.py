@@ -14,8 +14,8 @@ from maskwright.llm.common import text_slices
 DIMENSIONS = 1024
 ORDER = 3  # letters in an n-gram
 DENSE = 1 << 22  # codes up to which n-grams are counted by a table, beyond by sorting
-_CELLS = 1 << 22  # cells of a count matrix that a block of documents may take
-SLICE = 4 << 20
+_CELLS = 1 << 20  # cells of a count matrix that a block of documents may take
+SLICE = 1 << 20
 
 _LETTER: np.ndarray | None = None
 
