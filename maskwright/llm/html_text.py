@@ -29,12 +29,13 @@ _INLINE = frozenset(
 )
 _LEFT_OUT = frozenset("head script style title noscript iframe template svg math object canvas audio video nav header footer aside form button select option input textarea dialog menu fieldset map area embed link meta base".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[-_])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall|"
+_NAME = (
+    r"(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|paywall|"
     r"sidebar|side|aside|widget|menu|menubar|nav|navbar|navigation|topbar|breadcrumbs?|pagination|pager|masthead|header|footer|foot|copyright|legal|disclaimer|"
-    r"share|sharing|social|follow|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|form|search|toolbar|skip|hidden)(?:$|[-_])",
-    re.I,
+    r"share|sharing|social|follow|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|form|search|toolbar|skip|hidden)"
 )
+_WHOLE, _PART = re.compile(_NAME, re.I), re.compile(rf"(?:^|[-_]){_NAME}(?:$|[-_])", re.I)
+_NAMED = frozenset("div section ul ol dl table center".split())  # what a class or id can tell to be chrome; headings, paragraphs and inline elements never
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -45,19 +46,32 @@ _SCOPE = frozenset("ul ol dl table tbody thead tfoot tr select div article secti
 class Node:
     """An element that makes blocks, or a stretch of text (label ``#text``)."""
 
-    __slots__ = ("label", "tag", "left_out", "kids", "text", "links")
+    __slots__ = ("label", "tag", "left_out", "named", "holds", "kids", "text", "links")
 
-    def __init__(self, label: str, tag: str, left_out: bool = False) -> None:
-        self.label, self.tag, self.left_out, self.kids, self.text, self.links = label, tag, left_out, [], "", 0
+    def __init__(self, label: str, tag: str, left_out: bool = False, named: int = 0) -> None:
+        self.label, self.tag, self.left_out, self.named, self.holds, self.kids, self.text, self.links = label, tag, left_out, named, 0, [], "", 0
 
 
 def _chrome(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element is no part of the main text by its kind, role or name."""
+    """Whether an element is no part of the main text by its kind, role or state."""
     if tag in _LEFT_OUT or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in _ROLES:
         return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    return tag not in ("html", "body", "main", "article") and any(_NAMES.search(x) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
+    return "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _named(tag: str, attrs: dict[str, str]) -> int:
+    """How surely a container's name tells chrome: 3 a whole class that names a header, 2 another whole class, 1 a part of a class or a whole id, 0 not at all.
+
+    The id of a section is the slug of its heading and tells nothing.
+    """
+    if tag not in _NAMED:
+        return 0
+    classes = attrs.get("class", "").split()
+    if whole := [x for x in classes if _WHOLE.fullmatch(x)]:
+        return 3 if all(x.lower() in ("header", "masthead") for x in whole) else 2
+    if any(_PART.search(x) for x in classes):
+        return 1
+    return int(tag != "section" and "section" not in classes and bool(_WHOLE.fullmatch(attrs.get("id", "").strip())))
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
@@ -157,7 +171,10 @@ def parse(html: str) -> Node:
             close(_CLOSED_BY[tag], _SCOPE - _CLOSED_BY[tag])
         if tag == "body":
             close({"head"}, frozenset())
-        node = Node(_label(tag, attrs), tag, _chrome(tag, attrs))
+        node = Node(_label(tag, attrs), tag, _chrome(tag, attrs), _named(tag, attrs))
+        if tag in ("h1", "main"):
+            for x in stack:
+                x.holds = max(x.holds, 1 if tag == "h1" else 2)
         stack[-1].kids.append(node)
         stack.append(node)
     flush()
@@ -351,9 +368,17 @@ class Extractor:
 
 
 def _out(above: list[Node]) -> bool:
-    """Whether one of the elements is left out; a header inside an article that holds its heading is not."""
+    """Whether one of the elements is left out.
+
+    The heading of an article stays in a header. Where only a part of a name
+    (or an id) tells chrome, an element in an article or main stays for the
+    wrapper to decide on, and so does one that holds the page's h1 or main.
+    """
     for k, e in enumerate(above):
-        if e.left_out and not (e.tag == "header" and any(x.tag == "article" for x in above[:k]) and any(x.tag in ("h1", "h2") for x in above[k:])):
+        if e.left_out or e.named > 1 and e.holds < 2:
+            if not ((e.tag == "header" or e.named == 3 and not e.left_out) and any(x.tag == "article" for x in above[:k]) and any(x.tag in ("h1", "h2") for x in above[k:])):
+                return True
+        elif e.named == 1 and not e.holds and not any(x.tag in ("article", "main") for x in above[:k]):
             return True
     return False
 
@@ -414,8 +439,10 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     least) is template, and so is one that is mostly links; slots that vary
     are content. Menus, headers, footers, sidebars, notices, adverts, forms
     and comments vary from page to page too, so elements that say what they
-    are by tag, role, class or id are left out whatever the wrapper says, and
-    of a page with an article (else a main element) only that counts.
+    are by tag or role, and containers that do by a whole class, are left out
+    whatever the wrapper says; a part of a class or an id counts outside
+    articles only. Of a page with an article (else a main element) only that
+    counts.
 
     Inside a block white space is one blank; blocks are joined by a line feed
     in page order. A null html counts as empty and gives an empty text; a null

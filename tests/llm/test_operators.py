@@ -225,6 +225,18 @@ def test_main_text(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_of_chrome_are_no_article_text():
+    from maskwright.llm.html_text import Extractor
+
+    text = lambda html: Extractor().text(html, None)
+    kept = "<h2 id=how-to-search>How</h2><h2 id='related-work'>Related</h2><p class=side-effects>Effects</p><pre>x = 1 <span class='token comment'># one</span> <span class=hljs-comment># two</span></pre><div class=post-header><h1>Title</h1><p>By me</p></div><section id=search><p>Search</p></section>"
+    whole = "How\nRelated\nEffects\nx = 1 # one # two\nTitle\nBy me\nSearch"
+    assert text(f"<article>{kept}<div class='box comments'>no</div><ul class=share><li>no</ul></article>") == whole
+    assert text(f"<div class=sidebar>no</div><div class=cookie-banner>no</div><div id=footer>no</div><div>{kept}</div>") == whole
+    assert text("<article><div class=header><h1>Title</h1>no</div><p>Body</article>") == "Title\nBody"
+    assert text("<div class=has-sidebar><main><p>Body</main></div>") == "Body"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
