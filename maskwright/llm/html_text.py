@@ -181,13 +181,20 @@ def parse(html: str) -> Node:
     return root
 
 
+def _least(a: list[int], b: list[int]) -> list[int]:
+    """The smallest digests of two sorted lists, LEAST_PAGES of them at most."""
+    if a == b or not b or len(a) == LEAST_PAGES and b[0] > a[-1]:
+        return a
+    return sorted({*a, *b})[:LEAST_PAGES]
+
+
 class Tree:
-    """A node of a wrapper: one place of the template, with what the pages have there."""
+    """A node of a wrapper: one place of the template, with what the pages have there; ``seen`` has the digests of different pages, LEAST_PAGES of them at most."""
 
-    __slots__ = ("label", "kids", "digest", "pages", "chars", "links", "leaves")
+    __slots__ = ("label", "kids", "digest", "pages", "seen", "chars", "links", "leaves")
 
     def __init__(self, label: str) -> None:
-        self.label, self.kids, self.digest, self.pages, self.chars, self.links, self.leaves = label, [], None, 1, 0, 0, []
+        self.label, self.kids, self.digest, self.pages, self.seen, self.chars, self.links, self.leaves = label, [], None, 1, [], 0, 0, []
 
     def shape(self) -> str:
         return self.label + ("(" + ",".join(k.shape() for k in self.kids) + ")" if self.kids else "")
@@ -198,13 +205,13 @@ class Tree:
             yield from k.walk()
 
     def dump(self) -> list:
-        return [self.label, self.digest, self.pages, self.chars, self.links, [k.dump() for k in self.kids]]
+        return [self.label, self.digest, self.pages, self.seen, self.chars, self.links, [k.dump() for k in self.kids]]
 
     @classmethod
     def load(cls, x: list) -> Tree:
         t = cls(x[0])
-        t.digest, t.pages, t.chars, t.links = x[1:5]
-        t.kids = [cls.load(k) for k in x[5]]
+        t.digest, t.pages, t.seen, t.chars, t.links = x[1:6]
+        t.kids = [cls.load(k) for k in x[6]]
         return t
 
 
@@ -241,7 +248,7 @@ def merge(a: Tree, b: Tree, same_page: bool = False) -> None:
         a.digest = xxhash.xxh64_intdigest(f"{a.digest}/{b.digest}") >> 1
         a.leaves += b.leaves
     else:
-        a.pages += b.pages
+        a.pages, a.seen = a.pages + b.pages, _least(a.seen, b.seen)
         if a.digest != b.digest:
             a.digest = -1
     a.chars, a.links = a.chars + b.chars, a.links + b.links
@@ -278,13 +285,16 @@ def page_tree(root: Node) -> tuple[Tree, list[tuple[str, list[Node]]]]:
         t.chars, t.links = sum(k.chars for k in t.kids), sum(k.links for k in t.kids)
         return t
 
-    return fold(root, []), blocks
+    tree = fold(root, [])
+    for t in tree.walk():
+        t.seen = [tree.digest]
+    return tree, blocks
 
 
 def _added(a: Tree, b: Tree) -> None:
     """``merge`` of trees of equal shape."""
     for x, y in zip(a.walk(), b.walk(), strict=True):
-        x.pages, x.chars, x.links = x.pages + y.pages, x.chars + y.chars, x.links + y.links
+        x.pages, x.seen, x.chars, x.links = x.pages + y.pages, _least(x.seen, y.seen), x.chars + y.chars, x.links + y.links
         if x.digest != y.digest:
             x.digest = -1
 
@@ -294,16 +304,14 @@ class Wrapper:
 
     def __init__(self) -> None:
         self.shapes: dict[str, Tree] = {}
-        self.seen: list[int] = []  # digests of different pages, LEAST_PAGES of them at most
 
-    def add(self, tree: Tree, seen: list[int]) -> None:
+    def add(self, tree: Tree) -> None:
         if (shape := tree.shape()) in self.shapes:
             _added(self.shapes[shape], tree)
         else:
             self.shapes[shape] = tree
             if len(self.shapes) > 64:
                 self.shapes = {(t := self.one()).shape(): t}
-        self.seen = sorted({*self.seen, *seen})[:LEAST_PAGES]
 
     def one(self) -> Tree:
         trees = sorted(self.shapes.values(), key=lambda t: (-t.pages, t.shape()))
@@ -312,7 +320,7 @@ class Wrapper:
         return trees[0]
 
     def dump(self) -> str:
-        return json.dumps([self.seen, self.one().dump()], separators=(",", ":"))
+        return json.dumps(self.one().dump(), separators=(",", ":"))
 
 
 class Extractor:
@@ -326,8 +334,8 @@ class Extractor:
         if not wrapper:
             return set()
         if wrapper not in self.wrappers:
-            seen, dumped = json.loads(wrapper)
-            self.wrappers[wrapper] = (Tree.load(dumped) if len(seen) >= LEAST_PAGES else None, {})
+            common = Tree.load(json.loads(wrapper))
+            self.wrappers[wrapper] = (common if len(common.seen) >= LEAST_PAGES else None, {})
             if len(self.wrappers) > 1000:
                 self.wrappers.popitem(last=False)
         common, known = self.wrappers[wrapper]
@@ -341,7 +349,7 @@ class Extractor:
             found: set[int] = set()
 
             def follow(x: Tree, y: Tree) -> None:
-                if x.label == "#text" and (y.digest != -1 and y.pages >= LEAST_PAGES or y.chars and y.links >= LINKED * y.chars):
+                if x.label == "#text" and (y.digest != -1 and len(y.seen) >= LEAST_PAGES or y.chars and y.links >= LINKED * y.chars):
                     found.add(number[id(x)])
                 for i, j in align(x.kids, y.kids):
                     follow(x.kids[i], y.kids[j])
@@ -396,7 +404,7 @@ def _induced(batches):
     for batch in batches:
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             tree, _ = page_tree(parse(html.as_py() or ""))
-            hosts.setdefault(host, Wrapper()).add(tree, [tree.digest])
+            hosts.setdefault(host, Wrapper()).add(tree)
             if len(hosts) > 2000:
                 yield rows([hosts.popitem(last=False) for _ in range(500)])
     if hosts:
@@ -412,8 +420,7 @@ def _unified(batches):
                 if held is not None:
                     yield pa.RecordBatch.from_pydict({"host": [at[0]], "part": [at[1]], "wrapper": [held.dump()]}, schema=_WRAPPERS)
                 at, held = row[:2], Wrapper()
-            seen, dumped = json.loads(row[2])
-            held.add(Tree.load(dumped), seen)
+            held.add(Tree.load(json.loads(row[2])))
     if held is not None:
         yield pa.RecordBatch.from_pydict({"host": [at[0]], "part": [at[1]], "wrapper": [held.dump()]}, schema=_WRAPPERS)
 
@@ -447,8 +454,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     Inside a block white space is one blank; blocks are joined by a line feed
     in page order. A null html counts as empty and gives an empty text; a null
     or odd url belongs to no host's wrapper but that of all such pages;
-    repeated rows are pages of their own but one page for the wrapper. An
-    empty table gives no rows; columns of the new names are replaced.
+    repeated rows are pages of their own but one page for the wrapper (only
+    the share of links is taken over rows). An empty table gives no rows; columns of the new names are replaced.
     """
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*rest, F.coalesce(F.lower(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST"))), F.lit("")).alias("_host"), F.col(html_col).cast("string").alias("_html"))

@@ -237,6 +237,16 @@ def test_names_of_chrome_are_no_article_text():
     assert text("<div class=has-sidebar><main><p>Body</main></div>") == "Body"
 
 
+def test_copies_of_a_page_are_one_page_of_the_wrapper(spark):
+    page = lambda i, more="": f"<body><div>Menu</div><article><h1>Head {i}</h1><p>A long enough text of page {i}</p>{more}</article>"
+    rows = [(i, "http://h.example/p", page(i)) for i in range(4)] + [(10 + i, "http://h.example/p", page(9, "<blockquote>Said once</blockquote>")) for i in range(6)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {got[10 + i] for i in range(6)} == {"Head 9\nA long enough text of page 9\nSaid once"} and got[1] == "Head 1\nA long enough text of page 1"
+    rows = [(i, "http://h.example/p", page(i, "<blockquote>Said always</blockquote>")) for i in range(4)]
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert not any("always" in r.text for r in got)  # four different pages agree
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
