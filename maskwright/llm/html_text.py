@@ -329,10 +329,10 @@ class Extractor:
     def __init__(self) -> None:
         self.wrappers: OrderedDict[str, tuple[Tree | None, dict]] = OrderedDict()
 
-    def marks(self, wrapper: str | None, tree: Tree) -> set[int]:
-        """Places (in walking order) of a page's tree that are template: constant over the host, or menus."""
+    def marks(self, wrapper: str | None, tree: Tree) -> tuple[set[int], set[int]]:
+        """Places (in walking order) of a page's tree that are constant over the host, and those that are mostly links."""
         if not wrapper:
-            return set()
+            return set(), set()
         if wrapper not in self.wrappers:
             common = Tree.load(json.loads(wrapper))
             self.wrappers[wrapper] = (common if len(common.seen) >= LEAST_PAGES else None, {})
@@ -340,28 +340,32 @@ class Extractor:
                 self.wrappers.popitem(last=False)
         common, known = self.wrappers[wrapper]
         if common is None or common.digest != -1:
-            return set()
+            return set(), set()
         shape = tree.shape()
         if shape not in known:
             if len(known) > 1000:
                 known.clear()
             number = {id(t): i for i, t in enumerate(tree.walk())}
-            found: set[int] = set()
+            constant: set[int] = set()
+            linked: set[int] = set()
 
             def follow(x: Tree, y: Tree) -> None:
-                if x.label == "#text" and (y.digest != -1 and len(y.seen) >= LEAST_PAGES or y.chars and y.links >= LINKED * y.chars):
-                    found.add(number[id(x)])
+                if x.label == "#text":
+                    if y.digest != -1 and len(y.seen) >= LEAST_PAGES:
+                        constant.add(number[id(x)])
+                    if y.chars and y.links >= LINKED * y.chars:
+                        linked.add(number[id(x)])
                 for i, j in align(x.kids, y.kids):
                     follow(x.kids[i], y.kids[j])
 
             follow(tree, common)
-            known[shape] = found
+            known[shape] = constant, linked
         return known[shape]
 
     def text(self, html: str, wrapper: str | None) -> str:
         tree, blocks = page_tree(parse(html))
-        template = self.marks(wrapper, tree)
-        marked = {b for i, t in enumerate(tree.walk()) if i in template for b in t.leaves}
+        constant, linked = self.marks(wrapper, tree)
+        marked = {b for i, t in enumerate(tree.walk()) for b in t.leaves if i in constant or i in linked and not any(e.tag in ("article", "main") for e in blocks[b][1])}
         inside = [i for i, (_, above) in enumerate(blocks) if any(e.tag == "article" for e in above) and not _out(above)]
         if not inside:
             inside = [i for i, (_, above) in enumerate(blocks) if any(e.tag == "main" for e in above) and not _out(above)]
@@ -443,8 +447,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     Pages of one host are parsed to block trees, in which repeated neighbours
     are folded, and aligned by simple tree matching to the host's wrapper. A
     slot whose text is the same on all its pages (four different ones at
-    least) is template, and so is one that is mostly links; slots that vary
-    are content. Menus, headers, footers, sidebars, notices, adverts, forms
+    least) is template, and so is one outside articles (and main) that is
+    mostly links; slots that vary are content. Menus, headers, footers, sidebars, notices, adverts, forms
     and comments vary from page to page too, so elements that say what they
     are by tag or role, and containers that do by a whole class, are left out
     whatever the wrapper says; a part of a class or an id counts outside

@@ -247,6 +247,18 @@ def test_copies_of_a_page_are_one_page_of_the_wrapper(spark):
     assert not any("always" in r.text for r in got)  # four different pages agree
 
 
+def test_links_of_an_article_stay(spark):
+    def page(i, tag):
+        links = "".join(f"<li><a href=x>Reference {i} {k}</a>" for k in range(2))
+        return f"<body><div><a href=y>Menu of {i}</a></div><{tag}><p>A text that is long enough to be more than half of page {i}, as it goes on and on</p><ul>{links}</ul></{tag}>"
+
+    rows = [(10 * k + i, f"http://{tag}.example/p", page(i, tag)) for k, tag in enumerate(("article", "main", "div")) for i in range(6)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    body = "A text that is long enough to be more than half of page 2, as it goes on and on"
+    assert got[2] == got[12] == f"{body}\nReference 2 0\nReference 2 1"
+    assert got[22] == body  # outside both, what is mostly links is a menu
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
