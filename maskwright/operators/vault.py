@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.crypto import TOKEN, seal, token_sql
@@ -23,12 +24,33 @@ def mappings(docs: DataFrame, key: bytes, scope: str = "scope", which: str = HID
     return rows.distinct().withColumn("token", F.expr(token_sql(SPARK, key, scope, "type", "original")))
 
 
+def _lives(batches):
+    """Rows sorted by key and order: first_at, stored and outcome from the mapping that each one meets. The last two columns are at and at + ttl."""
+    key, first_at, ends, stored = (), None, None, None
+    for batch in batches:
+        col = {n: batch.column(n) for n in ("scope", "token", "original", "_at", "_ends")}
+        times = [col[n].cast(pa.int64()).to_pylist() for n in ("_at", "_ends")]
+        made: tuple[list, list, list] = ([], [], [])
+        for scope, token, original, at, end in zip(*(col[n].to_pylist() for n in ("scope", "token", "original")), *times, strict=True):
+            new = (scope, token) != key
+            if new or at is not None and ends is not None and at >= ends:
+                key, first_at, ends, stored = (scope, token), at, end, original
+                outcome = "stored" if new else "replaced"
+            else:
+                outcome = "same" if original is not None and stored == original else "conflict"
+            for to, x in zip(made, (first_at, stored, outcome), strict=True):
+                to.append(x)
+        columns = [pa.array(made[0], pa.int64()).cast(col["_at"].type), pa.array(made[1], col["original"].type), pa.array(made[2], pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[*batch.schema.names[:-2], "first_at", "stored", "outcome"])
+
+
 def save(requests: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Save requests (scope, token, original, at) in order: the first of a live mapping stores it, an equal one changes nothing, another one conflicts; a mapping lives ``ttl_seconds`` from its first save."""
-    slot = Window.partitionBy("scope", "token").orderBy("at", "original")
-    return requests.withColumns({"first_at": F.first("at").over(slot), "stored": F.first("original").over(slot)}).withColumn(
-        "outcome", F.when(F.col("at") >= F.col("first_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)), "replaced").when(F.row_number().over(slot) == 1, "stored").when(F.col("stored") == F.col("original"), "same").otherwise("conflict")
-    )
+    """Save requests (scope, token, original, at) in order: the first of a live mapping stores it, an equal one changes nothing, another one conflicts; a mapping lives ``ttl_seconds`` from its first save, and the first request after that replaces it by a new one that lives as long."""
+    rest = [c for c in requests.columns if c not in ("first_at", "stored", "outcome")]
+    at = F.col("at") + F.make_dt_interval(secs=F.lit(0))
+    rows = requests.select(*rest, at.alias("_at"), (at + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("_ends"))
+    schema = rows.select(*rest, F.col("_at").alias("first_at"), F.col("original").alias("stored"), F.lit("").alias("outcome")).schema
+    return rows.repartition("scope", "token").sortWithinPartitions("scope", "token", "at", "original").mapInArrow(_lives, schema)
 
 
 def resolve(requests: DataFrame, vault: DataFrame) -> DataFrame:

@@ -36,3 +36,25 @@ def test_corpus_checks(spark, tmp_path):
     path.write_text(json.dumps({"version": "1", "offset_unit": "utf8_byte", "cases": [case, *bad]}, ensure_ascii=False))
     found = {(r.id, r.problem) for r in problems(load(spark, str(path))).collect()}
     assert found == {("b", "bounds"), ("b", "mask_token"), ("c", "overlap"), ("d", "id")}
+
+
+def test_expired_mappings_start_anew(spark):
+    from datetime import datetime, timedelta
+
+    from maskwright.operators import vault
+
+    start, ttl = datetime(2024, 1, 1), 10
+    rows = [(i, f"s{i % 2}", f"t{i % 3}", "abc"[i * i % 7 % 3], start + timedelta(seconds=(i * 37 % 101) + i / 1000)) for i in range(200)]
+    rows += [(1000 + i, "s", "hand", v, start + timedelta(seconds=t)) for i, (t, v) in enumerate([(0, "a"), (9, "b"), (10, "b"), (11, "b"), (12, "a"), (19, "b"), (20, "a"), (21, "a"), (22, "b")])]
+    live, want = {}, {}
+    for i, scope, token, original, at in sorted(rows, key=lambda r: (r[4], r[3])):
+        first, stored = live.get((scope, token), (None, None))
+        if first is None or at >= first + timedelta(seconds=ttl):
+            want[i], live[scope, token] = "stored" if first is None else "replaced", (at, original)
+        else:
+            want[i] = "same" if stored == original else "conflict"
+    got = vault.save(spark.createDataFrame(rows, "id long, scope string, token string, original string, at timestamp").repartition(5), ttl).collect()
+    assert {r.id: r.outcome for r in got} == want and len(got) == len(rows)
+    hand = [r for r in sorted(got, key=lambda r: r.at) if r.token == "hand"]
+    assert [r.outcome for r in hand] == ["stored", "conflict", "replaced", "same", "conflict", "same", "replaced", "same", "conflict"]
+    assert hand[4].stored == "b" and hand[4].first_at == start + timedelta(seconds=10)
