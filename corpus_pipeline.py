@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import fresh_path
+from maskwright.llm.common import fresh_path, keep
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.mixing import mix
@@ -34,14 +34,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return identify(docs, profiles).where("lang_pred <> 'und'").select(*columns)
 
 
+def _told_apart(docs: DataFrame) -> bool:
+    """Whether every row has an id of its own."""
+    return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id stays; rows without an id stay."""
+    """Of equal texts, one row stays: of the largest doc_id, without an id only if none has one."""
+    apart = _told_apart(docs)
     docs, columns = _aside(docs, "keep_id", "group_size", "kept", "text_sha256")
-    return exact_dedup(docs, largest=True).where(F.col("kept") | F.col("doc_id").isNull()).select(*columns)
+    found = exact_dedup(docs, largest=True)
+    found = found.where("kept") if apart else found.where("kept or doc_id is null and keep_id is null").dropDuplicates(["text_sha256"])
+    return found.select(*columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that near-duplicate links connect, the document with the smallest id stays; rows without an id stay."""
+    """Of each group that near-duplicate links connect, one row stays: of the smallest doc_id, without an id only if none has one."""
+    if not _told_apart(docs):
+        docs = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        found = jaccard_join(docs.select("_row", "doc_id", "text"), id_col="_row")
+        stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_stays"))
+        return docs.join(stays, F.col("_row") == F.col("_stays"), "left_semi").drop("_row")
     gone = jaccard_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     path = fresh_path(spark, "near-gone")
     gone.write.parquet(path)

@@ -270,3 +270,18 @@ def test_pipeline_stages(spark):
         assert docs.where("doc_id = 6").count() == 1, name
     assert {r.doc_id for r in docs.collect()} <= {1, 2, 3, 6} and docs.where("doc_id in (0, 4, 5)").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("NOT exact").count() == 0
+
+
+def test_pipeline_drops_copies_without_an_id_of_their_own(spark):
+    import corpus_pipeline
+
+    long = "one two three four five six seven eight nine ten " * 12
+    rows = [(None, "none has an id here"), (None, "none has an id here"), (7, "the same row again"), (7, "the same row again"), (3, "an id and none"), (None, "an id and none"), (4, "an id and none"), (9, "once"), (None, "once too")]
+    rows += [(None, long + "a"), (None, long + "b"), (5, long + "c"), (6, long + "d"), (6, "other text of six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r)
+    exact = corpus_pipeline.exact_stage(spark, docs, "")
+    want = [(None, "none has an id here"), (7, "the same row again"), (4, "an id and none"), (9, "once"), (None, "once too")]
+    assert sorted(map(tuple, exact.collect()), key=key) == sorted(want + rows[9:], key=key)
+    near = corpus_pipeline.near_stage(spark, exact, "")
+    assert near.columns == ["doc_id", "text"] and sorted(map(tuple, near.collect()), key=key) == sorted([*want, (5, long + "c"), (6, "other text of six")], key=key)
