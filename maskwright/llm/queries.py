@@ -44,7 +44,7 @@ def byte_bpe() -> str:
 @CATALOG.query("op5_token_binary")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_documents(write_tokens(docs, byte_bpe(), end_id=0))
+    return read_documents(write_tokens(docs, byte_bpe(), end_id=0, added=True))
 
 
 @CATALOG.query(

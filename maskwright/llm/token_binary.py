@@ -30,29 +30,35 @@ class Encoder:
     A byte-level pre-tokenizer always ends a piece before a space that follows
     a non-space and between a letter and punctuation other than an apostrophe.
     Cut there, a text gives pieces that encode apart to the same ids, and most
-    pieces come again and again. Other tokenizers encode whole texts.
+    pieces come again and again. Other tokenizers encode whole texts. With
+    ``added`` an added token (<|endoftext|>, say) in a text gives its own id, as
+    the library does by default, and such a text is encoded whole; else it is
+    text like any other.
     """
 
-    _own: dict[str, Encoder] = {}
+    _own: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if not added:
+            self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         pre = kind.get("pre_tokenizer") or {}
         self.splits = not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        contents = [re.escape(x["content"]) for x in kind.get("added_tokens") or [] if x["content"]]
+        self.added = re.compile("|".join(contents)) if added and contents else None
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.ids: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, added: bool = False) -> Encoder:
         """The encoder of this worker for a file."""
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
+        if (path, added) not in cls._own:
+            cls._own[path, added] = cls(path, added)
+        return cls._own[path, added]
 
     def pieces(self, text: str) -> list[str]:
         if not self.splits or "\0" in text:
@@ -62,7 +68,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned 32-bit integers."""
-        cut = [self.pieces(x) for x in texts]
+        whole = {i for i, x in enumerate(texts) if self.splits and self.added and self.added.search(x)}
+        cut = [[] if i in whole else self.pieces(x) for i, x in enumerate(texts)]
         new = set().union(*cut).difference(self.ids) if cut else set()
         if len(new) + len(self.ids) > CACHED:
             self.ids.clear()
@@ -72,17 +79,20 @@ class Encoder:
             some = names[i : i + 50_000]
             self.ids.update(zip(some, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         get = self.ids.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        out = [b"".join(map(get, x)) for x in cut]
+        for i in whole:  # not remembered: such texts are long and few
+            out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return out
 
 
-def _write(folder: str, path: str, end_id: int, sequence: int):
+def _write(folder: str, path: str, end_id: int, sequence: int, added: bool):
     def write(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, added)
         shard = TaskContext.get().partitionId()
         kind = np.uint16 if encoder.vocabulary <= 1 << 16 else np.uint32
         schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
@@ -115,7 +125,7 @@ def _write(folder: str, path: str, end_id: int, sequence: int):
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, sequence: int = SEQUENCE, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, sequence: int = SEQUENCE, folder: str | None = None, added: bool = False) -> DataFrame:
     """Encode every text, append ``end_id``, and write the ids in ascending order of ``id_col``.
 
     Each shard is an Arrow IPC file whose record batches hold two fixed-size
@@ -130,14 +140,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     A null text counts as empty (its ids are the end id alone); null
     identifiers come first; rows of equal identifier stay apart, in no set
     order among them; an empty table gives shards without sequences. Other
-    columns are not read.
+    columns are not read. ``added``: added tokens in a text give their own ids.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
     rows = rows.repartitionByRange(shards, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
-    manifest = keep(rows.mapInArrow(_write(folder, tokenizer, end_id, sequence), _MANIFEST), "manifest")
+    manifest = keep(rows.mapInArrow(_write(folder, tokenizer, end_id, sequence, added), _MANIFEST), "manifest")
     from pyspark.sql import Window
 
     return manifest.withColumn("shard_start", F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens"))

@@ -285,3 +285,20 @@ def test_pipeline_drops_copies_without_an_id_of_their_own(spark):
     assert sorted(map(tuple, exact.collect()), key=key) == sorted(want + rows[9:], key=key)
     near = corpus_pipeline.near_stage(spark, exact, "")
     assert near.columns == ["doc_id", "text"] and sorted(map(tuple, near.collect()), key=key) == sorted([*want, (5, long + "c"), (6, "other text of six")], key=key)
+
+
+def test_added_tokens_keep_their_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import __spark_entry__ as entry
+
+    plain = Tokenizer.from_file(byte_bpe())  # unmodified
+    token = next(iter(plain.get_added_tokens_decoder().items()))
+    texts = ["no token, here", f"ends.{token[1].content} Begins", token[1].content * 2, f"a{token[1].content}", f"{token[1].content[:-1]} is none", f"x \0 {token[1].content}, y"]
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in entry.queries()["op5_token_binary"](spark, folder).collect()}
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        assert (token[0] in ids) == (token[1].content in t)
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
