@@ -145,7 +145,7 @@ def piece_model() -> str:
 @CATALOG.query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sample_segmentations(docs, piece_model(), with_ids=False)
+    return sample_segmentations(docs, piece_model())
 
 
 @CATALOG.query("op9_embedding_dedup")

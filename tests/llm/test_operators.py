@@ -302,3 +302,12 @@ def test_added_tokens_keep_their_id(spark, tmp_path):
         ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
         assert (token[0] in ids) == (token[1].content in t)
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_sampling_query_returns_the_ids(spark, docs, tmp_path):
+    import __spark_entry__ as entry
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["op7_sentencepiece"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(len(TEXTS)))
+    assert all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
