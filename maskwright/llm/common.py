@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset (tests), a temporary one that is set here."""
+    """The folder of ``spark.checkpoint.dir``; where unset and Spark runs in one process (tests), a temporary one that is set here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='maskwright-')}")
         found = _OWN[0]
@@ -50,11 +54,42 @@ def discard(spark: SparkSession | None = None) -> None:
                 pass
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lineage ends, lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read again: lineage ends, lost executors cost nothing.
+
+    ``batch_rows``: at most so many rows at once for Python functions in it, where rows are wide.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if batch_rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """``run`` for mapInArrow: a worker outlives its stage, so at the end of a partition it gives back what it no longer uses."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return tidied
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -81,11 +116,12 @@ def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_slices(col: pa.Array, limit: int = 8 << 20):
-    """(first row, last row) pairs of an array that hold ``limit`` bytes of text, or one row that is longer."""
+def text_slices(col: pa.Array, limit: int = 8 << 20, rows: int = 1 << 16):
+    """(first row, last row) pairs of an array that hold ``limit`` bytes of text and ``rows`` rows at most, or one row that is longer."""
     _, at = string_bytes(col)
     first = 0
     while first < len(col):
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
-        yield first, min(last, len(col))
-        first = min(last, len(col))
+        last = min(last, first + rows, len(col))
+        yield first, last
+        first = last

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import keep
+from maskwright.llm.common import keep, tidy
 from maskwright.llm.components import components
 
 BLOCK = 1024  # vectors of a block: what one task holds is two of them
@@ -168,9 +168,9 @@ def near_links(reps: DataFrame, cosine: float = 0.98) -> DataFrame:
     axes = principal_axes(reps)
     cells = [f"c{k}" for k in range(AXES)]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grid = reps.mapInArrow(_gridded(axes, eps), "label long, width int, vec_id long, copies long, vector array<double>, " + ", ".join(f"{c} long" for c in cells))
+    grid = reps.mapInArrow(tidy(_gridded(axes, eps)), "label long, width int, vec_id long, copies long, vector array<double>, " + ", ".join(f"{c} long" for c in cells))
     ordered = grid.repartitionByRange(parts, "label", "width", *cells, "vec_id").sortWithinPartitions("label", "width", *cells, "vec_id")
-    blocks = keep(ordered.select("label", "width", "vec_id", "copies", "vector").mapInArrow(_blocks(axes, eps), _BLOCKS), "blocks")
+    blocks = keep(ordered.select("label", "width", "vec_id", "copies", "vector").mapInArrow(tidy(_blocks(axes, eps)), _BLOCKS), "blocks")
     box = blocks.select("label", "width", "block", "low", "high", "cell_low", "cell_high")
     side = lambda s, around: box.select(
         "label", "width", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "low", "high", "cell_low", "cell_high")], F.explode(F.sequence(F.col("cell_low") - around, F.col("cell_high") + around)).alias("cell")
@@ -183,7 +183,7 @@ def near_links(reps: DataFrame, cosine: float = 0.98) -> DataFrame:
     data = lambda s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("block", "ids", "copies", "vectors")])
     joined = pairs.join(data("a"), "a_block").join(data("b"), "b_block")
     joined = joined.repartition(4 * parts, "a_block", "b_block")
-    return joined.mapInArrow(_links(cosine, axes), _FOUND)
+    return joined.mapInArrow(tidy(_links(cosine, axes)), _FOUND)
 
 
 def near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import tidy
+
 RUN_ROWS = 1 << 18  # rows that a task holds before it closes a sorted run
 _RUN = "run long, digest binary, n_bytes long, keep_id long, group_size long"
 _ARROW = pa.schema([("run", pa.int64()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -103,14 +105,14 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col(id_col).cast("long"), F.lit(least if largest else 2**63 - 1)).alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
     )
     runs, slices = max(1, docs.rdd.getNumPartitions()), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    level = first.mapInArrow(_first_runs(largest), _RUN)
+    level = first.mapInArrow(tidy(_first_runs(largest)), _RUN)
     for r in range(max(1, math.ceil(math.log(runs, fan_in)))):
         left = max(1, math.ceil(runs / fan_in ** (r + 1)))
         level = (
             level.withColumn("run", F.floor(F.col("run") / F.lit(fan_in)).cast("long"))
             .repartition(min(slices * left, 8 * slices), F.col("run"), F.substring("digest", 1, 3))
             .sortWithinPartitions("run", "digest", "n_bytes")
-            .mapInArrow(_merged_runs(largest), _RUN)
+            .mapInArrow(tidy(_merged_runs(largest)), _RUN)
         )
     return level.drop("run")
 

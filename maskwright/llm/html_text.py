@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import keep, text_slices
+from maskwright.llm.common import keep, text_slices, tidy
 
 LEAST_PAGES = 4  # different pages of a host that must agree on a text before it counts as template
 LINKED = 0.6  # share of link text from which a slot outside an article is a menu
@@ -435,9 +435,9 @@ _WRAPPERS = pa.schema([("host", pa.string()), ("part", pa.int64()), ("wrapper",
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) from (host, html): a wrapper per task and host, merged in two rounds, so a hot host's pages meet as a few small trees."""
     parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    level = pages.select("host", "html").mapInArrow(_induced, "host string, part long, wrapper string")
+    level = pages.select("host", "html").mapInArrow(tidy(_induced), "host string, part long, wrapper string")
     for part in (F.col("part") % FAN, F.lit(0).cast("long")):
-        level = level.withColumn("part", part).repartition(parts, "host", "part").sortWithinPartitions("host", "part", "wrapper").mapInArrow(_unified, "host string, part long, wrapper string")
+        level = level.withColumn("part", part).repartition(parts, "host", "part").sortWithinPartitions("host", "part", "wrapper").mapInArrow(tidy(_unified), "host string, part long, wrapper string")
     return level.select("host", "wrapper")
 
 
@@ -477,4 +477,4 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 texts = [extractor.text(h or "", w) for h, w in zip(own.column(own.num_columns - 1).to_pylist(), own.column(own.num_columns - 2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*own.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
 
-    return joined.mapInArrow(extract, schema)
+    return joined.mapInArrow(tidy(extract), schema)

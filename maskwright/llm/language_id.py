@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import text_slices
+from maskwright.llm.common import text_slices, tidy
 
 DIMENSIONS = 1024
 ORDER = 3  # letters in an n-gram
 DENSE = 1 << 22  # codes up to which n-grams are counted by a table, beyond by sorting
 _CELLS = 1 << 20  # cells of a count matrix that a block of documents may take
-SLICE = 1 << 20
+SLICE = 1 << 20  # bytes and rows of text that are worked on at once
+ROWS = 256
 
 _LETTER: np.ndarray | None = None
 
@@ -161,7 +162,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     def bundle(batches):
         space, sums = Space(dimensions, seed), {}
         for batch in batches:
-            for a, b in text_slices(batch.column(0), SLICE):
+            for a, b in text_slices(batch.column(0), SLICE, ROWS):
                 x = encode(batch.column(0).slice(a, b - a), space, order)
                 length = np.sqrt((x * x).sum(axis=1, keepdims=True))
                 x /= np.where(length == 0, 1, length)
@@ -173,7 +174,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(fixed)], names=["lang", "dim", "value"])
 
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    found = rows.mapInArrow(bundle, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
+    found = rows.mapInArrow(tidy(bundle), "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     languages = sorted({r.lang for r in found})
     vectors = np.zeros((len(languages), dimensions))
     for r in found:
@@ -192,19 +193,25 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     the two names are replaced.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    named = docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
+    own = text_col in rest and dict(docs.dtypes)[text_col] == "string"  # then the text travels once
+    named = docs.select(*rest) if own else docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
+    place = rest.index(text_col) if own else len(rest)
     schema = named.select(*rest, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def predict(batches):
         space = Space(profiles.vectors.shape[1], profiles.seed)
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            for a, b in text_slices(text, SLICE):
+            text = batch.column(place)
+            for a, b in text_slices(text, SLICE, ROWS):
                 names, score = profiles.of(encode(text.slice(a, b - a), space, profiles.order))
-                own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(names, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(rest)], pa.array(names, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
 
-    return named.mapInArrow(predict, schema)
+    return named.mapInArrow(tidy(predict), schema)
+
+
+def told(score: Column, lang_pred: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Whether a prediction says more than chance: unrelated vectors have a cosine of 0 with a standard deviation of 1 / sqrt(dimensions), so two of them at least."""
+    return (lang_pred != "und") & (score >= 2 / dimensions**0.5)
 
 
 def held_out(doc_id: Column) -> Column:

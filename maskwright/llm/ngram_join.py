@@ -6,21 +6,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import keep, mix64, text_slices
-from maskwright.llm.components import components
+from maskwright.llm.common import keep, mix64, string_bytes, text_slices, tidy
+from maskwright.llm.components import widened
 from maskwright.llm.embedding_dedup import local_roots
 from maskwright.llm.shingles import shingle_sets
 
 SLICE = 1 << 20  # bytes of text that are worked on at once
-HELD = 1_000_000  # signatures that a task holds before it passes them on
-MERGED = 3_000_000  # signatures of a bucket that a task sorts at once
-BUCKET = 1_500_000  # signatures that a bucket shall have
+HELD = 500_000  # signatures that a task holds before it passes them on
+MERGED = 2_000_000  # signatures of a bucket that a task sorts at once
+BUCKET = 1_000_000  # signatures that a bucket shall have
 CROWDED = 64  # members from which a list is thinned where that loses no link
-CHUNK = 4096  # members of a list that are compared in one task
-FEW = 8  # candidate pairs of a member up to which all are checked
+CHUNK = 1024  # members of a list that are compared in one task
+FEW = 4  # candidate pairs of a member up to which all are checked; twice as many in each further round
+WIDE = 500  # rows with whole sets that a worker gets at once
 SALTS = 16
 MANY = 2_000_000  # rows up to which identifiers are broadcast; beyond, they are joined by a shuffle
 _TEXTS = "doc_id long, n long, code long, code2 long, spare long, sketch binary"
@@ -145,7 +146,7 @@ def text_codes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(code.view(np.int64)), pa.array(code2.view(np.int64)), pa.array(spare_segments(value, first)), pa.array(sketches(value, first), pa.binary())], names=["doc_id", "n", "code", "code2", "spare", "sketch"]
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _TEXTS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), _TEXTS)
 
 
 def _dealt(buckets: int):
@@ -258,30 +259,35 @@ def _lists(batches):
             yield from close(True)
 
 
-def _folded(sketch: list[bytes]) -> np.ndarray:
-    """Sketches as rows of words, folded to the shortest."""
-    width = min(map(len, sketch))
-    out = np.empty((len(sketch), width // 8), np.uint64)
-    for i, s in enumerate(sketch):
-        w = _words64(s)
-        while len(w) > width // 8:
-            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
-        out[i] = w
+def _folded(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sketches (by first byte and length) as rows of words, folded to the shortest."""
+    width = int(size.min()) // 8
+    out = np.empty((len(size), width), np.uint64)
+    for length in np.unique(size).tolist():
+        rows = np.flatnonzero(size == length)
+        step = max(1, (1 << 20) // length)
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            w = raw[start[some][:, None] + np.arange(length)].view(np.uint64)
+            while w.shape[1] > width:
+                w = w[:, : w.shape[1] // 2] ^ w[:, w.shape[1] // 2 :]
+            out[some] = w
     return out
 
 
-def near_pairs(n: np.ndarray, sketch: np.ndarray, comp: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (of ``rows`` with ``cols``) of different components whose sizes and sketches allow a link, with their Hamming distances."""
-    found = []
-    step = max(1, (1 << 22) // max(1, len(cols) * sketch.shape[1]))
+def near_pairs(n: np.ndarray, sketch: np.ndarray, comp: np.ndarray, ours: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (of members of which one at least is in ``ours``) of different components whose sizes and sketches allow a link, with their Hamming distances."""
+    found, every = [], np.arange(len(n))
+    rows = np.flatnonzero(ours)
+    step = max(1, (1 << 20) // max(1, len(n) * sketch.shape[1]))
     for a in range(0, len(rows), step):
         i = rows[a : a + step]
-        x, y = n[i][:, None], n[cols][None]
-        ok = (comp[i][:, None] != comp[cols][None]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+        x, y = n[i][:, None], n[None]
+        ok = (comp[i][:, None] != comp[None]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (~ours[None] | (i[:, None] < every[None]))
         r, c = np.nonzero(ok)
-        d = np.bitwise_count(sketch[i[r]] ^ sketch[cols[c]]).sum(axis=1, dtype=np.int64)
-        near = d <= (n[i[r]] + n[cols[c]]) // 9
-        found.append((i[r[near]], cols[c[near]], d[near]))
+        d = np.bitwise_count(sketch[i[r]] ^ sketch[c]).sum(axis=1, dtype=np.int64)
+        near = d <= (n[i[r]] + n[c]) // 9
+        found.append((i[r[near]], c[near], d[near]))
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
 
 
@@ -304,62 +310,93 @@ def spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> n
         root = local_roots(len(names), root[i[pick]], root[j[pick]])[root]
 
 
-def _candidates(batches):
-    """Groups of rows (list, part, code, n, sketch, comp, few, failed), sorted by list and part, to pairs worth verifying."""
+_FIELDS = ("list", "part", "code", "n", "comp", "few", "other", "failed")
 
-    def close(rows):
-        if len(rows) < 2:
-            return
-        code, at = np.unique(np.array([r[2] for r in rows], np.int64), return_index=True)
-        few = {r[2] for r in rows if r[6]}
-        rows = [rows[k] for k in at.tolist()]
-        n = np.array([r[3] for r in rows], np.int64)
-        comp = np.array([r[5] for r in rows], np.int64)
-        if len(rows) < 2 or (comp == comp[0]).all():
-            return
-        ours = np.flatnonzero([r[2] in few for r in rows])
-        if not len(ours):
-            return
-        i, j, d = near_pairs(n, _folded([r[4] for r in rows]), comp, ours, np.arange(len(rows)))
-        failed = {(r[2], x) for r in rows for x in (r[7] or ())}
-        if failed and len(i):
-            ok = np.fromiter(((int(code[p]), int(code[q])) not in failed and (int(code[q]), int(code[p])) not in failed for p, q in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-            i, j, d = i[ok], j[ok], d[ok]
-        if len(i):
-            # All pairs of members that have few, and of a list that has few; of the others, among themselves, a forest.
-            degree = np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
-            low = (np.minimum(degree[i], degree[j]) <= FEW) | (len(i) <= FEW * len(rows) // 2)
-            dense = np.flatnonzero(~low)
-            pick = np.concatenate([np.flatnonzero(low), dense[spanning(comp, i[dense], j[dense], d[dense])]])
-            forest = np.arange(len(pick)) >= int(low.sum())
-            x, y = code[i[pick]], code[j[pick]]
-            yield np.where(forest, rows[0][0], 0), np.minimum(x, y), np.maximum(x, y), forest
-
-    def groups():
-        held: list = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("list", "part", "code", "n", "sketch", "comp", "few", "failed")), strict=True):
-                if held and held[-1][:2] != row[:2]:
-                    yield from close(held)
-                    held = []
-                held.append(row)
-        yield from close(held)
-
-    out: list = []
-    n = 0
-    def passed():
-        whole = np.rec.fromarrays([np.concatenate([o[k] for o in out]) for k in range(4)])
-        whole = np.unique(whole)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(whole[f])) for f in whole.dtype.names], names=["list", "a", "b", "forest"])
-
-    for found in groups():
-        out.append(found)
-        n += len(found[0])
-        if n > 50_000:
+
+def _groups(batches):
+    """(columns, bytes of the sketches, length of each) of the rows of every list and part; rows come sorted by them."""
+    held: list = []
+    at = None
+
+    def whole():
+        if len(held) == 1:
+            return held[0]
+        return {c: np.concatenate([h[0][c] for h in held]) for c in _FIELDS}, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _FIELDS}
+        raw, place = string_bytes(batch.column("sketch"))
+        name, part = col["list"], col["part"]
+        cut = (np.flatnonzero((name[1:] != name[:-1]) | (part[1:] != part[:-1])) + 1).tolist()
+        for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            here = name[a], part[a]
+            if held and here != at:
+                yield whole()
+                held = []
+            at = here
+            held.append(({c: v[a:b] for c, v in col.items()}, raw[place[a] : place[b]], np.diff(place[a : b + 1])))
+    if held:
+        yield whole()
+
+
+def _compared(few: int):
+    """Members (and failed pairs) of lists, sorted by list and part, to pairs worth verifying."""
+
+    def close(col, raw, size):
+        m = np.flatnonzero(~col["failed"])
+        if len(m) < 2:
+            return None
+        code, at = np.unique(col["code"][m], return_index=True)
+        comp = col["comp"][m[at]]
+        if len(code) < 2 or (comp == comp[0]).all():
+            return None
+        ours = np.isin(code, col["code"][m][col["few"][m]])
+        if not ours.any():
+            return None
+        start = np.cumsum(size) - size
+        i, j, d = near_pairs(col["n"][m[at]], _folded(raw, start[m[at]], size[m[at]]), comp, ours)
+        lost = np.flatnonzero(col["failed"])
+        if len(lost) and len(i):
+            a, b = col["code"][lost], col["other"][lost]
+            p, q = (np.minimum(np.searchsorted(code, x), len(code) - 1) for x in (a, b))
+            here = (code[p] == a) & (code[q] == b)
+            known = np.minimum(p, q)[here] * len(code) + np.maximum(p, q)[here]
+            new = ~np.isin(np.minimum(i, j) * len(code) + np.maximum(i, j), known)
+            i, j, d = i[new], j[new], d[new]
+        if not len(i):
+            return None
+        # All pairs of members that have few, and of a list that has few; of the others, among themselves, a forest.
+        degree = np.bincount(i, minlength=len(code)) + np.bincount(j, minlength=len(code))
+        low = (np.minimum(degree[i], degree[j]) <= few) | (2 * len(i) <= few * len(code))
+        dense = np.flatnonzero(~low)
+        pick = np.concatenate([np.flatnonzero(low), dense[spanning(comp, i[dense], j[dense], d[dense])]])
+        forest = np.arange(len(pick)) >= int(low.sum())
+        x, y = code[i[pick]], code[j[pick]]
+        return np.where(forest, col["list"][0], 0), np.minimum(x, y), np.maximum(x, y), forest
+
+    def run(batches):
+        out: list = []
+        n = 0
+
+        def passed():
+            whole = np.unique(np.rec.fromarrays([np.concatenate([o[k] for o in out]) for k in range(4)]))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(whole[f])) for f in whole.dtype.names], names=["list", "a", "b", "forest"])
+
+        for group in _groups(batches):
+            found = close(*group)
+            if found is None:
+                continue
+            out.append(found)
+            n += len(found[0])
+            if n > 50_000:
+                yield passed()
+                out, n = [], 0
+        if n:
             yield passed()
-            out, n = [], 0
-    if n:
-        yield passed()
+
+    return run
 
 
 def _sets(batches):
@@ -370,28 +407,53 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array([value[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], names=["code", "hashes"])
 
 
-
 def _verified(batches):
     """Exact Jaccard of pairs of sets."""
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            p, q = _words64(x), _words64(y)
+        ok = np.empty(batch.num_rows, bool)
+        (x, at_x), (y, at_y) = (string_bytes(batch.column(c)) for c in ("x", "y"))
+        for k in range(batch.num_rows):
+            p, q = _words64(x[at_x[k] : at_x[k + 1]]), _words64(y[at_y[k] : at_y[k + 1]])
             both = np.sort(np.concatenate([p, q]))
             same = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * same >= 80 * (len(p) + len(q) - same))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+            ok[k] = 100 * same >= 80 * (len(p) + len(q) - same)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "linked"])
+
+
+class _Sets:
+    """Hash sets of classes, made from one text of each when a pair needs them and kept for later rounds."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> None:
+        self.texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+        self.reps, self.made = reps, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(code, hashes) of all classes in ``pairs`` (and more)."""
+        need = pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct()
+        if self.made is not None:
+            need = need.join(self.made.select("code"), "code", "left_anti")
+        need = keep(need.join(self.reps.select("code", "first_id"), "code").select(F.col("first_id").alias("_need")), "need")
+        n = need.count()
+        if n:
+            texts = self.texts.join(F.broadcast(need) if n <= MANY else need, F.col("_id") == F.col("_need"), "left_semi")
+            new = keep(texts.select("_text").mapInArrow(tidy(_sets), "code long, hashes binary").dropDuplicates(["code"]), "sets")
+            self.made = new if self.made is None else self.made.unionByName(new)
+        return self.made
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) with linked, by the sets themselves."""
+        sets = self.of(pairs)
+        both = pairs.join(sets.select(F.col("code").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("code").alias("b"), F.col("hashes").alias("y")), "b")
+        return keep(both.mapInArrow(tidy(_verified), "a long, b long, linked boolean"), "checked", WIDE)
+
+
+def _chunk(code: str, salt: int, n: str) -> Column:
+    """Which of the chunks of a list of n a class falls into."""
+    return F.pmod(F.xxhash64(code, F.lit(salt)), F.ceil(F.col(n) / CHUNK)).cast("long")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``pairs`` (a, b) with linked; the sets are made again from the texts that pairs need."""
-    need = pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct().join(reps.select("code", "first_id"), "code")
-    need = keep(need.select(F.col("first_id").alias("_need")), "need")
-    ids = F.broadcast(need) if need.count() <= MANY else need
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids, F.col("_id") == F.col("_need"), "left_semi")
-    sets = keep(texts.select("_text").mapInArrow(_sets, "code long, hashes binary"), "sets")
-    both = pairs.join(sets.select(F.col("code").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("code").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.mapInArrow(_verified, "a long, b long, linked boolean").distinct()
+def _pieces(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / CHUNK) - 1).cast("long")))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -405,13 +467,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if total.clash:
         raise ValueError("two sets have one code")  # one in 2**64 for any two sets
     buckets = max(shuffles, math.ceil(0.45 * (total.n or 0) / BUCKET))
-    parts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(_dealt(buckets), _PARTS)
-    lists = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _LISTS)
+    parts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(tidy(_dealt(buckets)), _PARTS)
+    lists = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_lists), _LISTS)
     lists = keep(lists.groupBy("list", "code").agg(F.sum("weight").alias("weight")), "lists")
-    empty = spark.range(0)
-    links = empty.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    failed = links
-    comps = empty.select(F.col("id").alias("code"), F.col("id").alias("comp"))
     lists = keep(lists.join(lists.groupBy("list").agg(F.count("*").alias("g")), "list"), "lists")
     crowded = F.col("g") > CROWDED
     # A class with fewer signatures in crowded lists than it must share with any linked one meets each of those in another list too.
@@ -419,38 +477,43 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = load.join(reps.select("code", "spare"), "code").where("load < spare").select("code", F.lit(True).alias("light"))
     lists = keep(lists.join(light, "code", "left").where(~(crowded & F.col("light").isNotNull())).select("list", "code", "g"), "lists")
     large = keep(lists.where(F.col("g") > CHUNK).select("list").distinct(), "large")
-    chunk = lambda salt, n: F.pmod(F.xxhash64("code", F.lit(salt)), F.ceil(F.col(n) / CHUNK)).cast("long")
-    pieces = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col(n) / CHUNK) - 1).cast("long")))
+    none = spark.range(0)
+    comps = none.select(F.col("id").alias("code"), F.col("id").alias("comp"))
+    failed = none.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    lost = none.select(F.col("id").alias("list"), F.col("id").alias("a"), F.col("id").alias("b"))  # by list, the forest pairs that failed
+    sets = _Sets(docs, reps, id_col, text_col)
+    blank = {"other": F.lit(0).cast("long"), "failed": F.lit(False)}
     # at first every chunk of a list by itself; what that leaves open comes in the next rounds
-    members = lists.withColumn("part", chunk(1, "g")).select("list", "part", "code", F.col("code").alias("comp"), F.lit(True).alias("few"))
-    lost = failed.groupBy(F.col("a").alias("code")).agg(F.collect_list("b").alias("failed"))
-    first = True
+    members = lists.withColumn("part", _chunk("code", 1, "g")).select("list", "part", "code", F.col("code").alias("comp"), F.lit(True).alias("few"))
+    misses = None
+    few, first = FEW, True
     while True:
-        known = reps.select("code", "n", "sketch")
-        known = known.withColumn("failed", F.lit(None).cast("array<long>")) if first else known.join(lost, "code", "left")
-        members = members.join(known, "code")
-        pairs = members.repartition(4 * shuffles, "list", "part").sortWithinPartitions("list", "part").mapInArrow(_candidates, "list long, a long, b long, forest boolean")
+        rows = members.join(reps.select("code", "n", "sketch"), "code").withColumns(blank).select(*_FIELDS, "sketch")
+        rows = rows if misses is None else rows.unionByName(misses)
+        pairs = rows.repartition(4 * shuffles, "list", "part").sortWithinPartitions("list", "part").mapInArrow(tidy(_compared(few)), "list long, a long, b long, forest boolean")
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty() and not (first and not large.isEmpty()):
             return texts.select("doc_id", "n", "code"), comps
-        checked = keep(_verify(docs, pairs.select("a", "b").distinct(), reps, id_col, text_col), "checked")
-        bad = checked.where("not linked").select("a", "b")
-        links = keep(links.union(checked.where("linked").select("a", "b")), "linked")
-        comps = components(links).select(F.col("node").alias("code"), F.col("component").alias("comp"))
+        checked = sets.verify(pairs.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
+        failed = keep(failed.unionByName(checked.where("not linked").select("a", "b")), "failed")
+        comps = widened(comps, checked.where("linked").select("a", "b"))
         # A list is settled when each pair of its forest is a link: its other pairs were all checked, or lie in one component.
-        open_lists = pairs.where("forest").join(bad, ["a", "b"], "left_semi").select("list")
-        open_lists = keep((open_lists.union(large) if first else open_lists).distinct(), "open")
-        failed = keep(failed.union(bad), "failed")
-        lost = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("code")).agg(F.collect_list("b").alias("failed"))
-        known = lists.join(open_lists, "list", "left_semi").join(comps, "code", "left").withColumn("comp", F.coalesce("comp", "code"))
-        known = keep(known, "open-members")
-        shares = known.groupBy("list", "comp").agg(F.count("*").alias("k"))
-        main = shares.groupBy("list").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m")).where("n > m.k").select("list", F.col("m.comp").alias("main"), (F.col("n") - F.col("m.k")).alias("rest"))
-        known = keep(known.join(main, "list"), "open-members")
-        every = known.select("list", "code", "comp", "g", F.lit(False).alias("few"), pieces("rest").alias("r")).withColumn("part", F.col("r") * 1_000_000_000 + chunk(1, "g"))
-        minor = known.where("comp <> main").select("list", "code", "comp", "rest", F.lit(True).alias("few"), pieces("g").alias("r")).withColumn("part", chunk(2, "rest") * 1_000_000_000 + F.col("r"))
+        missed = keep(pairs.where("forest").join(failed, ["a", "b"], "left_semi").select("list", "a", "b"), "missed")
+        open_lists = missed.select("list").union(large) if first else missed.select("list")
+        known = keep(lists.join(open_lists.distinct(), "list", "left_semi").join(comps, "code", "left").withColumn("comp", F.coalesce("comp", "code")), "open-members")
+        shares = known.groupBy("list", "comp").agg(F.count("*").alias("k"), F.first("g").alias("g"))
+        main = shares.groupBy("list").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.first("g").alias("g")).where("n > m.k")
+        main = keep(main.select("list", F.col("m.comp").alias("main"), (F.col("n") - F.col("m.k")).alias("rest"), "g"), "open-lists")
+        known = known.drop("g").join(main, "list")
+        # Classes outside a list's main component, in chunks, meet every chunk of the list.
+        every = known.select("list", "code", "comp", "g", F.lit(False).alias("few"), _pieces("rest").alias("r")).withColumn("part", F.col("r") * 1_000_000_000 + _chunk("code", 1, "g"))
+        minor = known.where("comp <> main").select("list", "code", "comp", "rest", F.lit(True).alias("few"), _pieces("g").alias("r")).withColumn("part", _chunk("code", 2, "rest") * 1_000_000_000 + F.col("r"))
         members = every.select("list", "part", "code", "comp", "few").unionByName(minor.select("list", "part", "code", "comp", "few"))
-        first = False
+        lost = keep(lost.join(main, "list", "left_semi").unionByName(missed), "lost")
+        both = lost.unionByName(lost.select("list", F.col("b").alias("a"), F.col("a").alias("b"))).join(main, "list")
+        zero = {"n": F.lit(0).cast("long"), "comp": F.lit(0).cast("long"), "few": F.lit(False), "failed": F.lit(True), "sketch": F.lit(b"")}
+        misses = both.select("list", (_chunk("a", 2, "rest") * 1_000_000_000 + _chunk("b", 1, "g")).alias("part"), F.col("a").alias("code"), F.col("b").alias("other")).withColumns(zero).select(*_FIELDS, "sketch")
+        few, first = 2 * few, False
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -478,8 +541,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        Links merge components; a pair that fails is not tried again.
        This goes on until no list has a pair of different components that is
        still open, so every link is found, or both its ends are connected
-       otherwise. No step gives all pairs of a group; a list beyond ``CHUNK``
-       members is dealt out in chunks.
+       otherwise. A list beyond ``CHUNK`` members is dealt out in chunks. What
+       counts as few doubles in each round, and a member has fewer than
+       2 x ``CHUNK`` partners in a task, so there are at most
+       2 + log2(2 x CHUNK / FEW) rounds; only lists with a failed forest pair
+       go into the next one, and sets made once are used again.
     """
     rest = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
     texts, comps = jaccard_classes(docs, id_col, text_col)

@@ -97,7 +97,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-REPETITIONS = 2.0  # passes over the smallest source for one over the largest
+REPETITIONS = 2.0  # passes over the smallest source at most
+BUDGET = 1.25  # passes over all tokens
 
 
 @CATALOG.query(
@@ -106,17 +107,19 @@ REPETITIONS = 2.0  # passes over the smallest source for one over the largest
     WITH RECURSIVE d AS (
       SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
     s AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY source),
-    r AS (SELECT max(tokens)::DOUBLE AS most, min(tokens) FILTER (tokens > 0)::DOUBLE AS least FROM s),
+    t AS (SELECT max(tokens)::DOUBLE AS most, sum(tokens)::DOUBLE AS total FROM s),
+    r AS (SELECT list(tokens / most ORDER BY tokens) AS q, min(tokens / most) AS least, any_value(1.25 * total / most) AS share FROM s, t WHERE tokens > 0),
     b AS (
-      SELECT 0 AS i, 0.0::DOUBLE AS low, CASE WHEN pow(least / most, -1.0) <= 2.0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS high, least / most AS q FROM r
+      SELECT 0 AS i, 0.0::DOUBLE AS low, CASE WHEN pow(least, -1.0) / len(q) * share <= 2.0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS high, q, least, share FROM r
       UNION ALL
-      SELECT i + 1, CASE WHEN pow(q, (low + high) / 2 - 1) <= 2.0 THEN low ELSE (low + high) / 2 END,
-             CASE WHEN pow(q, (low + high) / 2 - 1) <= 2.0 THEN (low + high) / 2 ELSE high END, q FROM b WHERE i < 48),
+      SELECT i + 1, CASE WHEN m <= 2.0 THEN low ELSE (low + high) / 2 END, CASE WHEN m <= 2.0 THEN (low + high) / 2 ELSE high END, q, least, share
+      FROM (SELECT *, pow(least, (low + high) / 2 - 1) / list_sum(list_transform(q, lambda x: pow(x, (low + high) / 2))) * share AS m FROM b WHERE i < 48)),
     a AS (SELECT round(high, 6) AS alpha FROM b WHERE i = 48),
+    z AS (SELECT list_sum(list_transform(q, lambda x: pow(x, alpha))) AS z FROM r, a),
     p AS (
-      SELECT s.source, CASE WHEN tokens > 0 THEN round(pow(tokens / most, alpha - 1), 6) ELSE 1.0 END AS epochs,
+      SELECT s.source, CASE WHEN tokens > 0 THEN round(pow(tokens / most, alpha) / z * (1.25 * total) / tokens, 6) ELSE 1.0 END AS epochs,
              greatest(CAST(ceil(tokens / 262144.0) AS BIGINT), 1) AS n_blocks
-      FROM s, r, a),
+      FROM s, t, a, z),
     k AS (
       SELECT doc_id, d.source, n, epochs, CAST(floor(epochs) AS BIGINT) AS whole,
              ('0x' || substr(md5('17:' || doc_id), 1, 12))::BIGINT % n_blocks AS mix_block
@@ -125,14 +128,17 @@ REPETITIONS = 2.0  # passes over the smallest source for one over the largest
       SELECT *, sum(n) OVER (PARTITION BY source, mix_block ORDER BY md5('17:' || (whole + 1) || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS running,
              sum(n) OVER (PARTITION BY source, mix_block) AS total
       FROM k),
-    t AS (SELECT *, whole + CASE WHEN epochs > whole AND 2 * running - n <= 2 * (epochs - whole) * total THEN 1 ELSE 0 END AS times FROM w),
-    e AS (SELECT *, unnest(range(1, times + 1)) AS mix_epoch FROM t)
-    SELECT doc_id, source, CAST(mix_epoch AS INTEGER) AS mix_epoch, mix_block, md5('17:' || mix_epoch || ':' || doc_id) AS mix_key FROM e
+    c AS (SELECT *, whole + CASE WHEN epochs > whole AND 2 * running - n <= 2 * (epochs - whole) * total THEN 1 ELSE 0 END AS times FROM w),
+    e AS (SELECT *, unnest(range(1, times + 1)) AS mix_epoch FROM c),
+    f AS (SELECT *, md5('17:' || mix_epoch || ':' || doc_id) AS mix_key FROM e)
+    SELECT doc_id, source, CAST(mix_epoch AS INTEGER) AS mix_epoch, mix_block, mix_key,
+           CAST(row_number() OVER (PARTITION BY source, mix_block, mix_epoch ORDER BY mix_key, doc_id) AS INTEGER) AS mix_position
+    FROM f
     """,
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, repetitions=REPETITIONS, carry=["doc_id", "source"])
+    return mix(docs, repetitions=REPETITIONS, budget=BUDGET, carry=["doc_id", "source"])
 
 
 def piece_model() -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import mix64, text_slices
+from maskwright.llm.common import mix64, text_slices, tidy
 
 SLICE = 1 << 19
 SPACE = "▁"
@@ -397,15 +397,16 @@ def segmentations(v: Vocabulary, texts: list[str], key: np.ndarray, k: int):
             yield t, s + 1, ids[cut[t] : cut[t + 1]], float(sample.log_p[t]), min(0.0, float(inclusion[t]))
 
 
-def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Up to k distinct segmentations per text: id, sample, n_pieces, ids_crc32, log_prob, log_inclusion, exact [, ids].
+def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, pass_col: str | None = None) -> DataFrame:
+    """Up to k distinct segmentations per text: id [, pass], sample, n_pieces, ids_crc32, log_prob, log_inclusion, exact [, ids].
 
     A text's segmentations into the model's pieces have probability in
     proportion to the product of their weights; ``sample`` 1..k is a sample
     without replacement in order of perturbed value. ``log_inclusion`` is the
     log of the probability of being in such a sample given the best value
-    outside it. The random numbers come from the id and the seed alone, so a
-    row gets the same samples wherever and whenever it is computed. ``exact``
+    outside it. The random numbers come from the id and the seed alone (and
+    from ``pass_col``, where a document comes several times), so a row gets
+    the same samples wherever and whenever it is computed. ``exact``
     tells whether the ids decode to the text (after the model's normaliser).
 
     A null or empty text has one segmentation, of no piece. Fewer rows than k
@@ -414,8 +415,9 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
     rows get equal samples; a null id is a key like others; an empty table
     gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    schema = f"{id_col} long, sample int, n_pieces long, ids_crc32 long, log_prob double, log_inclusion double, exact boolean" + (", ids array<int>" if with_ids else "")
+    passes = [F.col(pass_col).cast("long")] if pass_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed), *passes).alias("_key"), F.col(text_col).cast("string").alias("_text"), *passes)
+    schema = f"{id_col} long, " + (f"{pass_col} long, " if pass_col else "") + "sample int, n_pieces long, ids_crc32 long, log_prob double, log_inclusion double, exact boolean" + (", ids array<int>" if with_ids else "")
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -432,10 +434,10 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
                     cols.append((s, len(found), zlib.crc32(found.astype("<u4").tobytes()), log_p, log_q, same))
                     if with_ids:
                         ids.append(found)
-                arrays = [own.column(0).take(pa.array(which, pa.int64())), *(pa.array([c[i] for c in cols], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())))]
+                arrays = [*(own.column(i).take(pa.array(which, pa.int64())) for i in (0, *range(3, own.num_columns))), *(pa.array([c[i] for c in cols], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())))]
                 if with_ids:
                     at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     arrays.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

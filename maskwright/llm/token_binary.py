@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import fresh_path, keep
+from maskwright.llm.common import fresh_path, keep, tidy
 from maskwright.llm.storage import new_file, open_random
 
 SEQUENCE = 2048  # ids in each fixed-size list
@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
     rows = rows.repartitionByRange(shards, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
-    manifest = keep(rows.mapInArrow(_write(folder, tokenizer, end_id, sequence, added), _MANIFEST), "manifest")
+    manifest = keep(rows.mapInArrow(tidy(_write(folder, tokenizer, end_id, sequence, added)), _MANIFEST), "manifest")
     from pyspark.sql import Window
 
     return manifest.withColumn("shard_start", F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens"))
@@ -163,7 +163,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chosen = manifest.select("shard", "ids_uri", "docs_uri", "shard_start").repartition(parts, "shard")
-    return chosen.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return chosen.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _read_shard(ids_uri: str, docs_uri: str, shard_start: int):
