@@ -7,12 +7,12 @@ the columns of ``documents``. Columns beyond them pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import fresh_path, keep
 from maskwright.llm.exact_dedup import exact_dedup
-from maskwright.llm.language_id import held_out, identify, train
+from maskwright.llm.language_id import held_out, identify, told, train
 from maskwright.llm.mixing import mix
 from maskwright.llm.ngram_join import MANY, jaccard_join
 from maskwright.llm.queries import REPETITIONS, piece_model
@@ -28,10 +28,11 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that no language can be told of: null texts and those without a letter."""
+    """Drop the documents whose language can't be told: null texts, those without a letter, and those no nearer to any learned language than chance. A null ``lang`` becomes the prediction."""
     profiles = train(docs.where(~held_out(F.col("doc_id"))))
     docs, columns = _aside(docs, "lang_pred", "score")
-    return identify(docs, profiles).where("lang_pred <> 'und'").select(*columns)
+    found = identify(docs, profiles).where(told(F.col("score"), F.col("lang_pred")))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
 
 def _told_apart(docs: DataFrame) -> bool:
@@ -64,14 +65,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least, those of small sources up to twice."""
-    docs, columns = _aside(docs, "mix_epoch", "mix_block", "mix_key")
+    """Every document once at least, those of small sources up to twice, blocks permuted anew in each pass: the rows of a file come in that order."""
+    docs, columns = _aside(docs, "mix_epoch", "mix_block", "mix_position", "mix_key")
     return mix(docs, repetitions=REPETITIONS).select(*columns)
 
 
 def sampling_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two segmentations of each document with their inclusion scores; a document that comes twice gets the same ones."""
-    return sample_segmentations(docs, piece_model(), k=SAMPLES)
+    """Two segmentations of each document with their inclusion scores; a document that comes again (``pass`` 2, 3 ...) gets others."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    again = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("text"))
+    return sample_segmentations(rows.withColumn("pass", again), piece_model(), k=SAMPLES, pass_col="pass")
 
 
 STAGES = [
