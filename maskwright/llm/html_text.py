@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections import OrderedDict
+from bisect import bisect_left
+from collections import Counter, OrderedDict
 from html import unescape
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from maskwright.llm.common import keep, text_slices, tidy
 
 LEAST_PAGES = 4  # different pages of a host that must agree on a text before it counts as template
 LINKED = 0.6  # share of link text from which a slot outside an article is a menu
+MAIN = 0.8  # share of a host's varying text from which one place is where the main text is
+CELLS = 1 << 18  # pairs of unlike neighbours up to which the best match is sought; beyond, neighbours of equal label match in order
 FAN = 16
 BROADCAST_BYTES = 16 << 20  # wrappers up to which they are broadcast; beyond, they are joined by host
 _SLICE = 8 << 20
@@ -40,16 +43,18 @@ _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
     "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
+_HOLDERS = frozenset("html body div section main article center table tbody tr td form".split())  # what may hold a whole main text
+_TEXTUAL = frozenset("#text p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl figure".split())  # what is text of the element that it stands in
 _SCOPE = frozenset("ul ol dl table tbody thead tfoot tr select div article section main body html nav aside header footer form blockquote".split())
 
 
 class Node:
     """An element that makes blocks, or a stretch of text (label ``#text``)."""
 
-    __slots__ = ("label", "tag", "left_out", "named", "holds", "kids", "text", "links")
+    __slots__ = ("label", "tag", "left_out", "named", "holds", "kids", "text", "links", "parent")
 
-    def __init__(self, label: str, tag: str, left_out: bool = False, named: int = 0) -> None:
-        self.label, self.tag, self.left_out, self.named, self.holds, self.kids, self.text, self.links = label, tag, left_out, named, 0, [], "", 0
+    def __init__(self, label: str, tag: str, left_out: bool = False, named: int = 0, parent: Node | None = None) -> None:
+        self.label, self.tag, self.left_out, self.named, self.holds, self.kids, self.text, self.links, self.parent = label, tag, left_out, named, 0, [], "", 0, parent
 
 
 def _chrome(tag: str, attrs: dict[str, str]) -> bool:
@@ -83,6 +88,7 @@ def parse(html: str) -> Node:
     """The block tree of a page; lenient: unclosed, crossed and cut-off tags all give a tree."""
     root = Node("#root", "#root")
     stack, said, linked, links, mute = [root], [], 0, 0, []
+    opened: Counter[str] = Counter()  # how often each tag is on the stack
     at, n = 0, len(html)
 
     def flush() -> None:
@@ -97,9 +103,12 @@ def parse(html: str) -> Node:
         linked = 0
 
     def close(tags: set[str], until: frozenset[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 flush()
+                opened.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in until:
@@ -132,11 +141,12 @@ def parse(html: str) -> Node:
                 continue
             if tag in _INLINE:
                 said.append(" " if tag == "br" else "")
-            elif any(s.tag == tag for s in stack):
+            elif opened[tag]:
                 flush()
                 while stack[-1].tag != tag:
-                    stack.pop()
+                    opened[stack.pop().tag] -= 1
                 stack.pop()
+                opened[tag] -= 1
             else:
                 flush()  # a stray end tag still ends a block
             continue
@@ -171,12 +181,14 @@ def parse(html: str) -> Node:
             close(_CLOSED_BY[tag], _SCOPE - _CLOSED_BY[tag])
         if tag == "body":
             close({"head"}, frozenset())
-        node = Node(_label(tag, attrs), tag, _chrome(tag, attrs), _named(tag, attrs))
+        node = Node(_label(tag, attrs), tag, _chrome(tag, attrs), _named(tag, attrs), stack[-1])
         if tag in ("h1", "main"):
-            for x in stack:
-                x.holds = max(x.holds, 1 if tag == "h1" else 2)
+            grade, x = 1 if tag == "h1" else 2, stack[-1]
+            while x is not None and x.holds < grade:
+                x.holds, x = grade, x.parent
         stack[-1].kids.append(node)
         stack.append(node)
+        opened[tag] += 1
     flush()
     return root
 
@@ -189,48 +201,132 @@ def _least(a: list[int], b: list[int]) -> list[int]:
 
 
 class Tree:
-    """A node of a wrapper: one place of the template, with what the pages have there; ``seen`` has the digests of different pages, LEAST_PAGES of them at most."""
+    """A node of a wrapper: one place of the template, with what the pages have there.
 
-    __slots__ = ("label", "kids", "digest", "pages", "seen", "chars", "links", "leaves")
+    ``seen`` has the digests of different pages, LEAST_PAGES of them at most;
+    ``mass`` counts the characters that are no links and in no element that
+    says it is chrome. All work on trees goes by loops: pages nest as deep as
+    they like.
+    """
+
+    __slots__ = ("label", "kids", "digest", "pages", "seen", "chars", "links", "mass", "leaves")
 
     def __init__(self, label: str) -> None:
-        self.label, self.kids, self.digest, self.pages, self.seen, self.chars, self.links, self.leaves = label, [], None, 1, [], 0, 0, []
+        self.label, self.kids, self.digest, self.pages, self.seen, self.chars, self.links, self.mass, self.leaves = label, [], None, 1, [], 0, 0, 0, []
 
-    def shape(self) -> str:
-        return self.label + ("(" + ",".join(k.shape() for k in self.kids) + ")" if self.kids else "")
+    @property
+    def tag(self) -> str:
+        return self.label.partition(".")[0]
 
     def walk(self):
-        yield self
-        for k in self.kids:
-            yield from k.walk()
+        """The nodes, each before its kids."""
+        stack = [self]
+        while stack:
+            t = stack.pop()
+            yield t
+            stack += t.kids[::-1]
+
+    def shape(self) -> str:
+        return "".join(f"{t.label}\0{len(t.kids)}\0" for t in self.walk())
 
     def dump(self) -> list:
-        return [self.label, self.digest, self.pages, self.seen, self.chars, self.links, [k.dump() for k in self.kids]]
+        return [[t.label, t.digest, t.pages, t.seen, t.chars, t.links, t.mass, len(t.kids)] for t in self.walk()]
 
     @classmethod
-    def load(cls, x: list) -> Tree:
-        t = cls(x[0])
-        t.digest, t.pages, t.seen, t.chars, t.links = x[1:6]
-        t.kids = [cls.load(k) for k in x[6]]
-        return t
-
-
-def align(a: list[Tree], b: list[Tree]) -> list[tuple[int, int]]:
-    """Simple tree matching of two forests: the pairs of an order-keeping match of most nodes."""
-
-    def weight(x: Tree, y: Tree) -> int:
-        return 1 + grid(x.kids, y.kids)[-1][-1] if x.label == y.label else 0
-
-    def grid(p: list[Tree], q: list[Tree]) -> list[list[int]]:
-        w = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i, x in enumerate(p):
-            for j, y in enumerate(q):
-                w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + weight(x, y) if x.label == y.label else 0)
-        return w
-
-    if [x.label for x in a] == [y.label for y in b]:
-        return [(i, i) for i in range(len(a))]
-    w, pairs, i, j = grid(a, b), [], len(a), len(b)
+    def load(cls, rows: list) -> Tree:
+        above: list[tuple[Tree, int]] = []
+        for row in rows:
+            t = cls(row[0])
+            t.digest, t.pages, t.seen, t.chars, t.links, t.mass = row[1:7]
+            if above:
+                above[-1][0].kids.append(t)
+            else:
+                root = t
+            above.append((t, row[7]))
+            while above and len(above[-1][0].kids) == above[-1][1]:
+                above.pop()
+        return root
+
+
+def _weight(x: Tree, y: Tree, known: dict):
+    """Nodes in the best match of two trees of equal label; yields the pairs of trees that it needs first."""
+    p, q = x.kids, y.kids
+    last = [0] * (len(q) + 1)
+    if len(p) * len(q) > CELLS:
+        return 1 + len(_in_order(p, q))
+    for u in p:
+        row = [0]
+        for j, v in enumerate(q):
+            best = max(last[j + 1], row[j])
+            if u.label == v.label:
+                if (id(u), id(v)) not in known:
+                    known[id(u), id(v)] = yield u, v
+                best = max(best, last[j] + known[id(u), id(v)])
+            row.append(best)
+        last = row
+    return 1 + last[-1]
+
+
+def weight(x: Tree, y: Tree, known: dict) -> int:
+    """``_weight`` by an explicit stack."""
+    stack, value = [_weight(x, y, known)], None
+    while stack:
+        try:
+            stack.append(_weight(*stack[-1].send(value), known))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def _in_order(a: list[Tree], b: list[Tree]) -> list[tuple[int, int]]:
+    """Each node with the next one of its label."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y.label, []).append(j)
+    pairs, after = [], 0
+    for i, x in enumerate(a):
+        where = places.get(x.label, [])
+        k = bisect_left(where, after)
+        if k < len(where):
+            pairs.append((i, where[k]))
+            after = where[k] + 1
+    return pairs
+
+
+def align(a: list[Tree], b: list[Tree], known: dict) -> list[tuple[int, int]]:
+    """Simple tree matching of two forests: the pairs of an order-keeping match of most nodes.
+
+    Neighbours that agree from either end on are matched at once; what is
+    between them is a grid of the weights of its pairs (``known`` has those
+    worked out).
+    """
+    low, high = 0, 0
+    least = min(len(a), len(b))
+    while low < least and a[low].label == b[low].label:
+        low += 1
+    while high < least - low and a[-1 - high].label == b[-1 - high].label:
+        high += 1
+    head = [(i, i) for i in range(low)]
+    tail = [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
+    p, q = a[low : len(a) - high], b[low : len(b) - high]
+    if not p or not q:
+        return head + tail
+    if len(p) * len(q) > CELLS:
+        return head + [(i + low, j + low) for i, j in _in_order(p, q)] + tail
+    w = [[0] * (len(q) + 1)]
+    for x in p:
+        row = [0]
+        for j, y in enumerate(q):
+            best = max(w[-1][j + 1], row[j])
+            if x.label == y.label:
+                if (id(x), id(y)) not in known:
+                    known[id(x), id(y)] = weight(x, y, known)
+                best = max(best, w[-1][j] + known[id(x), id(y)])
+            row.append(best)
+        w.append(row)
+    middle, i, j = [], len(p), len(q)
     while i and j:
         if w[i][j] == w[i - 1][j]:
             i -= 1
@@ -238,63 +334,167 @@ def align(a: list[Tree], b: list[Tree]) -> list[tuple[int, int]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return pairs[::-1]
+            middle.append((i + low, j + low))
+    return head + middle[::-1] + tail
 
 
 def merge(a: Tree, b: Tree, same_page: bool = False) -> None:
     """Add ``b`` to ``a``: matched nodes become one, others are put in at their place."""
-    if same_page:
-        a.digest = xxhash.xxh64_intdigest(f"{a.digest}/{b.digest}") >> 1
-        a.leaves += b.leaves
-    else:
-        a.pages, a.seen = a.pages + b.pages, _least(a.seen, b.seen)
-        if a.digest != b.digest:
-            a.digest = -1
-    a.chars, a.links = a.chars + b.chars, a.links + b.links
-    pairs = align(a.kids, b.kids)
-    kids, i = [], 0
-    of = {j: i for i, j in pairs}
-    for j, y in enumerate(b.kids):
-        if j in of:
-            kids += a.kids[i : of[j] + 1]
-            merge(a.kids[of[j]], y, same_page)
-            i = of[j] + 1
+    known: dict = {}
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if same_page:
+            a.digest = xxhash.xxh64_intdigest(f"{a.digest}/{b.digest}") >> 1
+            a.leaves += b.leaves
         else:
-            kids.append(y)
-    a.kids = kids + a.kids[i:]
-
-
-def page_tree(root: Node) -> tuple[Tree, list[tuple[str, list[Node]]]]:
-    """(tree with repeated neighbours folded into one, the page's blocks with the elements above them)."""
-    blocks: list[tuple[str, list[Node]]] = []
-
-    def fold(node: Node, above: list[Node]) -> Tree:
-        t = Tree(node.label)
-        if node.tag == "#text":
-            t.digest, t.chars, t.links, t.leaves = xxhash.xxh64_intdigest(node.text) >> 1, len(node.text), node.links, [len(blocks)]
-            blocks.append((node.text, above))
-            return t
-        for kid in node.kids:
-            got = fold(kid, [*above, kid] if kid.tag != "#text" else above)
-            if t.kids and t.kids[-1].label == got.label:
-                merge(t.kids[-1], got, True)
+            a.pages, a.seen = a.pages + b.pages, _least(a.seen, b.seen)
+            if a.digest != b.digest:
+                a.digest = -1
+        a.chars, a.links, a.mass = a.chars + b.chars, a.links + b.links, a.mass + b.mass
+        if not b.kids:
+            continue
+        kids, i = [], 0
+        of = {j: i for i, j in align(a.kids, b.kids, known)}
+        for j, y in enumerate(b.kids):
+            if j in of:
+                kids += a.kids[i : of[j] + 1]
+                todo.append((a.kids[of[j]], y))
+                i = of[j] + 1
             else:
-                t.kids.append(got)
-        t.digest = xxhash.xxh64_intdigest("/".join(str(k.digest) for k in t.kids)) >> 1
-        t.chars, t.links = sum(k.chars for k in t.kids), sum(k.links for k in t.kids)
-        return t
+                kids.append(y)
+        a.kids = kids + a.kids[i:]
+
+
+class Block:
+    """A block of text: whether an element around it says that it is no main text, and whether it is in an article or main element."""
+
+    __slots__ = ("text", "out", "inside")
+
+    def __init__(self, text: str, out: bool, inside: bool) -> None:
+        self.text, self.out, self.inside = text, out, inside
+
+
+class _Around:
+    """What the elements around a place say.
+
+    An element is chrome by kind, role, state or the whole of a class. The
+    heading of an article stays in a header. Where only a part of a name (or
+    an id) tells chrome, an element in an article or main stays for the
+    wrapper to decide on, and so does one that holds the page's h1 or main.
+    """
+
+    __slots__ = ("out", "header", "heading", "article", "main")
 
-    tree = fold(root, [])
+    def __init__(self, above: _Around | None, e: Node) -> None:
+        if above is None:
+            self.out = self.header = self.heading = self.article = self.main = False
+        else:
+            self.out, self.header, self.heading, self.article, self.main = above.out, above.header, above.heading, above.article, above.main
+        if e.left_out or e.named > 1 and e.holds < 2:
+            if self.article and (e.tag == "header" or e.named == 3 and not e.left_out):
+                self.header, self.heading = True, False
+            else:
+                self.out = True
+        elif e.named == 1 and not e.holds and not (self.article or self.main):
+            self.out = True
+        self.heading = self.heading or e.tag in ("h1", "h2")
+        self.article, self.main = self.article or e.tag == "article", self.main or e.tag == "main"
+
+    def block(self, text: str) -> Block:
+        return Block(text, self.out or self.header and not self.heading, self.article or self.main)
+
+
+def page_tree(root: Node) -> tuple[Tree, list[Block]]:
+    """(tree with repeated neighbours folded into one, the page's blocks)."""
+    blocks: list[Block] = []
+    tree = Tree(root.label)
+    stack = [(root, tree, iter(root.kids), _Around(None, root))]
+    while stack:
+        node, t, kids, around = stack[-1]
+        kid = next(kids, None)
+        if kid is None:
+            stack.pop()
+            t.digest = xxhash.xxh64_intdigest("/".join([str(k.digest) for k in t.kids])) >> 1
+            t.chars, t.links, t.mass = sum([k.chars for k in t.kids]), sum([k.links for k in t.kids]), sum([k.mass for k in t.kids])
+            got, to = t, stack[-1][1] if stack else None
+        elif kid.tag != "#text":
+            stack.append((kid, Tree(kid.label), iter(kid.kids), _Around(around, kid)))
+            continue
+        else:
+            block = around.block(kid.text)
+            got, to = Tree(kid.label), t
+            got.digest, got.chars, got.links, got.leaves = xxhash.xxh64_intdigest(kid.text) >> 1, len(kid.text), kid.links, [len(blocks)]
+            got.mass = 0 if block.out else got.chars - got.links
+            blocks.append(block)
+        if to is not None:
+            if to.kids and to.kids[-1].label == got.label:
+                merge(to.kids[-1], got, True)
+            else:
+                to.kids.append(got)
     for t in tree.walk():
         t.seen = [tree.digest]
     return tree, blocks
 
 
+def _constant(t: Tree) -> bool:
+    """Whether a place has the same text on all pages, LEAST_PAGES different ones at least."""
+    return t.digest != -1 and len(t.seen) >= LEAST_PAGES
+
+
+def content_places(tree: Tree) -> set[int]:
+    """The places (ids of nodes) that hold the main text of a wrapper.
+
+    From the root on, the place with at least ``MAIN`` of all varying text is
+    gone into, as long as it is one that may hold a whole text, takes the h1
+    along, and has no varying text right beside it. Where no place has that
+    much, article elements below decide (else main elements), if there are
+    any.
+    """
+    nodes = list(tree.walk())
+    mass: dict[int, int] = {}
+    h1: dict[int, bool] = {}
+    for t in reversed(nodes):
+        mass[id(t)] = sum(mass[id(k)] for k in t.kids) if t.label != "#text" else 0 if _constant(t) else t.mass
+        h1[id(t)] = t.tag == "h1" or any(h1[id(k)] for k in t.kids)
+    at = tree
+    while at.kids and at.tag != "article":
+        best = max(at.kids, key=lambda k: mass[id(k)])
+        if best.tag not in _HOLDERS or mass[id(best)] < MAIN * mass[id(tree)] or h1[id(at)] and not h1[id(best)] or any(mass[id(k)] for k in at.kids if k.tag in _TEXTUAL):
+            break
+        at = best
+    if at.tag == "article":
+        return {id(at)}
+    for tag in ("article", "main"):
+        found, stack = set(), [at]
+        while stack:
+            t = stack.pop()
+            if t.tag == tag and mass[id(t)]:
+                found.add(id(t))
+            else:
+                stack += t.kids
+        if found:
+            return found
+    return {id(at)}
+
+
+def _below(tree: Tree, places: set[int]) -> set[int]:
+    """Numbers (in walking order) of the nodes that are or are in ``places``."""
+    found, stack, i = set(), [(tree, False)], 0
+    while stack:
+        t, inside = stack.pop()
+        inside = inside or id(t) in places
+        if inside:
+            found.add(i)
+        i += 1
+        stack += [(k, inside) for k in t.kids[::-1]]
+    return found
+
+
 def _added(a: Tree, b: Tree) -> None:
     """``merge`` of trees of equal shape."""
     for x, y in zip(a.walk(), b.walk(), strict=True):
-        x.pages, x.seen, x.chars, x.links = x.pages + y.pages, _least(x.seen, y.seen), x.chars + y.chars, x.links + y.links
+        x.pages, x.seen, x.chars, x.links, x.mass = x.pages + y.pages, _least(x.seen, y.seen), x.chars + y.chars, x.links + y.links, x.mass + y.mass
         if x.digest != y.digest:
             x.digest = -1
 
@@ -327,20 +527,21 @@ class Extractor:
     """Main text of pages, given their host's wrapper."""
 
     def __init__(self) -> None:
-        self.wrappers: OrderedDict[str, tuple[Tree | None, dict]] = OrderedDict()
+        self.wrappers: OrderedDict[str, tuple[Tree | None, set[int], dict]] = OrderedDict()
 
-    def marks(self, wrapper: str | None, tree: Tree) -> tuple[set[int], set[int]]:
-        """Places (in walking order) of a page's tree that are constant over the host, and those that are mostly links."""
+    def marks(self, wrapper: str | None, tree: Tree) -> tuple[set[int], set[int], set[int]]:
+        """Nodes (in walking order) of a page's tree that are constant over the host, those that are mostly links, and those where the host's pages have their main text."""
         if not wrapper:
-            return set(), set()
+            return set(), set(), set()
         if wrapper not in self.wrappers:
             common = Tree.load(json.loads(wrapper))
-            self.wrappers[wrapper] = (common if len(common.seen) >= LEAST_PAGES else None, {})
+            common = common if len(common.seen) >= LEAST_PAGES and common.digest == -1 else None
+            self.wrappers[wrapper] = common, content_places(common) if common else set(), {}
             if len(self.wrappers) > 1000:
                 self.wrappers.popitem(last=False)
-        common, known = self.wrappers[wrapper]
-        if common is None or common.digest != -1:
-            return set(), set()
+        common, places, known = self.wrappers[wrapper]
+        if common is None:
+            return set(), set(), set()
         shape = tree.shape()
         if shape not in known:
             if len(known) > 1000:
@@ -348,51 +549,40 @@ class Extractor:
             number = {id(t): i for i, t in enumerate(tree.walk())}
             constant: set[int] = set()
             linked: set[int] = set()
-
-            def follow(x: Tree, y: Tree) -> None:
+            main: set[int] = set()
+            weights: dict = {}
+            todo = [(tree, common)]
+            while todo:
+                x, y = todo.pop()
+                if id(y) in places:
+                    main.add(id(x))
                 if x.label == "#text":
-                    if y.digest != -1 and len(y.seen) >= LEAST_PAGES:
+                    if _constant(y):
                         constant.add(number[id(x)])
                     if y.chars and y.links >= LINKED * y.chars:
                         linked.add(number[id(x)])
-                for i, j in align(x.kids, y.kids):
-                    follow(x.kids[i], y.kids[j])
-
-            follow(tree, common)
-            known[shape] = constant, linked
+                todo += [(x.kids[i], y.kids[j]) for i, j in align(x.kids, y.kids, weights)]
+            known[shape] = constant, linked, _below(tree, main)
         return known[shape]
 
     def text(self, html: str, wrapper: str | None) -> str:
         tree, blocks = page_tree(parse(html))
-        constant, linked = self.marks(wrapper, tree)
-        marked = {b for i, t in enumerate(tree.walk()) for b in t.leaves if i in constant or i in linked and not any(e.tag in ("article", "main") for e in blocks[b][1])}
-        inside = [i for i, (_, above) in enumerate(blocks) if any(e.tag == "article" for e in above) and not _out(above)]
-        if not inside:
-            inside = [i for i, (_, above) in enumerate(blocks) if any(e.tag == "main" for e in above) and not _out(above)]
-        if inside:  # in an article, text that varies over the host stays, and more than half of it always does
-            stays = [i for i in inside if i not in marked]
-            if 2 * sum(len(blocks[i][0]) for i in stays) < sum(len(blocks[i][0]) for i in inside):
-                stays = inside
-        else:
-            inside = [i for i, (_, above) in enumerate(blocks) if not _out(above)]
-            stays = [i for i in inside if i not in marked] or inside
-        return "\n".join(blocks[i][0] for i in stays)
-
+        constant, linked, main = self.marks(wrapper, tree)
 
-def _out(above: list[Node]) -> bool:
-    """Whether one of the elements is left out.
+        def chosen(places: set[int]) -> list[int]:
+            inside, marked = [], set()
+            for i, t in enumerate(tree.walk()):
+                if t.leaves and i in places:
+                    inside += [b for b in t.leaves if not blocks[b].out]
+                    marked |= {b for b in t.leaves if i in constant or i in linked and not blocks[b].inside}
+            inside.sort()
+            stays = [b for b in inside if b not in marked]
+            size = lambda some: sum(len(blocks[b].text) for b in some)
+            article = bool(inside) and all(blocks[b].inside for b in inside)
+            return inside if article and 2 * size(stays) < size(inside) else stays or inside
 
-    The heading of an article stays in a header. Where only a part of a name
-    (or an id) tells chrome, an element in an article or main stays for the
-    wrapper to decide on, and so does one that holds the page's h1 or main.
-    """
-    for k, e in enumerate(above):
-        if e.left_out or e.named > 1 and e.holds < 2:
-            if not ((e.tag == "header" or e.named == 3 and not e.left_out) and any(x.tag == "article" for x in above[:k]) and any(x.tag in ("h1", "h2") for x in above[k:])):
-                return True
-        elif e.named == 1 and not e.holds and not any(x.tag in ("article", "main") for x in above[:k]):
-            return True
-    return False
+        stays = chosen(main) or chosen(_below(tree, content_places(tree)))
+        return "\n".join(blocks[b].text for b in stays)
 
 
 def _induced(batches):
@@ -447,13 +637,19 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     Pages of one host are parsed to block trees, in which repeated neighbours
     are folded, and aligned by simple tree matching to the host's wrapper. A
     slot whose text is the same on all its pages (four different ones at
-    least) is template, and so is one outside articles (and main) that is
-    mostly links; slots that vary are content. Menus, headers, footers, sidebars, notices, adverts, forms
-    and comments vary from page to page too, so elements that say what they
-    are by tag or role, and containers that do by a whole class, are left out
-    whatever the wrapper says; a part of a class or an id counts outside
-    articles only. Of a page with an article (else a main element) only that
-    counts.
+    least) is template. The main text of the host is where its pages' varying
+    text is: the wrapper is gone into as long as one place has four fifths of
+    all that varies and no such text right beside it; article (else main) elements decide where none has.
+    What varies in that place is a page's main text, and what lies elsewhere
+    is not. A page that has nothing there, or whose host has fewer than four
+    different pages, is its own wrapper, on which all text counts as varying.
+
+    In that place, elements that say by kind, role, state or the whole of a
+    class that they are no article text (forms, comments, asides, adverts) go
+    too, and their text has no weight in finding it; a part of a class or an
+    id counts outside articles only. Outside articles, slots that are mostly
+    links go. Where more than half of an article would go as template, it
+    stays whole.
 
     Inside a block white space is one blank; blocks are joined by a line feed
     in page order. A null html counts as empty and gives an empty text; a null
@@ -463,9 +659,9 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     """
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*rest, F.coalesce(F.lower(F.try_parse_url(F.col(url_col).cast("string"), F.lit("HOST"))), F.lit("")).alias("_host"), F.col(html_col).cast("string").alias("_html"))
-    found = keep(wrappers(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html"))), "wrappers").withColumnRenamed("host", "_of")
-    small = (found.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
-    joined = rows.join(F.broadcast(found) if small else found, F.col("_host") == F.col("_of"), "left").select(*rest, "wrapper", "_html")
+    found = keep(wrappers(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html"))), "wrappers").withColumnsRenamed({"host": "_of", "wrapper": "_wrapper"})
+    small = (found.agg(F.sum(F.octet_length("_wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
+    joined = rows.join(F.broadcast(found) if small else found, F.col("_host") == F.col("_of"), "left").select(*rest, "_wrapper", "_html")
     schema = joined.select(*rest, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def extract(batches):

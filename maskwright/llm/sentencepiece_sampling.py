@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import mix64, text_slices, tidy
 
-SLICE = 1 << 19
+SLICE = 1 << 17  # bytes of text whose lattice is held at once; a longer text has its own
 SPACE = "▁"
 _SIDES = 0x110000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -22,7 +22,7 @@ _powers: list[np.ndarray] = []
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         base, inverse = int(_MULT), pow(int(_MULT), -1, 1 << 64)
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (base, inverse)]
     return _powers[0][:n], _powers[1][:n]
@@ -87,7 +87,7 @@ class Vocabulary:
 
     def _hash(self, keys: np.ndarray, to: np.ndarray) -> None:
         """Moves of the trie by hash; keys that share a slot are also in a sorted list."""
-        self.bits = max(8, int(np.ceil(np.log2(16 * len(keys) + 1))))
+        self.bits = max(8, int(np.ceil(np.log2(8 * len(keys) + 1))))
         slot = self._slot(keys)
         self.slot_key, self.slot_to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         self.slot_key[slot], self.slot_to[slot] = keys, to
@@ -129,6 +129,15 @@ class Vocabulary:
         """What is segmented: the text, after the model's normaliser where it has one."""
         return text if self.plain else self.processor.normalize(text).removeprefix(SPACE if self.prefix else "").replace(SPACE, " ")
 
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what the pieces spell, one after the other; first byte of each and the end)."""
+        if not hasattr(self, "_spelled"):
+            size = np.fromiter(map(len, self.spelled), np.int64, self.size)
+            self._spelled = np.frombuffer(b"".join(self.spelled), np.uint8), np.cumsum(size) - size, size
+        raw, start, size = self._spelled
+        at = np.concatenate([[0], np.cumsum(size[ids])])
+        return raw[np.arange(at[-1]) + np.repeat(start[ids] - at[:-1], size[ids])], at
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the blank that the model puts in front is taken off."""
         raw = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
@@ -371,30 +380,61 @@ def sample_top_k(lat: Lattice, key: np.ndarray, k: int) -> tuple[list[Sample], n
     return samples, best_left()[0]
 
 
-def segmentations(v: Vocabulary, texts: list[str], key: np.ndarray, k: int):
-    """Yields (text, sample, ids, log_prob, log_inclusion) for a block of texts."""
+@dataclass
+class Sampled:
+    """A sample of each text of a block: the texts that have one, and for these ids, first id (and the end), log probability, log inclusion, and whether the ids spell the text."""
+
+    texts: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+    log_p: np.ndarray
+    log_q: np.ndarray
+    exact: np.ndarray
+
+
+def sampled(v: Vocabulary, texts: list[str], key: np.ndarray, k: int):
+    """Yields the samples of a block of texts, first to last."""
     texts = [v.normal(t) for t in texts]
+    raw = [(" " + t if v.prefix and t else t).encode("utf-8", "replace") for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    want = np.frombuffer(b"".join(raw), np.uint8)
     lat = lattice(v, texts)
     samples, rest = sample_top_k(lat, key, k)
-    for s, sample in enumerate(samples):
+    for sample in samples:
         on = np.flatnonzero(sample.step)
         piece = lat.piece[lat.node[on], sample.step[on].astype(np.int64) - 1]
         odd = np.flatnonzero(piece == -2)
         if len(odd):
-            raw = [chr(c).encode("utf-8", "replace") for c in lat.code[on[odd]].tolist()]
+            spelt = [chr(c).encode("utf-8", "replace") for c in lat.code[on[odd]].tolist()]
             count = np.ones(len(on), np.int64)
-            count[odd] = [len(x) for x in raw]
+            count[odd] = [len(x) for x in spelt]
             ids = np.repeat(piece, count)
-            ids[ids == -2] = v.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
+            ids[ids == -2] = v.byte_id[np.frombuffer(b"".join(spelt), np.uint8)]
             at = np.concatenate([[0], np.cumsum(count)])
         else:
             ids, at = piece, np.arange(len(on) + 1)
         cut = at[np.searchsorted(on, lat.first)]
+        got, byte = v.bytes_of(ids)
+        live = np.flatnonzero(sample.alive)
+        exact = np.diff(byte[cut]) == size
+        if exact[live].all() and len(live) == len(texts):
+            wrong = np.flatnonzero(got != want)
+            exact[np.searchsorted(np.cumsum(size), wrong, "right")] = False
+        else:
+            begin = np.cumsum(size) - size
+            for t in live[exact[live]].tolist():
+                exact[t] = np.array_equal(got[byte[cut[t]] : byte[cut[t + 1]]], want[begin[t] : begin[t] + size[t]])
         with np.errstate(over="ignore", under="ignore", divide="ignore"):
             x = sample.log_p - rest
             inclusion = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 40)))))
-        for t in np.flatnonzero(sample.alive).tolist():
-            yield t, s + 1, ids[cut[t] : cut[t + 1]], float(sample.log_p[t]), min(0.0, float(inclusion[t]))
+        yield Sampled(live, np.ascontiguousarray(ids, np.int32), np.append(cut[live], cut[-1]), sample.log_p[live], np.minimum(0.0, inclusion[live]), exact[live])
+
+
+def segmentations(v: Vocabulary, texts: list[str], key: np.ndarray, k: int):
+    """Yields (text, sample, ids, log_prob, log_inclusion) for a block of texts."""
+    for s, x in enumerate(sampled(v, texts, key, k)):
+        for i, t in enumerate(x.texts.tolist()):
+            yield t, s + 1, x.ids[x.at[i] : x.at[i + 1]], float(x.log_p[i]), float(x.log_q[i])
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float = 1.0, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, pass_col: str | None = None) -> DataFrame:
@@ -427,17 +467,14 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, alpha: float =
                 own = batch.slice(a, b - a)
                 texts = [t or "" for t in own.column(2).to_pylist()]
                 keys = own.column(1).to_numpy().view(np.uint64)
-                which, cols, ids = [], [], []
-                for t, s, found, log_p, log_q in segmentations(v, texts, keys, k):
-                    which.append(t)
-                    same = v.decode(found.tolist()) == v.normal(texts[t])
-                    cols.append((s, len(found), zlib.crc32(found.astype("<u4").tobytes()), log_p, log_q, same))
+                for number, x in enumerate(sampled(v, texts, keys, k)):
+                    which, n = pa.array(x.texts), np.diff(x.at)
+                    raw, at = memoryview(x.ids.astype("<u4", copy=False)).cast("B"), (4 * x.at).tolist()
+                    sums = [zlib.crc32(raw[c:d]) for c, d in zip(at[:-1], at[1:], strict=True)]
+                    arrays = [own.column(i).take(which) for i in (0, *range(3, own.num_columns))]
+                    arrays += [pa.array(np.full(len(n), number + 1, np.int32)), pa.array(n), pa.array(sums, pa.int64()), pa.array(x.log_p), pa.array(x.log_q), pa.array(x.exact)]
                     if with_ids:
-                        ids.append(found)
-                arrays = [*(own.column(i).take(pa.array(which, pa.int64())) for i in (0, *range(3, own.num_columns))), *(pa.array([c[i] for c in cols], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())))]
-                if with_ids:
-                    at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))))
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                        arrays.append(pa.ListArray.from_arrays(pa.array(x.at.astype(np.int32)), pa.array(x.ids)))
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.mapInArrow(tidy(run), schema)
