@@ -29,12 +29,19 @@ def hmac_sql(d: Spark, key: bytes, message: str) -> str:
     return _sha(d, f"({outer} || {_sha(d, f'({inner} || {message})')})")
 
 
+def _keyed(d: Spark, key: bytes, domain: bytes, s: str) -> str:
+    return hmac_sql(d, key, f"({_blob(d, domain)} || {_utf8(d, s)})")
+
+
+def slot_token_sql(d: Spark, key: bytes, seed: str, scope: str, kind: str, value: str, suffix_bytes: int = 16) -> str:
+    """The token of a slot: its type and the first bytes of a code of its seed, scope, type and value."""
+    suffix = hmac_sql(d, key, f"({_blob(d, b'token' + bytes(1))} || {seed} || {_keyed(d, key, b'scope' + bytes(1), scope)} || {_utf8(d, kind)} || {_keyed(d, key, b'value' + bytes(1), value)})")
+    return f"('<' || {kind} || '_' || lower(substr(hex({suffix}), 1, {2 * suffix_bytes})) || '>')"
+
+
 def token_sql(d: Spark, key: bytes, scope: str, kind: str, value: str) -> str:
     """The token of (scope, type, value): its seed comes from the key, so equal values of a scope get equal tokens and scopes stay apart."""
-    digest = lambda domain, s: hmac_sql(d, key, f"({_blob(d, domain)} || {_utf8(d, s)})")
-    seed = digest(b"seed\0", f"({scope} || chr(0) || {kind} || chr(0) || {value})")
-    suffix = hmac_sql(d, key, f"({_blob(d, b'token' + bytes(1))} || {seed} || {digest(b'scope' + bytes(1), scope)} || {_utf8(d, kind)} || {digest(b'value' + bytes(1), value)})")
-    return f"('<' || {kind} || '_' || lower(substr(hex({suffix}), 1, 32)) || '>')"
+    return slot_token_sql(d, key, _keyed(d, key, b"seed" + bytes(1), f"({scope} || chr(0) || {kind} || chr(0) || {value})"), scope, kind, value)
 
 
 def seal(value: Column, key: bytes, aad: Column, iv: Column | None = None) -> Column:

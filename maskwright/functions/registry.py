@@ -31,3 +31,13 @@ MODEL_LABELS = {
 }
 # Labels that count only where a rule has validated the same span.
 DOCUMENT_LABELS = {"PASSPORT": "PASSPORT_NUMBER", "INN": "INN_PERSON", "CREDIT_CARD": "BANK_CARD_NUMBER", "DRIVER_LICENSE": "DRIVER_LICENSE_NUMBER"}
+
+
+def extended(*extra: str) -> tuple[str, ...]:
+    """The canonical types and more of one's own; names are upper case and new."""
+    for name in extra:
+        if not name or not name.replace("_", "").isalnum() or name != name.upper() or not name[0].isalpha():
+            raise ValueError(f"{name!r} is no name of a type")
+        if name in TYPES or name in INTERMEDIATE or extra.count(name) > 1:
+            raise ValueError(f"{name} is there already")
+    return (*TYPES, *extra)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.operators.process import answers
+
 
 def detection_metrics(truth: DataFrame, predicted: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
     """Per type over distinct (case_id, type, start, end): tp, fp, fn, fp_on_hard_negative, precision, recall, f1 and whether each is defined."""
@@ -22,8 +24,15 @@ def detection_metrics(truth: DataFrame, predicted: DataFrame, negatives: DataFra
 
 
 def macro_average(metrics: DataFrame) -> DataFrame:
-    """Each metric averaged over the types for which it is defined."""
-    return metrics.agg(*[F.round(F.avg(F.when(F.col(f"{m}_defined"), F.col(m))), 6).alias(f"macro_{m}") for m in ("precision", "recall", "f1")], F.count("*").alias("n_types"))
+    """Each metric averaged over the types for which it is defined, and how many these are."""
+    names = ("precision", "recall", "f1")
+    return metrics.agg(*[F.round(F.avg(F.when(F.col(f"{m}_defined"), F.col(m))), 6).alias(f"macro_{m}") for m in names], *[F.count_if(f"{m}_defined").alias(f"{m}_types") for m in names], F.count("*").alias("n_types"))
+
+
+def corpus_quality(cases: DataFrame) -> DataFrame:
+    """Over cases (masked, expected_mask, input, restored): how many, their mean masking quality, and the share that came back exactly; a case that was not restored counts as not exact."""
+    exact = F.coalesce(F.col("restored") == F.col("input"), F.lit(False))
+    return cases.agg(F.count("*").alias("n_cases"), F.round(F.avg(masking_quality(F.col("masked"), F.col("expected_mask"))), 6).alias("masking_quality"), F.round(F.avg(exact.cast("int")), 6).alias("restoration_exact_rate"))
 
 
 def masking_quality(got: Column, wanted: Column) -> Column:
@@ -33,8 +42,5 @@ def masking_quality(got: Column, wanted: Column) -> Column:
 
 
 def idempotent(requests: DataFrame, mask: Column) -> DataFrame:
-    """Requests (payload_id, seq, payload) with outcome and reply: the first claims its id and is masked; its payload again gives the stored mask, the mask gives the original back, anything else conflicts."""
-    order = Window.partitionBy("payload_id").orderBy("seq")
-    rows = requests.withColumn("_mask", mask).withColumns({"original": F.first("payload").over(order), "result": F.first("_mask").over(order), "_n": F.row_number().over(order)})
-    outcome = F.when(F.col("_n") == 1, "masked").when(F.col("payload") == F.col("original"), "stored").when(F.col("payload") == F.col("result"), "restored").otherwise("conflict")
-    return rows.select("payload_id", "seq", outcome.alias("outcome"), F.when(outcome.isin("masked", "stored"), F.col("result")).when(outcome == "restored", F.col("original")).alias("reply"))
+    """Requests (payload_id, seq, payload) with outcome and reply, as ``process.answers`` where masking always works."""
+    return answers(requests.withColumn("model_status", F.lit("ok")), mask).select("payload_id", "seq", "outcome", "reply")

@@ -36,10 +36,14 @@ def split_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            ids, numbers, starts, ends = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = list(byte_windows((text.as_py() or "").encode(), size, overlap))
-                if found:
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * len(found), pa.int64()), "window": pa.array(range(len(found)), pa.int32()), "start_byte": pa.array([a for a, _ in found], pa.int64()), "end_byte": pa.array([b for _, b in found], pa.int64())})
+                for i, (a, b) in enumerate(byte_windows((text.as_py() or "").encode(), size, overlap)):
+                    ids.append(doc_id)
+                    numbers.append(i)
+                    starts.append(a)
+                    ends.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "window", "start_byte", "end_byte"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, window int, start_byte long, end_byte long")
 

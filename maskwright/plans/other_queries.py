@@ -11,8 +11,10 @@ from maskwright.functions.crypto import seal, token_sql, unseal
 from maskwright.functions.dialect import DUCK, SPARK
 from maskwright.functions.registry import TYPES
 from maskwright.operators import entities as E
-from maskwright.operators import scoring, vault, windows
+from maskwright.operators import alerts, audit, scoring, tokens, vault, windows
+from maskwright.operators.ranks import nearest_rank
 from maskwright.plans import entity_sql as S
+from maskwright.sources.shared import folder, kept
 from maskwright.sources.synthetic import ru_docs, ru_docs_sql
 from maskwright.sources.tables import table
 from maskwright.streaming.process import process_stream
@@ -22,9 +24,10 @@ KEY = bytes(range(32))
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
 
 
-def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def owned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer texts (doc_id, text) with entities and scope, detected once."""
     docs = ru_docs(spark, sf_dir).select(F.col("doc_id").cast("bigint"), "text")
-    return E.detect(docs).withColumn("scope", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")))
+    return kept(E.detect(docs).withColumn("scope", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))), "owned")
 
 
 def register(catalog: Catalog) -> None:
@@ -45,7 +48,7 @@ def register(catalog: Catalog) -> None:
 
     @catalog.query("token_reuse", f"{valued} SELECT scope, type, original, {token_sql(DUCK, KEY, 'scope', 'type', 'original')} AS token FROM v GROUP BY ALL")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vault.mappings(_owned(spark, sf_dir), KEY).select("scope", "type", "original", "token")
+        return vault.mappings(owned_docs(spark, sf_dir), KEY).select("scope", "type", "original", "token")
 
     @catalog.query(
         "tokenize_keyed",
@@ -54,17 +57,17 @@ def register(catalog: Catalog) -> None:
         SELECT doc_id, string_agg(substr(text, last_end + 1, cstart - last_end) || token, '' ORDER BY cstart) || substr(any_value(text), max(cend) + 1) AS tokenized FROM cuts GROUP BY doc_id""",
     )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vault.tokenize(_owned(spark, sf_dir).where(f"exists(entities, e -> {vault.HIDDEN})"), KEY).select("doc_id", "tokenized")
+        return vault.tokenize(owned_docs(spark, sf_dir).where(f"exists(entities, e -> {vault.HIDDEN})"), KEY).select("doc_id", "tokenized")
 
     @catalog.query("round_trip_exact", f"SELECT CAST(doc_id AS BIGINT) AS doc_id, text AS restored, CAST(0 AS BIGINT) AS n_unresolved FROM {ru_docs_sql()}")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        owned = _owned(spark, sf_dir)
-        return vault.detokenize(vault.tokenize(owned, KEY), vault.mappings(owned, KEY))
+        owned = owned_docs(spark, sf_dir)
+        return vault.detokenize(vault.tokenize(owned, KEY), vault.mappings(owned, KEY)).select("doc_id", "restored", "n_unresolved")
 
     @catalog.query("detokenize_strict", f"{valued} SELECT t.doc_id, CASE WHEN t.doc_id % 3 = 0 AND v.doc_id IS NOT NULL THEN NULL ELSE t.text END AS restored, CASE WHEN t.doc_id % 3 = 0 THEN coalesce(v.n, 0) ELSE 0 END AS n_unresolved FROM texts t LEFT JOIN (SELECT doc_id, count(*) AS n FROM v GROUP BY doc_id) v USING (doc_id)")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        owned = _owned(spark, sf_dir)
-        return vault.detokenize(vault.tokenize(owned, KEY), vault.mappings(owned, KEY).where("scope <> 's0'"), strict=True)
+        owned = owned_docs(spark, sf_dir)
+        return vault.detokenize(vault.tokenize(owned, KEY), vault.mappings(owned, KEY).where("scope <> 's0'"), strict=True).select("doc_id", "restored", "n_unresolved")
 
     @catalog.query("vault_aes_round_trip", "SELECT c_custkey, c_name AS opened, CAST(NULL AS VARCHAR) AS tampered FROM customer")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +78,15 @@ def register(catalog: Catalog) -> None:
 
     @catalog.query(
         "vault_conflicts",
-        f"""WITH s AS ({saves}), w AS (SELECT *, first(saved) OVER o AS first_at, first(original) OVER o AS stored, row_number() OVER o AS k FROM s WINDOW o AS (PARTITION BY scope, token ORDER BY saved, original))
-        SELECT event_id, CASE WHEN saved >= first_at + INTERVAL 30 DAY THEN 'replaced' WHEN k = 1 THEN 'stored' WHEN stored = original THEN 'same' ELSE 'conflict' END AS outcome FROM w""",
+        f"""WITH RECURSIVE s AS ({saves}), n AS (SELECT *, row_number() OVER (PARTITION BY scope, token ORDER BY saved, original) AS k FROM s),
+        f AS (SELECT scope, token, k, event_id, saved AS first_at, original AS stored, CAST('stored' AS VARCHAR) AS outcome FROM n WHERE k = 1
+          UNION ALL SELECT n.scope, n.token, n.k, n.event_id, CASE WHEN n.saved >= f.first_at + INTERVAL 3 DAY THEN n.saved ELSE f.first_at END, CASE WHEN n.saved >= f.first_at + INTERVAL 3 DAY THEN n.original ELSE f.stored END,
+            CASE WHEN n.saved >= f.first_at + INTERVAL 3 DAY THEN 'replaced' WHEN n.original = f.stored THEN 'same' ELSE 'conflict' END FROM f JOIN n ON n.scope = f.scope AND n.token = f.token AND n.k = f.k + 1)
+        SELECT event_id, outcome FROM f""",
     )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("scope"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("token"), F.col("event_type").alias("original"), F.col("ts").alias("at"), "event_id")
-        return vault.save(rows, 30 * 86400).select("event_id", "outcome")
+        return vault.save(rows, 3 * 86400).select("event_id", "outcome")
 
     @catalog.query("vault_resolve_ttl", "WITH v AS (SELECT user_id, min(ts) + INTERVAL 2 DAY AS expires_at, min(event_type) AS original FROM events GROUP BY user_id) SELECT e.event_id, CASE WHEN v.expires_at > e.ts THEN v.original END AS original FROM events e JOIN v USING (user_id)")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +105,12 @@ def register(catalog: Catalog) -> None:
     @catalog.query("stream_process_state", requests)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         status = F.col("o_orderstatus")
-        orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+        root = sf_dir.rstrip("/")
+        orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(root)
         rows = orders.select(F.col("o_custkey").cast("bigint").alias("payload_id"), F.col("o_orderkey").cast("bigint").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<"), F.upper(status), F.lit(">"))).otherwise(status).alias("payload"))
-        spark.catalog.dropTempView("stream_process_state")
-        process_stream(rows, lambda x: f"<{x.upper()}>").writeStream.format("memory").queryName("stream_process_state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        return spark.table("stream_process_state")
+        out = folder(spark, "answers")
+        process_stream(rows, lambda x: f"<{x.upper()}>").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{out}/rows")
 
     truth = f"{base}, p AS (SELECT DISTINCT doc_id, type, start_byte, end_byte FROM entities WHERE personal), g AS (SELECT doc_id, type, start_byte, CASE WHEN doc_id % 10 = 0 THEN end_byte + 1 ELSE end_byte END AS end_byte FROM p)"
     metric = f"""{truth}, f AS (SELECT coalesce(p.type, g.type) AS type, p.type IS NOT NULL AS inp, g.type IS NOT NULL AS ing FROM p FULL JOIN g USING (doc_id, type, start_byte, end_byte)),
@@ -112,14 +119,14 @@ def register(catalog: Catalog) -> None:
         m AS (SELECT *, CASE WHEN precision_ + recall_ > 0 THEN 2 * precision_ * recall_ / (precision_ + recall_) ELSE 0.0 END AS f1_ FROM r)"""
 
     def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = E.rows(_owned(spark, sf_dir)).where("personal").select(F.col("doc_id").alias("case_id"), "type", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
+        found = E.rows(owned_docs(spark, sf_dir)).where("personal").select(F.col("doc_id").alias("case_id"), "type", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
         return scoring.detection_metrics(found.withColumn("end", F.when(F.col("case_id") % 10 == 0, F.col("end") + 1).otherwise(F.col("end"))), found)
 
-    @catalog.query("detection_metrics", f"{metric} SELECT type, tp, fp, fn, round(precision_, 6) AS precision, round(recall_, 6) AS recall, round(f1_, 6) AS f1 FROM m")
+    @catalog.query("detection_metrics", f"{metric} SELECT type, tp, fp, fn, round(precision_, 6) AS precision, round(recall_, 6) AS recall, round(f1_, 6) AS f1, tp + fp > 0 AS precision_defined, tp + fn > 0 AS recall_defined, tp + fp > 0 AND tp + fn > 0 AS f1_defined FROM m")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scored(spark, sf_dir).select("type", "tp", "fp", "fn", "precision", "recall", "f1")
+        return scored(spark, sf_dir).drop("fp_on_hard_negative").orderBy("type")
 
-    @catalog.query("macro_average", f"{metric} SELECT round(avg(round(precision_, 6)), 6) AS macro_precision, round(avg(round(recall_, 6)), 6) AS macro_recall, round(avg(round(f1_, 6)), 6) AS macro_f1, count(*) AS n_types FROM m")
+    @catalog.query("macro_average", f"{metric} SELECT round(avg(round(precision_, 6)) FILTER (tp + fp > 0), 6) AS macro_precision, round(avg(round(recall_, 6)) FILTER (tp + fn > 0), 6) AS macro_recall, round(avg(round(f1_, 6)) FILTER (tp + fp > 0 AND tp + fn > 0), 6) AS macro_f1, count(*) FILTER (tp + fp > 0) AS precision_types, count(*) FILTER (tp + fn > 0) AS recall_types, count(*) FILTER (tp + fp > 0 AND tp + fn > 0) AS f1_types, count(*) AS n_types FROM m")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scoring.macro_average(scored(spark, sf_dir))
 
@@ -130,16 +137,18 @@ def register(catalog: Catalog) -> None:
     @catalog.query("entity_counters_zero_filled", f"{base} SELECT t.type, count(e.type) AS n FROM (SELECT unnest([{', '.join(repr(t) for t in TYPES)}]) AS type) t LEFT JOIN entities e ON e.type = t.type GROUP BY t.type")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         kinds = spark.range(1).select(F.explode(F.array(*map(F.lit, TYPES))).alias("type"))
-        return kinds.join(E.rows(_owned(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n")), "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
+        return kinds.join(E.rows(owned_docs(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n")), "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
 
-    @catalog.query("token_counts", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\\t\\n\\f\\r \\x0B]+')) AS BIGINT) AS n_tokens FROM documents".replace("\\\\", "\\"))
+    spaces = "\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+    @catalog.query("token_counts", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{spaces}]+')) AS BIGINT) AS n_tokens FROM (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN replace(text, ' ', chr(160)) WHEN 2 THEN replace(text, ' ', chr(8195)) WHEN 3 THEN replace(text, ' ', chr(133)) ELSE text END AS text FROM documents)")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\t\n\f\r \x0B]+")).cast("bigint").alias("n_tokens"))
+        text = F.expr("CASE doc_id % 4 WHEN 1 THEN replace(text, ' ', '\u00a0') WHEN 2 THEN replace(text, ' ', '\u2003') WHEN 3 THEN replace(text, ' ', '\u0085') ELSE text END")
+        return table(spark, sf_dir, "documents").select("doc_id", audit.token_count(text).alias("n_tokens"))
 
     @catalog.query("latency_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.99) <= 100.0 AS target_met FROM events GROUP BY event_type")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-        return table(spark, sf_dir, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")).withColumn("target_met", F.col("p99") <= 100.0)
+        return nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n").withColumn("target_met", F.col("p99") <= 100.0)
 
     @catalog.query("duration_histogram", " UNION ALL ".join(f"SELECT event_type, {b}::DOUBLE AS le, count(*) FILTER (value <= {b}) AS n FROM events GROUP BY event_type" for b in BUCKETS))
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +163,7 @@ def register(catalog: Catalog) -> None:
 
     @catalog.query("stream_error_windows", rates)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return streamed(spark, sf_dir, "1 day", "stream_error_windows")
+        return streamed(spark, sf_dir, "1 day")
 
     days = "d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)"
 
@@ -168,7 +177,7 @@ def register(catalog: Catalog) -> None:
 
     @catalog.query("audit_rollup", f"{base} SELECT doc_id, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS entity_count, bool_or(personal) AS has_personal_data FROM entities GROUP BY doc_id")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = E.rows(_owned(spark, sf_dir))
+        rows = E.rows(owned_docs(spark, sf_dir))
         return rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.count("*").alias("entity_count"), F.max("personal").alias("has_personal_data"))
 
     @catalog.query("gauge_growth_slope", "SELECT event_type, round(regr_slope(value, epoch(ts)) * 1e6, 6) AS slope FROM events GROUP BY event_type")
@@ -218,12 +227,7 @@ def register(catalog: Catalog) -> None:
     @catalog.query("histogram_quantile", f"WITH c AS ({cumulative}), r AS (SELECT *, 0.95 * total AS rank FROM c) SELECT event_type, round(coalesce(min(low + (le - low) * (rank - below) / (n - below)) FILTER (n >= rank AND below < rank), {BUCKETS[-1]}), 6) AS p95 FROM r GROUP BY event_type")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("total"), *[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(BUCKETS)])
-        rank = F.lit(0.95) * F.col("total")
-        value = F.lit(BUCKETS[-1])
-        for i in range(len(BUCKETS) - 1, -1, -1):
-            low, below = (F.lit(BUCKETS[i - 1]), F.col(f"b{i - 1}")) if i else (F.lit(0.0), F.lit(0))
-            value = F.when(F.col(f"b{i}") >= rank, low + (F.lit(BUCKETS[i]) - low) * (rank - below) / (F.col(f"b{i}") - below)).otherwise(value)
-        return wide.select("event_type", F.round(value, 6).alias("p95"))
+        return wide.select("event_type", F.round(alerts.quantile(0.95, "total", [f"b{i}" for i in range(len(BUCKETS))], BUCKETS), 6).alias("p95"))
 
     @catalog.query("alert_hold_islands", f"WITH {days}, f AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM d WHERE errors / n > 0.2) SELECT CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, count(*) AS n_days FROM f GROUP BY island HAVING count(*) >= 2")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +238,9 @@ def register(catalog: Catalog) -> None:
 
     @catalog.query("revoke_scope", f"{valued} SELECT scope, count(DISTINCT (type, original)) AS n FROM v WHERE scope <> 's1' GROUP BY scope")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return vault.mappings(_owned(spark, sf_dir), KEY).where("scope <> 's1'").groupBy("scope").agg(F.count("*").alias("n"))
+        return tokens.revoked(vault.mappings(owned_docs(spark, sf_dir), KEY), spark.createDataFrame([("s1",), ("s1",)], "scope string")).groupBy("scope").agg(F.count("*").alias("n"))
 
     @catalog.query("token_scope_isolation", f"{valued} SELECT type, original, count(DISTINCT scope) AS n_scopes, count(DISTINCT scope) AS n_tokens FROM v GROUP BY ALL")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = vault.mappings(_owned(spark, sf_dir), KEY)
+        rows = vault.mappings(owned_docs(spark, sf_dir), KEY)
         return rows.groupBy("type", "original").agg(F.count_distinct("scope").alias("n_scopes"), F.count_distinct("token").alias("n_tokens"))

@@ -20,12 +20,13 @@ def resolved_type() -> Column:
 
 
 def labelled(model_entities: DataFrame) -> DataFrame:
-    """Rows with their type, the document label's type, and whether a document has a label that neither knows (it then fails as a whole)."""
+    """Rows with their type, the document label's type, and whether a document has a row without one of its fields or with a label that neither knows (it then fails as a whole)."""
     document = F.lit(None).cast("string")
     for label, kind in DOCUMENT_LABELS.items():
         document = F.when((F.col("model") == "rubert") & (F.col("label") == label), kind).otherwise(document)
     rows = model_entities.withColumns({"type": resolved_type(), "document_type": document})
-    unknown = F.max((F.col("type").isNull() & F.col("document_type").isNull()).cast("int"))
+    partial = F.col("label").isNull() | F.col("start_cp").isNull() | F.col("end_cp").isNull() | F.col("confidence").isNull() | F.col("model").isNull()
+    unknown = F.max(((F.col("type").isNull() & F.col("document_type").isNull()) | partial).cast("int"))
     failed = rows.groupBy("doc_id").agg(unknown.alias("failed"))
     return rows.join(failed, "doc_id").withColumn("failed", F.col("failed") == 1)
 
@@ -38,7 +39,8 @@ def model_candidates(model_entities: DataFrame, docs: DataFrame, validated: Data
     model gives none. Document labels count only on a span that a rule has
     validated (``validated``: doc_id, type, start_byte, end_byte).
     """
-    rows = labelled(model_entities.where("label <> '' AND start_cp >= 0 AND end_cp >= start_cp AND confidence BETWEEN 0 AND 1")).where("NOT failed")
+    sound = "label IS DISTINCT FROM '' AND NOT coalesce(start_cp < 0 OR end_cp < start_cp OR confidence NOT BETWEEN 0 AND 1, false)"
+    rows = labelled(model_entities.where(sound)).where("NOT failed")
     rows = rows.join(docs.select("doc_id", "text"), "doc_id").where(F.col("end_cp") <= F.length("text"))
     at = lambda c: F.octet_length(F.substring("text", F.lit(1), F.col(c))).cast("bigint")
     rows = rows.select("doc_id", F.coalesce("type", "document_type").alias("type"), F.col("type").isNull().alias("document"), at("start_cp").alias("start_byte"), at("end_cp").alias("end_byte"), F.col("start_cp").alias("cstart"), F.col("end_cp").alias("cend"), "confidence", "model")

@@ -67,3 +67,9 @@ def ru_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ru_docs_sql() -> str:
     return f"(SELECT c_custkey AS doc_id, {text_sql('c_custkey')} AS text FROM customer)"
+
+
+def load_pool(spark: SparkSession, n: int) -> DataFrame:
+    """(payload_id, payload) of n requests for load tests; each is another text."""
+    text = F.format_string("Клиент Тестов Тест Тестович, телефон +7 900 123-45-%02d, email test%d@example.com", F.col("id") % 100, F.col("id"))
+    return spark.range(n).select(F.format_string("load-%d", "id").alias("payload_id"), text.alias("payload"))

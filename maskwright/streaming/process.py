@@ -9,37 +9,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "payload_id long, seq long, outcome string, reply string"
+STATE = "original string, result string, failure string"
+FAILED = {"unavailable": "model_unavailable", "vault": "vault_unavailable", "review": "review_required"}
 
 
-def process_stream(requests: DataFrame, mask: Callable[[str], str], ttl_ms: int | None = None) -> DataFrame:
-    """Requests (payload_id, seq, payload) of a stream, answered in order of ``seq`` within a micro-batch.
+def process_stream(requests: DataFrame, mask: Callable[[str], str], ttl_ms: int | None = None, rules_only: Callable[[str], str] | None = None) -> DataFrame:
+    """Requests (payload_id, seq, payload [, model_status]) of a stream, answered in order of ``seq`` within a micro-batch.
 
-    The first request of an id is masked and claims it; its payload again gives
-    the stored mask, the mask gives the payload back, anything else conflicts.
-    With ``ttl_ms``, an id that long without requests is forgotten.
+    The states of an id are claimed, ready and failed, as in
+    ``operators.process.answers``: the first request is masked and claims it;
+    its payload again gives the stored mask, the mask gives the payload back,
+    anything else conflicts. Where ``model_status`` is ``unavailable``,
+    ``rules_only`` masks once if given, else the claim fails and its payload
+    may try again; other failures stay. With ``ttl_ms``, an id that long
+    without requests is forgotten.
     """
 
+    def step(held: tuple | None, payload: str, status: str) -> tuple[tuple, str, str | None]:
+        original, result, failure = held or (payload, None, None)
+        if held is None or failure == "model_unavailable" and payload == original:
+            if status == "ok":
+                return (payload, mask(payload), None), "masked", mask(payload)
+            if status == "unavailable" and rules_only is not None:
+                return (payload, rules_only(payload), None), "degraded", rules_only(payload)
+            failure = FAILED.get(status, "masking_failed")
+            return (payload, None, failure), failure, None
+        if payload == original:
+            return held, failure or "stored", result
+        if failure is None and payload == result:
+            return held, "restored", original
+        return held, "conflict", None
+
     def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         held = state.get if state.exists else None
+        statuses = rows["model_status"] if "model_status" in rows else ["ok"] * len(rows)
         out = []
-        for seq, payload in zip(rows["seq"], rows["payload"], strict=True):
-            if held is None:
-                held = (payload, mask(payload))
-                out.append((key[0], seq, "masked", held[1]))
-            elif payload == held[0]:
-                out.append((key[0], seq, "stored", held[1]))
-            elif payload == held[1]:
-                out.append((key[0], seq, "restored", held[0]))
-            else:
-                out.append((key[0], seq, "conflict", None))
+        for seq, payload, status in zip(rows["seq"], rows["payload"], statuses, strict=True):
+            held, outcome, reply = step(held, payload, status)
+            out.append((key[0], seq, outcome, reply))
         state.update(held)
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["payload_id", "seq", "outcome", "reply"])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms is not None else GroupStateTimeout.NoTimeout
-    return requests.groupBy("payload_id").applyInPandasWithState(answer, OUTPUT, "original string, result string", "append", timeout)
+    return requests.groupBy("payload_id").applyInPandasWithState(answer, OUTPUT, STATE, "append", timeout)
