@@ -9,7 +9,7 @@ from maskwright.catalog import Catalog
 from maskwright.llm.chat_format import chat_digests, format_chats
 from maskwright.llm.common import table
 from maskwright.llm.embedding_dedup import near_dedup
-from maskwright.llm.exact_dedup import exact_dedup
+from maskwright.llm.exact_dedup import dedup_report
 from maskwright.llm.html_text import main_text
 from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.mixing import mix
@@ -31,7 +31,7 @@ CATALOG = Catalog()
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs, largest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return dedup_report(docs, largest=True)
 
 
 def byte_bpe() -> str:

@@ -302,3 +302,39 @@ def test_stages_against_plain_versions(spark):
     for r in final:
         again.setdefault(r.doc_id, {}).setdefault(r["pass"], []).append(r.ids_crc32)
     assert all(a[1] != a[2] for i, a in again.items() if len(a) > 1 and len(text[i]) > 100)
+
+
+# --- op1 ---
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_tree_merge_against_a_dictionary(spark, monkeypatch, largest):
+    from maskwright.llm import exact_dedup as op1
+
+    monkeypatch.setattr(op1, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(op1, "RUN_ROWS", 100)
+    rng = np.random.default_rng(2)
+    low, high = -(2**63), 2**63 - 1
+    rows = [(int(rng.integers(-50, 5000)), f"t{int(rng.zipf(1.3)) % 700}", 1) for _ in range(4000)] + [(None, "t1", 1), (None, "only without an id", 1), (None, None, 1), (high, "edge", 1), (low, "edge", 1), (low, "lone", 1), (high, "lone too", 1), (7, None, 1), (8, "", 1), (None, "lone", 1), (None, "lone too", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id int").repartition(19)
+    ids = {}
+    for i, t, _ in rows:
+        ids.setdefault(t or "", []).append(i)
+    want = {t: ((max if largest else min)([i for i in x if i is not None], default=None), len(x)) for t, x in ids.items()}
+    for fan_in in (2, 4):
+        got = op1.exact_dedup(docs, largest=largest, fan_in=fan_in).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            stays, size = want[r.text or ""]
+            assert (r.keep_id, r.group_size, r.kept) == (stays, size, r.doc_id is not None and r.doc_id == stays)
+    report = op1.dedup_report(docs, largest=largest).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in report) == Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got)
+
+
+def test_texts_of_one_digest_are_compared():
+    from maskwright.llm.exact_dedup import DigestError, Run, merged
+
+    one = lambda length: Run(np.array([[1, 2, 3, 4, length, 9]], np.uint64), np.array([5]), np.array([[1, 1]]))
+    assert merged([one(7), one(7)], False).counts.tolist() == [[2, 2]]
+    with pytest.raises(DigestError):
+        merged([one(7), one(8)], False)
