@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import fresh_path, keep
-from maskwright.llm.exact_dedup import exact_dedup
+from maskwright.llm.exact_dedup import dedup_report, exact_dedup
 from maskwright.llm.language_id import held_out, identify, told, train
 from maskwright.llm.mixing import mix
 from maskwright.llm.ngram_join import MANY, jaccard_join
@@ -40,12 +40,18 @@ def _told_apart(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
 
+def _without(docs: DataFrame, gone: DataFrame, what: str) -> DataFrame:
+    """``docs``, whose ids are distinct, without the ids of ``gone``; texts do not travel where these are few."""
+    gone = keep(gone.select(F.col("doc_id").alias("_gone")), what)
+    return docs.join(F.broadcast(gone) if gone.count() <= MANY else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row stays: of the largest doc_id, without an id only if none has one."""
-    apart = _told_apart(docs)
+    if _told_apart(docs):
+        return _without(docs, dedup_report(docs.select("doc_id", "text"), largest=True).where("not kept"), "exact-gone")
     docs, columns = _aside(docs, "keep_id", "group_size", "kept", "text_sha256")
-    found = exact_dedup(docs, largest=True)
-    found = found.where("kept") if apart else found.where("kept or doc_id is null and keep_id is null").dropDuplicates(["text_sha256"])
+    found = exact_dedup(docs, largest=True).where("kept or doc_id is null and keep_id is null").dropDuplicates(["text_sha256"])
     return found.select(*columns)
 
 
@@ -56,12 +62,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found = jaccard_join(docs.select("_row", "doc_id", "text"), id_col="_row")
         stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_stays"))
         return docs.join(stays, F.col("_row") == F.col("_stays"), "left_semi").drop("_row")
-    gone = jaccard_join(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    path = fresh_path(spark, "near-gone")
-    gone.write.parquet(path)
-    gone = spark.read.parquet(path)
-    small = gone.count() <= MANY
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return _without(docs, jaccard_join(docs.select("doc_id", "text")).where("doc_id <> component_id"), "near-gone")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
