@@ -240,11 +240,16 @@ def lattice(v: Vocabulary, texts: list[str]) -> Lattice:
     return Lattice(node, begins, first, piece, log_prob, cum, rest, code)
 
 
-def _uniform(key: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from the row's key, a salt and a place alone."""
-    with np.errstate(over="ignore"):
-        x = mix64(key ^ mix64(np.full(1, salt + 1, np.uint64))) + place.astype(np.uint64) * _MULT
-    return (mix64(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+def _salted(key: np.ndarray, salt: int) -> np.ndarray:
+    return mix64(key ^ mix64(np.full(1, salt + 1, np.uint64)))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from random bits that are not yet mixed."""
+    out = (mix64(x) >> np.uint64(11)).astype(np.float64)
+    out *= 2.0**-53
+    out += 2.0**-54
+    return out
 
 
 def _gumbel_below(log_mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -258,6 +263,8 @@ class Sample:
     """One segmentation per text of a block: step (edge length, 0 off the path) by place, its log probability and perturbed value."""
 
     step: np.ndarray
+    on: np.ndarray  # the places on the path
+    edge: np.ndarray  # and their edges, as places in the flattened lattice
     log_p: np.ndarray
     value: np.ndarray
     alive: np.ndarray
@@ -290,18 +297,22 @@ def sample_top_k(lat: Lattice, key: np.ndarray, k: int) -> tuple[list[Sample], n
     texts, n = len(lat.first) - 1, len(lat.node)
     sizes = np.diff(lat.first)
     text_of = np.arange(texts, dtype=np.int32).repeat(sizes)
-    root = -np.log(-np.log(_uniform(key, 0, np.zeros(texts, np.int64))))
+    root = -np.log(-np.log(_uniform(_salted(key, 0))))
+    with np.errstate(over="ignore"):
+        place = (np.arange(n) - lat.first[text_of]).astype(np.uint64) * _MULT
+    width = lat.cum.shape[1] if n else 1
+    log_prob, steps = lat.log_prob.ravel(), lat.cum
     begins = lat.begins
     samples: list[Sample] = []
     walks: list[_Walk] = []
 
     def uniform(at: np.ndarray, salt: int) -> np.ndarray:
-        t = text_of[at]
-        return _uniform(key[t], salt, at - lat.first[t])
+        with np.errstate(over="ignore"):
+            return _uniform(_salted(key, salt)[text_of[at]] + place[at])
 
     def walk(at: np.ndarray, step: np.ndarray, number: int) -> None:
         while len(at):
-            length = (lat.cum[lat.node[at]] < uniform(at, 2 * number + 1)[:, None]).sum(axis=1) + 1
+            length = np.count_nonzero(steps[lat.node[at]] < uniform(at, 2 * number + 1)[:, None], axis=1) + 1
             step[at] = length
             at = at + length
             at = at[~begins[at]]
@@ -316,7 +327,8 @@ def sample_top_k(lat: Lattice, key: np.ndarray, k: int) -> tuple[list[Sample], n
         """Log probability, and the sets left at the nodes of a walk from ``turn`` on."""
         on = np.flatnonzero(step)
         rows, length = lat.node[on], step[on].astype(np.int64)
-        log_p = lat.log_prob[rows, length - 1]
+        edge = rows.astype(np.int64) * width + length - 1
+        log_p = log_prob[edge]
         owner = text_of[on]
         begin = np.searchsorted(on, lat.first)
         running = np.concatenate([[0.0], np.cumsum(log_p)])
@@ -334,11 +346,11 @@ def sample_top_k(lat: Lattice, key: np.ndarray, k: int) -> tuple[list[Sample], n
         at = np.flatnonzero(keep)
         best[at] = _gumbel_below(before[at] + np.log(rest[at]), value[owner[at]], uniform(on[at], 2 * number + 2))
         walks.append(_Walk(on, begin, owner, best, mask))
-        samples.append(Sample(step, running[begin[1:]] - running[begin[:-1]], value, np.isfinite(value)))
+        samples.append(Sample(step, on, edge, running[begin[1:]] - running[begin[:-1]], value, np.isfinite(value)))
 
     def best_left() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: the best value of a set that is left, its place in its walk, the walk."""
-        value, place, of = np.full(texts, -np.inf), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        value, node, of = np.full(texts, -np.inf), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
         for w, walked in enumerate(walks):
             some = np.flatnonzero(np.diff(walked.begin) > 0)
             if not len(some):
@@ -349,22 +361,22 @@ def sample_top_k(lat: Lattice, key: np.ndarray, k: int) -> tuple[list[Sample], n
             spot = np.zeros(texts, np.int64)
             spot[walked.owner[hit]] = hit
             better = m > value
-            value, place, of = np.where(better, m, value), np.where(better, spot, place), np.where(better, w, of)
-        return value, place, of
+            value, node, of = np.where(better, m, value), np.where(better, spot, node), np.where(better, w, of)
+        return value, node, of
 
     everywhere = np.flatnonzero(begins[:-1])
     step = np.zeros(n, np.int8)
     walk(everywhere, step, 0)
     settle(step, root, None, None, 0)
     for number in range(1, k):
-        value, place, of = best_left()
+        value, node, of = best_left()
         live = np.flatnonzero(np.isfinite(value))
         step, old, turn = np.zeros(n, np.int8), np.zeros(texts, np.int32), np.full(texts, -1, np.int64)
         for w in range(number):
             own = live[of[live] == w]
-            turn[own] = walks[w].on[place[own]]
-            old[own] = walks[w].mask[place[own]]
-            walks[w].best[place[own]] = -np.inf
+            turn[own] = walks[w].on[node[own]]
+            old[own] = walks[w].mask[node[own]]
+            walks[w].best[node[own]] = -np.inf
             use = (of == w) & (turn >= 0)
             t = np.where(use, turn, -1)[walks[w].owner]
             head = walks[w].on[walks[w].on < t]
@@ -401,8 +413,7 @@ def sampled(v: Vocabulary, texts: list[str], key: np.ndarray, k: int):
     lat = lattice(v, texts)
     samples, rest = sample_top_k(lat, key, k)
     for sample in samples:
-        on = np.flatnonzero(sample.step)
-        piece = lat.piece[lat.node[on], sample.step[on].astype(np.int64) - 1]
+        on, piece = sample.on, lat.piece.ravel()[sample.edge]
         odd = np.flatnonzero(piece == -2)
         if len(odd):
             spelt = [chr(c).encode("utf-8", "replace") for c in lat.code[on[odd]].tolist()]
