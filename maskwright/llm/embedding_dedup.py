@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import keep, tidy
 from maskwright.llm.components import components
 
-BLOCK = 1024  # vectors of a block: what one task holds is two of them
+BLOCK = 1024  # vectors of a block at least, where there are as many
+BLOCK_BYTES = 8 << 20  # bytes of a block at most: what one task holds is two of them
+PARTS = 8  # intervals of a block whose boxes are compared before vectors move
 LEAF = 128  # rows of an interval that is compared without being cut further
 AXES = 8  # leading principal dimensions that the grid orders by
 SAMPLE = 4096  # vectors, those of smallest hash, from which the axes come; they decide speed alone
 SALTS = 16
-_BLOCKS = "label long, width int, block long, n int, low array<double>, high array<double>, cell_low long, cell_high long, ids binary, copies binary, vectors binary"
+_BOXES = "array<struct<low:array<double>,high:array<double>>>"
+_BLOCKS = f"label string, width int, block long, n int, boxes {_BOXES}, cell_low long, cell_high long, ids binary, copies binary, vectors binary"
 _FOUND = "vec_id long, links long, root long"
 
 
@@ -88,22 +91,23 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links(cosine: float, axes: dict):
+def _links(cosine: float, axes: dict, kind: type):
     eps = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
 
     def compare(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                same = r["a_block"] == r["b_block"]
-                xa, xb = (_unit(np.frombuffer(r[f"{s}_vectors"], np.float64).reshape(-1, r["width"])) for s in "ab")
-                za, zb = _project(xa, axes, r["width"]), _project(xb, axes, r["width"])
+                same = r["b_vectors"] is None
+                xa = _unit(np.frombuffer(r["a_vectors"], kind).reshape(-1, r["width"]))
+                xb = xa if same else _unit(np.frombuffer(r["b_vectors"], kind).reshape(-1, r["width"]))
+                za = _project(xa, axes, r["width"])
+                zb = za if same else _project(xb, axes, r["width"])
                 found: list = []
                 _join(xa, za, xb, zb, 0, len(xa), 0, len(xb), same, eps, cosine, found)
                 if not found:
                     continue
                 i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                ids = np.concatenate([np.frombuffer(r["a_ids"], np.int64), np.zeros(0, np.int64) if same else np.frombuffer(r["b_ids"], np.int64)])
-                copies = np.concatenate([np.frombuffer(r["a_copies"], np.int64), np.zeros(0, np.int64) if same else np.frombuffer(r["b_copies"], np.int64)])
+                ids, copies = (np.concatenate([np.frombuffer(r[f"a_{n}"], np.int64), np.zeros(0, np.int64) if same else np.frombuffer(r[f"b_{n}"], np.int64)]) for n in ("ids", "copies"))
                 if not same:
                     j = j + len(xa)
                 links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
@@ -114,33 +118,47 @@ def _links(cosine: float, axes: dict):
     return compare
 
 
-def _blocks(axes: dict, eps: float):
+def _blocks(axes: dict, eps: float, kind: type, rows: int):
+    schema = pa.schema([("label", pa.string()), ("width", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("boxes", pa.list_(pa.struct([("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))), ("cell_low", pa.int64()), ("cell_high", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())])
+
     def cut(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
         held: list = []
+        at, n = None, 0
 
-        def closed(rows):
-            nonlocal number
+        def closed():
+            nonlocal number, held, n
             number += 1
-            label, width = rows[0][:2]
-            vectors = np.array([r[4] for r in rows], np.float64)
-            z = _project(_unit(vectors), axes, width)
+            vectors, ids, copies = (np.concatenate([h[k] for h in held]) for k in range(3))
+            held, n = [], 0
+            z = _project(_unit(vectors), axes, at[1])
             cells = np.floor(z[:, 0] / eps).astype(np.int64)
+            size = max(1, -(-len(z) // PARTS))
+            boxes = [{"low": z[a : a + size].min(0).tolist(), "high": z[a : a + size].max(0).tolist()} for a in range(0, len(z), size)]
             return pa.RecordBatch.from_pylist([{
-                "label": label, "width": width, "block": number, "n": len(rows), "low": z.min(0).tolist(), "high": z.max(0).tolist(), "cell_low": int(cells.min()), "cell_high": int(cells.max()),
-                "ids": np.array([r[2] for r in rows], np.int64).tobytes(), "copies": np.array([r[3] for r in rows], np.int64).tobytes(), "vectors": vectors.tobytes(),
-            }], schema=pa.schema([("label", pa.int64()), ("width", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cell_low", pa.int64()), ("cell_high", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())]))
+                "label": at[0], "width": at[1], "block": number, "n": len(ids), "boxes": boxes, "cell_low": int(cells.min()), "cell_high": int(cells.max()), "ids": ids.tobytes(), "copies": copies.tobytes(), "vectors": vectors.tobytes(),
+            }], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("label", "width", "vec_id", "copies", "vector")), strict=True):
-                if held and (len(held) == BLOCK or held[-1][:2] != row[:2]):
-                    yield closed(held)
-                    held = []
-                held.append(row)
+            labels, widths = batch.column("label").to_pylist(), batch.column("width").to_pylist()
+            ids, copies = (batch.column(c).to_numpy() for c in ("vec_id", "copies"))
+            vectors = batch.column("vector")
+            a = 0
+            while a < batch.num_rows:
+                here = labels[a], widths[a]
+                if held and (here != at or n >= most):
+                    yield closed()
+                at, most = here, max(BLOCK, min(rows, BLOCK_BYTES // (here[1] * np.dtype(kind).itemsize)))
+                b = a + 1
+                while b < min(batch.num_rows, a + most - n) and (labels[b], widths[b]) == here:
+                    b += 1
+                held.append((vectors.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, here[1]), ids[a:b], copies[a:b]))
+                n += b - a
+                a = b
         if held:
-            yield closed(held)
+            yield closed()
 
     return cut
 
@@ -168,22 +186,24 @@ def near_links(reps: DataFrame, cosine: float = 0.98) -> DataFrame:
     axes = principal_axes(reps)
     cells = [f"c{k}" for k in range(AXES)]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grid = reps.mapInArrow(tidy(_gridded(axes, eps)), "label long, width int, vec_id long, copies long, vector array<double>, " + ", ".join(f"{c} long" for c in cells))
+    kind = np.float32 if "float" in dict(reps.dtypes)["vector"] else np.float64  # vectors travel as they came; the work is in double precision
+    rows = max(BLOCK, reps.count() // parts)  # larger blocks are sent to fewer partners
+    grid = reps.mapInArrow(tidy(_gridded(axes, eps)), f"label string, width int, vec_id long, copies long, vector {dict(reps.dtypes)['vector']}, " + ", ".join(f"{c} long" for c in cells))
     ordered = grid.repartitionByRange(parts, "label", "width", *cells, "vec_id").sortWithinPartitions("label", "width", *cells, "vec_id")
-    blocks = keep(ordered.select("label", "width", "vec_id", "copies", "vector").mapInArrow(tidy(_blocks(axes, eps)), _BLOCKS), "blocks")
-    box = blocks.select("label", "width", "block", "low", "high", "cell_low", "cell_high")
-    side = lambda s, around: box.select(
-        "label", "width", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "low", "high", "cell_low", "cell_high")], F.explode(F.sequence(F.col("cell_low") - around, F.col("cell_high") + around)).alias("cell")
+    blocks = keep(ordered.select("label", "width", "vec_id", "copies", "vector").mapInArrow(tidy(_blocks(axes, eps, kind, rows)), _BLOCKS), "blocks")
+    side = lambda s, around: blocks.select(
+        "label", "width", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "boxes", "cell_low", "cell_high")], F.explode(F.sequence(F.col("cell_low") - around, F.col("cell_high") + around)).alias("cell")
     )
     pairs = side("a", 0).join(side("b", 1), ["label", "width", "cell"])
-    gaps = F.zip_with(F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps
+    gaps = lambda x, y: F.zip_with(F.zip_with(x["low"], y["high"], lambda p, q: p - q), F.zip_with(y["low"], x["high"], lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
+    close = lambda x, y: F.aggregate(gaps(x, y), F.lit(0.0), lambda s, g: s + g * g) <= eps * eps
+    near = (F.col("a_block") == F.col("b_block")) | F.exists("a_boxes", lambda x: F.exists("b_boxes", lambda y: close(x, y)))
     once = F.col("cell") == F.greatest(F.col("a_cell_low"), F.col("b_cell_low") - 1)  # blocks may meet in several cells
-    pairs = pairs.where((F.col("a_block") <= F.col("b_block")) & once & near).select("width", "a_block", "b_block")
+    pairs = pairs.where((F.col("a_block") <= F.col("b_block")) & once & near).select("width", "a_block", F.when(F.col("a_block") != F.col("b_block"), F.col("b_block")).alias("b_block"))
     data = lambda s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in ("block", "ids", "copies", "vectors")])
-    joined = pairs.join(data("a"), "a_block").join(data("b"), "b_block")
+    joined = keep(pairs, "pairs").join(data("a"), "a_block").join(data("b"), "b_block", "left")
     joined = joined.repartition(4 * parts, "a_block", "b_block")
-    return joined.mapInArrow(tidy(_links(cosine, axes)), _FOUND)
+    return keep(joined.mapInArrow(tidy(_links(cosine, axes, kind)), _FOUND), "found", 8)
 
 
 def near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -208,14 +228,15 @@ def near_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     a forest, never all pairs.
     """
     rest = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
-    number = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    floats = "float" in dict(vectors.dtypes)[vec_col]
+    number = F.col(vec_col) if floats else F.transform(F.col(vec_col), lambda x: x.cast("double"))
     sound = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec_col, lambda x: x != 0)
     rows = vectors.select(*rest, F.coalesce(sound, F.lit(False)).alias("_sound"))
-    code = F.when(F.col("_sound"), F.struct(F.xxhash64(vec_col), F.xxhash64(F.lit(1), vec_col), F.size(vec_col), F.col(label_col).cast("long").alias("l")))
+    code = F.when(F.col("_sound"), F.struct(F.xxhash64(vec_col), F.xxhash64(F.lit(1), vec_col), F.size(vec_col), F.col(label_col).cast("string").alias("l")))
     rows = rows.withColumn("_code", F.to_json(code))
-    reps = rows.where("_sound").groupBy("_code").agg(F.min(F.col(id_col).cast("long")).alias("vec_id"), F.count("*").alias("copies"), F.first(F.col(label_col).cast("long")).alias("label"), F.first(number).alias("vector"))
+    reps = rows.where("_sound").groupBy("_code").agg(F.min(F.col(id_col).cast("long")).alias("vec_id"), F.count("*").alias("copies"), F.first(F.col(label_col).cast("string")).alias("label"), F.first(number).alias("vector"))
     reps = keep(reps.select("label", F.size("vector").alias("width"), "vec_id", "copies", "vector", "_code"), "vectors")
-    found = keep(near_links(reps.drop("_code"), cosine), "found")
+    found = near_links(reps.drop("_code"), cosine)
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     known = reps.select("_code", "vec_id", "copies").join(totals, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")

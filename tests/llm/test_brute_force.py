@@ -338,3 +338,44 @@ def test_texts_of_one_digest_are_compared():
     assert merged([one(7), one(7)], False).counts.tolist() == [[2, 2]]
     with pytest.raises(DigestError):
         merged([one(7), one(8)], False)
+
+
+# --- op9 ---
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_links_against_all_pairs(spark, monkeypatch, kind):
+    from maskwright.llm import embedding_dedup as op9
+
+    monkeypatch.setattr(op9, "BLOCK", 8)
+    monkeypatch.setattr(op9, "LEAF", 4)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 24))
+    x = centres[rng.integers(0, 12, 400)] + rng.normal(scale=0.09, size=(400, 24))
+    x = x.astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+    label = [("north", "south", None)[i % 7 % 3] for i in range(400)]
+    rows = [(i, v.tolist(), label[i], "old", 0) for i, v in enumerate(x)]
+    rows += [(i, x[i].tolist(), label[i], "old", 0) for i in (0, 1)] + [(1000, x[3].tolist(), label[3], "old", 0)]
+    schema = f"vec_id long, embedding array<{kind}>, label string, kept string, _own int"
+    frame = spark.createDataFrame(rows, schema).withColumnRenamed("_own", "n_links")
+    got = op9.near_dedup(frame.repartition(5)).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"vec_id", "embedding", "label", "n_links", "component_id", "kept"}
+    every = np.concatenate([x, x[[0, 1, 3]]])
+    names, owner = [*label, label[0], label[1], label[3]], [*range(400), 0, 1, 1000]
+    unit_ = every / np.linalg.norm(every, axis=1, keepdims=True)
+    linked = (unit_ @ unit_.T >= 0.98) & np.array([[a is not None and a == b for b in names] for a in names])
+    low = np.array(owner)
+    while True:
+        new = np.array([low[r].min() if r.any() else low[i] for i, r in enumerate(linked)])
+        if (new == low).all():
+            break
+        low = new
+    found = {}
+    for r in got:
+        found.setdefault(r.vec_id, set()).add((r.component_id, r.kept))
+    for i, o in enumerate(owner):
+        assert found[o] == {(int(low[i]), int(low[i]) == o)}
+    links = {r.vec_id: r.n_links for r in got}
+    for i in range(4, 400):
+        assert links[i] == int(linked[i].sum()) - int(linked[i, i])
+    assert op9.near_dedup(frame.where("false")).count() == 0
