@@ -53,10 +53,11 @@ def holds(d: Spark, rule: Rule, left: str, match: str, value: str, right: str, c
 def _found(rule: Rule, text: str) -> str:
     """Spark SQL for the candidates of one rule.
 
-    Matches and the gaps between them interleave, so their summed lengths are
-    the offsets; these are summed only for what passes the checks. Matches and
-    gaps are bound once (``b``); each match sees the gap before it with the
-    end of the match before that, and the gap and match after it.
+    Matches and the gaps between them interleave, so their running lengths are
+    the offsets, in characters and bytes; they are taken in one pass, and only
+    if a match passes the checks. Matches and gaps are bound once (``b``);
+    each match sees the gap before it with the end of the match before that,
+    and the gap and match after it.
     """
     p = SPARK.lit(rule.pattern)
     value = f"regexp_extract_all({text}, {p}, 1)" if rule.group else "array()"
@@ -65,17 +66,25 @@ def _found(rule: Rule, text: str) -> str:
     value = "b.v" if rule.group else "b.m"
     columns = f"named_struct('m', b.m, 'v', {value}, 'gap', slice(b.g, 1, {n}), 'then', slice(b.g, 2, {n}), 'last', slice(concat(array(''), b.m), 1, {n}), 'next', slice(concat(b.m, array('')), 2, {n}))"
     zipped = f"transform(array({columns}), c -> arrays_zip(c.m, c.v, c.gap, c.then, c.last, c.next))[0]"
+    run = "named_struct('c', s.c + length(y.g) + length(y.m), 'b', s.b + octet_length(y.g) + octet_length(y.m), 'out', concat(s.out, array(named_struct('c', s.c + length(y.g), 'b', s.b + octet_length(y.g)))))"
+    running = f"aggregate(transform(b.m, (m, i) -> named_struct('g', b.g[i], 'm', m)), named_struct('c', 0, 'b', 0L, 'out', CAST(array() AS array<struct<c:int,b:bigint>>)), (s, y) -> {run}, s -> s.out)"
     seen = "named_struct('i', i, 'match', x.m, 'value', x.v, 'left', right(x.last, 3) || x.gap, 'right', x.then || x.next)"
     keep = "'i', x.i, 'match', x.match, 'value', x.value, 'left', x.left, 'right', x.right"
-    total = lambda f: f"(aggregate(slice(b.g, 1, x.i + 1), 0, (s, y) -> s + {f}(y)) + aggregate(slice(b.m, 1, x.i), 0, (s, y) -> s + {f}(y)))"
-    before, after = f"substring_index(substring({text}, 1, {total('length')}), '\\n', -1)", f"substring_index(substring({text}, {total('length')} + length(x.match) + 1, length({text})), '\\n', 1)"
+    # 80 characters on either side are more than any test of the surroundings looks at
+    before = f"substring_index(substring({text}, greatest(o[x.i].c - 80, 0) + 1, least(o[x.i].c, 80)), '\\n', -1)"
+    after = f"substring_index(substring({text}, o[x.i].c + length(x.match) + 1, 80), '\\n', 1)"
     cut = f"transform(transform({zipped}, (x, i) -> {seen}), x -> named_struct({keep}, 'cut', {cut_value(SPARK, rule, 'x.value')}))"
     kept = f"transform({cut}, x -> named_struct({keep}, 'cut', x.cut, 'kept', {strip_value(SPARK, rule, 'x.cut')}))"
     good = f"filter({kept}, x -> {holds(SPARK, rule, 'x.left', 'x.match', 'x.value', 'x.right', 'x.cut', 'x.kept', before, after)})"
-    placed = f"transform({good}, x -> named_struct('kept', x.kept, 's', CAST({total('octet_length')} + octet_length(x.match) - octet_length(x.value) AS BIGINT), 'c', {total('length')} + length(x.match) - length(x.value)))"
+    placed = "transform(q, x -> named_struct('kept', x.kept, 's', o[x.i].b + octet_length(x.match) - octet_length(x.value), 'c', o[x.i].c + length(x.match) - length(x.value)))"
     sources = "array('regex', 'validator')" if rule.validated else "array('regex')"
     out = f"transform({placed}, x -> named_struct('type', '{rule.type}', 'start', x.s, 'end', x.s + octet_length(x.kept), 'cstart', x.c, 'cend', x.c + length(x.kept), 'confidence', 1.0D, 'sources', {sources}))"
-    return f"(CASE WHEN {SPARK.like(text, rule.hint)} THEN CAST(transform({bound}, b -> {out})[0] AS array<{CANDIDATE}>) ELSE CAST(array() AS array<{CANDIDATE}>) END)"
+    none = f"CAST(array() AS array<{CANDIDATE}>)"
+    if rule.window:
+        found = f"transform(array({running}), o -> transform(array({good}), q -> CAST({out} AS array<{CANDIDATE}>))[0])[0]"
+    else:
+        found = f"transform(array({good}), q -> CASE WHEN size(q) = 0 THEN {none} ELSE transform(array({running}), o -> CAST({out} AS array<{CANDIDATE}>))[0] END)[0]"
+    return f"(CASE WHEN {SPARK.like(text, rule.hint)} THEN transform({bound}, b -> {found})[0] ELSE {none} END)"
 
 
 def bound(docs: DataFrame, name: str, value: Column) -> DataFrame:

@@ -15,12 +15,14 @@ HIDDEN = "(e.personal OR (e.review AND NOT array_contains(e.reasons, 'type_disab
 
 def tokenize(docs: DataFrame, key: bytes, scope: str = "scope", which: str = HIDDEN) -> DataFrame:
     """``docs`` with ``tokenized``: personal and undecided entities replaced by tokens of the row's scope."""
-    return masked(docs, which, token_sql(SPARK, key, scope, "e.type", "substring(text, e.cstart + 1, e.cend - e.cstart)"), to="tokenized")
+    return masked(docs, which, token_sql(SPARK, key, scope, "e.type", "value"), to="tokenized")
 
 
 def mappings(docs: DataFrame, key: bytes, scope: str = "scope", which: str = HIDDEN) -> DataFrame:
     """Distinct (scope, token, type, original) of the same entities."""
-    rows = docs.select(scope, F.explode_outer(F.expr(f"transform(filter(entities, e -> {which}), e -> named_struct('type', e.type, 'original', substring(text, e.cstart + 1, e.cend - e.cstart)))")).alias("e")).where("e is not null").select(scope, "e.*")
+    value = "CAST(substring(raw, CAST(e.start + 1 AS INT), CAST(e.end - e.start AS INT)) AS STRING)"
+    found = f"transform(array(encode(text, 'UTF-8')), raw -> transform(filter(entities, e -> {which}), e -> named_struct('type', e.type, 'original', {value})))[0]"
+    rows = docs.select(scope, F.explode_outer(F.expr(found)).alias("e")).where("e is not null").select(scope, "e.*")
     return rows.distinct().withColumn("token", F.expr(token_sql(SPARK, key, scope, "type", "original")))
 
 
@@ -99,7 +101,7 @@ def detokenize(docs: DataFrame, vault: DataFrame, strict: bool = False, text: st
     unresolved = F.expr("coalesce(filter(array_distinct(tokens), t -> _known IS NULL OR try_element_at(_known, t) IS NULL), CAST(array() AS array<string>))")
     rows = joined.select("doc_id", whole.alias("_whole"), unresolved.alias("unresolved"), F.size(F.array_distinct("tokens")).alias("_n"))
     n = F.size("unresolved").cast("bigint")
-    return rows.select("doc_id", (F.when(n == 0, F.col("_whole")) if strict else F.col("_whole")).alias("restored"), n.alias("n_unresolved"), (F.col("_n") - n).cast("bigint").alias("n_resolved"), "unresolved")
+    return rows.select("doc_id", (F.when(n == 0, F.col("_whole")) if strict else F.col("_whole")).alias("restored"), n.alias("n_unresolved"), F.coalesce((F.col("_n") - n).cast("bigint"), F.lit(0).cast("bigint")).alias("n_resolved"), "unresolved")
 
 
 def sealed_vault(mapped: DataFrame, key: bytes) -> DataFrame:
