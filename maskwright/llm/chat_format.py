@@ -49,14 +49,14 @@ def parse(rendered: Column) -> Column:
 
     Every end mark closes a turn; a turn is head, role up to the first colon
     and blank, and the body, from which one backslash before each control
-    string goes.
+    string goes. A turn without head or colon is no turn: it is null.
     """
 
     def turn(part: Column) -> Column:
         colon = F.instr(part, COLON)
         role = F.substring(part, F.lit(len(HEAD) + 1), colon - F.lit(len(HEAD) + 1))
         body = F.substring(part, colon + F.lit(len(COLON)), F.length(part))
-        return F.struct(_role_in(role).alias("role"), unescape(body).alias("text"))
+        return F.when(F.startswith(part, F.lit(HEAD)) & (colon > 0), F.struct(_role_in(role).alias("role"), unescape(body).alias("text")))
 
     return F.transform(parts(rendered), turn)
 

@@ -42,16 +42,30 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(there, True)
+    except Exception:  # noqa: BLE001  the session is gone; the folder stays
+        pass
+
+
 def discard(spark: SparkSession | None = None) -> None:
     """Delete the folders of ``fresh_path`` (of one session, or of all)."""
     for item in list(_KEPT):
         if spark is None or item[0] is spark:
             _KEPT.remove(item)
-            try:
-                path = item[0]._jvm.org.apache.hadoop.fs.Path(item[1])
-                path.getFileSystem(item[0]._jsc.sc().hadoopConfiguration()).delete(path, True)
-            except Exception:  # noqa: BLE001  the session is gone; the folder stays
-                pass
+            _delete(*item)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of ``keep`` that nothing reads any more; others are passed over."""
+    for df in tables:
+        path = getattr(df, "kept_at", None)
+        item = next((x for x in _KEPT if x[1] == path), None)
+        if item:
+            _KEPT.remove(item)
+            _delete(*item)
 
 
 def keep(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
@@ -67,7 +81,9 @@ def keep(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
 def _trim() -> None:

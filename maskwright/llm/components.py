@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import keep
+from maskwright.llm.common import drop, keep
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,17 +33,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = keep(small, "links")
+        last, edges = edges, keep(small, "links")
+        drop(last)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
     return out if before else spark.createDataFrame([], out.schema)
 
 
 def widened(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (code, comp) after more links (a, b): only the components that these join are worked on."""
+    """Components (code, comp) after more links (a, b), in place of ``comps``: only the components that these join are worked on."""
     end = lambda s: comps.select(F.col("code").alias(s), F.col("comp").alias(f"of_{s}"))
     joined = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()
     roots = keep(components(joined), "roots")
     nodes = links.select(F.col("a").alias("code")).union(links.select("b")).distinct().join(comps, "code", "left_anti").select("code", F.col("code").alias("comp"))
     moved = comps.unionByName(nodes).join(roots.select(F.col("node").alias("comp"), "component"), "comp", "left")
-    return keep(moved.select("code", F.coalesce("component", "comp").alias("comp")), "components")
+    out = keep(moved.select("code", F.coalesce("component", "comp").alias("comp")), "components")
+    drop(roots, comps)
+    return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import keep, mix64, string_bytes, text_slices, tidy
+from maskwright.llm.common import drop, keep, mix64, string_bytes, text_slices, tidy
 from maskwright.llm.components import widened
 from maskwright.llm.embedding_dedup import local_roots
 from maskwright.llm.shingles import shingle_sets
@@ -425,7 +425,7 @@ class _Sets:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> None:
         self.texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        self.reps, self.made = reps, None
+        self.reps, self.made, self.parts = reps, None, []
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """(code, hashes) of all classes in ``pairs`` (and more)."""
@@ -438,6 +438,8 @@ class _Sets:
             texts = self.texts.join(F.broadcast(need) if n <= MANY else need, F.col("_id") == F.col("_need"), "left_semi")
             new = keep(texts.select("_text").mapInArrow(tidy(_sets), "code long, hashes binary").dropDuplicates(["code"]), "sets")
             self.made = new if self.made is None else self.made.unionByName(new)
+            self.parts.append(new)
+        drop(need)
         return self.made
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -469,13 +471,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(shuffles, math.ceil(0.45 * (total.n or 0) / BUCKET))
     parts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(tidy(_dealt(buckets)), _PARTS)
     lists = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_lists), _LISTS)
-    lists = keep(lists.groupBy("list", "code").agg(F.sum("weight").alias("weight")), "lists")
-    lists = keep(lists.join(lists.groupBy("list").agg(F.count("*").alias("g")), "list"), "lists")
+    dealt = keep(lists.groupBy("list", "code").agg(F.sum("weight").alias("weight")), "lists")
+    lists = keep(dealt.join(dealt.groupBy("list").agg(F.count("*").alias("g")), "list"), "lists")
+    drop(dealt)
     crowded = F.col("g") > CROWDED
     # A class with fewer signatures in crowded lists than it must share with any linked one meets each of those in another list too.
     load = lists.where(crowded).groupBy("code").agg(F.sum("weight").alias("load"))
     light = load.join(reps.select("code", "spare"), "code").where("load < spare").select("code", F.lit(True).alias("light"))
-    lists = keep(lists.join(light, "code", "left").where(~(crowded & F.col("light").isNotNull())).select("list", "code", "g"), "lists")
+    whole, lists = lists, keep(lists.join(light, "code", "left").where(~(crowded & F.col("light").isNotNull())).select("list", "code", "g"), "lists")
+    drop(whole)
     large = keep(lists.where(F.col("g") > CHUNK).select("list").distinct(), "large")
     none = spark.range(0)
     comps = none.select(F.col("id").alias("code"), F.col("id").alias("comp"))
@@ -485,31 +489,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blank = {"other": F.lit(0).cast("long"), "failed": F.lit(False)}
     # at first every chunk of a list by itself; what that leaves open comes in the next rounds
     members = lists.withColumn("part", _chunk("code", 1, "g")).select("list", "part", "code", F.col("code").alias("comp"), F.lit(True).alias("few"))
-    misses = None
+    misses = known = main = None
     few, first = FEW, True
     while True:
         rows = members.join(reps.select("code", "n", "sketch"), "code").withColumns(blank).select(*_FIELDS, "sketch")
         rows = rows if misses is None else rows.unionByName(misses)
         pairs = rows.repartition(4 * shuffles, "list", "part").sortWithinPartitions("list", "part").mapInArrow(tidy(_compared(few)), "list long, a long, b long, forest boolean")
         pairs = keep(pairs, "pairs")
+        drop(known, main)
         if pairs.isEmpty() and not (first and not large.isEmpty()):
+            drop(pairs, reps, lists, large, failed, lost, *sets.parts)
             return texts.select("doc_id", "n", "code"), comps
         checked = sets.verify(pairs.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
-        failed = keep(failed.unionByName(checked.where("not linked").select("a", "b")), "failed")
+        last, failed = failed, keep(failed.unionByName(checked.where("not linked").select("a", "b")), "failed")
         comps = widened(comps, checked.where("linked").select("a", "b"))
+        drop(last, checked)
         # A list is settled when each pair of its forest is a link: its other pairs were all checked, or lie in one component.
         missed = keep(pairs.where("forest").join(failed, ["a", "b"], "left_semi").select("list", "a", "b"), "missed")
+        drop(pairs)
         open_lists = missed.select("list").union(large) if first else missed.select("list")
         known = keep(lists.join(open_lists.distinct(), "list", "left_semi").join(comps, "code", "left").withColumn("comp", F.coalesce("comp", "code")), "open-members")
         shares = known.groupBy("list", "comp").agg(F.count("*").alias("k"), F.first("g").alias("g"))
         main = shares.groupBy("list").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("m"), F.first("g").alias("g")).where("n > m.k")
         main = keep(main.select("list", F.col("m.comp").alias("main"), (F.col("n") - F.col("m.k")).alias("rest"), "g"), "open-lists")
-        known = known.drop("g").join(main, "list")
+        opened = known.drop("g").join(main, "list")
         # Classes outside a list's main component, in chunks, meet every chunk of the list.
-        every = known.select("list", "code", "comp", "g", F.lit(False).alias("few"), _pieces("rest").alias("r")).withColumn("part", F.col("r") * 1_000_000_000 + _chunk("code", 1, "g"))
-        minor = known.where("comp <> main").select("list", "code", "comp", "rest", F.lit(True).alias("few"), _pieces("g").alias("r")).withColumn("part", _chunk("code", 2, "rest") * 1_000_000_000 + F.col("r"))
+        every = opened.select("list", "code", "comp", "g", F.lit(False).alias("few"), _pieces("rest").alias("r")).withColumn("part", F.col("r") * 1_000_000_000 + _chunk("code", 1, "g"))
+        minor = opened.where("comp <> main").select("list", "code", "comp", "rest", F.lit(True).alias("few"), _pieces("g").alias("r")).withColumn("part", _chunk("code", 2, "rest") * 1_000_000_000 + F.col("r"))
         members = every.select("list", "part", "code", "comp", "few").unionByName(minor.select("list", "part", "code", "comp", "few"))
-        lost = keep(lost.join(main, "list", "left_semi").unionByName(missed), "lost")
+        last, lost = lost, keep(lost.join(main, "list", "left_semi").unionByName(missed), "lost")
+        drop(last, missed)
         both = lost.unionByName(lost.select("list", F.col("b").alias("a"), F.col("a").alias("b"))).join(main, "list")
         zero = {"n": F.lit(0).cast("long"), "comp": F.lit(0).cast("long"), "few": F.lit(False), "failed": F.lit(True), "sketch": F.lit(b"")}
         misses = both.select("list", (_chunk("a", 2, "rest") * 1_000_000_000 + _chunk("b", 1, "g")).alias("part"), F.col("a").alias("code"), F.col("b").alias("other")).withColumns(zero).select(*_FIELDS, "sketch")

@@ -25,8 +25,11 @@ def new_file(folder: str, stem: str, suffix: str):
     sink = system.open_output_stream(part)
     try:
         yield sink, f"{folder}/{name}"
-    finally:
         sink.close()
+    except BaseException:  # a task that fails or is killed leaves nothing behind
+        sink.close()
+        system.delete_file(part)
+        raise
     system.move(part, f"{path}/{name}")
 
 

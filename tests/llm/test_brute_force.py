@@ -379,3 +379,27 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch, kind):
     for i in range(4, 400):
         assert links[i] == int(linked[i].sum()) - int(linked[i, i])
     assert op9.near_dedup(frame.where("false")).count() == 0
+
+
+# --- op3, op5 ---
+
+
+def test_damaged_text_is_no_turn(spark):
+    from maskwright.llm.chat_format import parse
+
+    rows = spark.createDataFrame([("### user: a\n</turn>\nnot a turn\n</turn>\n### nobody\n</turn>\n### : \n</turn>\nrest",), ("",)], "t string")
+    got = [r.p for r in rows.select(parse(F.col("t")).alias("p")).collect()]
+    assert [None if t is None else (t.role, t.text) for t in got[0]] == [("user", "a"), None, None, ("", "")] and got[1] == []
+
+
+def test_a_failed_task_leaves_no_file(tmp_path):
+    from maskwright.llm.storage import new_file
+
+    with pytest.raises(RuntimeError):
+        with new_file(str(tmp_path), "x", ".bin") as (sink, _):
+            sink.write(b"1")
+            raise RuntimeError
+    assert list(tmp_path.iterdir()) == []
+    with new_file(str(tmp_path), "x", ".bin") as (sink, uri):
+        sink.write(b"2")
+    assert [p.read_bytes() for p in tmp_path.iterdir()] == [b"2"] and uri.endswith(next(tmp_path.iterdir()).name)
