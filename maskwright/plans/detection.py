@@ -9,12 +9,12 @@ from maskwright.catalog import Catalog
 from maskwright.functions.rules import BY_NAME, RULES, Rule
 from maskwright.functions.spans import rule_spans_sql, with_candidates
 from maskwright.sources.synthetic import ru_docs, ru_docs_sql
-from maskwright.sources.tables import table
+from maskwright.sources.tables import spread, table
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Russian test text and the documents, whose ids are made negative."""
-    docs = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
     return ru_docs(spark, sf_dir).select(F.col("doc_id").cast("bigint"), "text").unionByName(docs)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.checks import INN_PERSON_11, INN_PERSON_12
 from maskwright.functions.spans import bound
-from maskwright.sources.tables import table
+from maskwright.sources.tables import spread, table
 
 
 def _pad(x: str, n: int) -> str:
@@ -76,7 +76,7 @@ def text_sql(k: str, name: str, phone: str, inn: str, card: str) -> str:
 
 def ru_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of each customer; the parts of a text are made once, one after the other."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    rows = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")))
     for parts in ({"_inn": _inn_base("doc_id"), "_card": _card_base("doc_id"), "_name": _name("doc_id"), "_phone": _phone("doc_id")}, {"_inn": _inn_eleven("_inn"), "_card": _card("_card")}, {"_inn": _inn_twelve("_inn")}):
         for name, value in parts.items():
             rows = bound(rows, name, F.expr(value))
