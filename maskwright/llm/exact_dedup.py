@@ -80,6 +80,13 @@ def _unpacked(row: dict) -> Run:
     return Run(np.frombuffer(row["digests"], np.uint64).reshape(-1, 6), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64).reshape(-1, 2))
 
 
+def _grouped(x: Run) -> pa.RecordBatch:
+    """The groups of a run."""
+    digest = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, 32 * len(x) + 1, 32, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x.key[:, :4]).astype(">u8").tobytes())])
+    keep_id = pa.array(x.ids, mask=x.counts[:, 0] == 0)
+    return pa.RecordBatch.from_arrays([digest, pa.array(x.key[:, 4].astype(np.int64)), keep_id, pa.array(np.ascontiguousarray(x.counts[:, 1]))], names=["digest", "n_bytes", "keep_id", "group_size"])
+
+
 def _first_runs(largest: bool, slices: int):
     def sort_out(batches):
         from pyspark import TaskContext
@@ -112,8 +119,10 @@ def _first_runs(largest: bool, slices: int):
     return sort_out
 
 
-def _merging(largest: bool):
-    """Chunks sorted by run, slice and first digest, to the chunks of merged runs. All that comes before the next chunk's first digest is settled, so a few chunks of each run are held at a time."""
+def _merging(largest: bool, last: bool):
+    """Chunks sorted by run, slice and first digest, to the chunks of merged runs, in the last round to groups. All that comes before the next chunk's first digest is settled, so a few chunks of each run are held at a time."""
+
+    packed = (lambda run, slice_, x: _grouped(x)) if last else _packed
 
     def merge(batches):
         at, held = None, []
@@ -129,28 +138,19 @@ def _merging(largest: bool):
             for row in batch.to_pylist():
                 here = row["run"], row["slice"]
                 if held and here != at:
-                    yield _packed(*at, settled(None))
+                    yield packed(*at, settled(None))
                 elif sum(map(len, held)) >= 4 * CHUNK_ROWS and len(held) > 1:
                     out = settled(np.frombuffer(row["low"], ">u8").astype(np.uint64))
                     if len(out):
-                        yield _packed(*at, out)
+                        yield packed(*at, out)
                 at = here
                 held.append(_unpacked(row))
         if held:
-            yield _packed(*at, settled(None))
+            yield packed(*at, settled(None))
 
     return merge
 
 
-def _groups(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            x = _unpacked(row)
-            digest = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, 32 * len(x) + 1, 32, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x.key[:, :4]).astype(">u8").tobytes())])
-            keep_id = pa.array(x.ids, mask=x.counts[:, 0] == 0)
-            yield pa.RecordBatch.from_arrays([digest, pa.array(x.key[:, 4].astype(np.int64)), keep_id, pa.array(np.ascontiguousarray(x.counts[:, 1]))], names=["digest", "n_bytes", "keep_id", "group_size"])
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, n_bytes, check) of every row: SHA-256, length and another hash of the text; null counts as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -173,15 +173,16 @@ def digest_groups(digested: DataFrame, largest: bool = False, fan_in: int = 4) -
     spark = digested.sparkSession
     runs, slices = max(1, digested.rdd.getNumPartitions()), int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = digested.mapInArrow(tidy(_first_runs(largest, slices)), _CHUNK)
-    for r in range(max(1, math.ceil(math.log(runs, fan_in) - 1e-9))):
+    rounds = max(1, math.ceil(math.log(runs, fan_in) - 1e-9))
+    for r in range(rounds):
         left = max(1, math.ceil(runs / fan_in ** (r + 1)))
         level = (
             level.withColumn("run", F.floor(F.col("run") / F.lit(fan_in)).cast("long"))
             .repartition(min(slices * left, 4 * slices), F.col("run"), F.col("slice"))
             .sortWithinPartitions("run", "slice", "low")
-            .mapInArrow(tidy(_merging(largest)), _CHUNK)
+            .mapInArrow(tidy(_merging(largest, r == rounds - 1)), _GROUP if r == rounds - 1 else _CHUNK)
         )
-    return level.mapInArrow(tidy(_groups), _GROUP)
+    return level
 
 
 def _decided(digested: DataFrame, largest: bool, fan_in: int) -> DataFrame:

@@ -14,7 +14,7 @@ from maskwright.llm.components import widened
 from maskwright.llm.embedding_dedup import local_roots
 from maskwright.llm.shingles import shingle_sets
 
-SLICE = 1 << 20  # bytes of text that are worked on at once
+SLICE = 1 << 19  # bytes of text that are worked on at once
 HELD = 500_000  # signatures that a task holds before it passes them on
 MERGED = 2_000_000  # signatures of a bucket that a task sorts at once
 BUCKET = 1_000_000  # signatures that a bucket shall have
@@ -22,6 +22,7 @@ CROWDED = 64  # members from which a list is thinned where that loses no link
 CHUNK = 1024  # members of a list that are compared in one task
 FEW = 4  # candidate pairs of a member up to which all are checked; twice as many in each further round
 WIDE = 500  # rows with whole sets that a worker gets at once
+TEXTS = 2000  # rows with texts
 SALTS = 16
 MANY = 2_000_000  # rows up to which identifiers are broadcast; beyond, they are joined by a shuffle
 _TEXTS = "doc_id long, n long, code long, code2 long, spare long, sketch binary"
@@ -436,7 +437,7 @@ class _Sets:
         n = need.count()
         if n:
             texts = self.texts.join(F.broadcast(need) if n <= MANY else need, F.col("_id") == F.col("_need"), "left_semi")
-            new = keep(texts.select("_text").mapInArrow(tidy(_sets), "code long, hashes binary").dropDuplicates(["code"]), "sets")
+            new = keep(texts.select("_text").mapInArrow(tidy(_sets), "code long, hashes binary").dropDuplicates(["code"]), "sets", TEXTS)
             self.made = new if self.made is None else self.made.unionByName(new)
             self.parts.append(new)
         drop(need)
@@ -462,7 +463,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """((doc_id, n, code) per document, (code, component code) of linked sets): see ``jaccard_join``."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = keep(text_codes(docs, id_col, text_col), "texts")
+    texts = keep(text_codes(docs, id_col, text_col), "texts", TEXTS)
     reps = texts.where("n >= 4 and doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch"), (F.min("code2") != F.max("code2")).alias("clash"))
     reps = keep(reps, "reps")
     total = reps.agg(F.sum("n").alias("n"), F.max("clash").alias("clash")).first()
@@ -471,7 +472,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(shuffles, math.ceil(0.45 * (total.n or 0) / BUCKET))
     parts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string")).mapInArrow(tidy(_dealt(buckets)), _PARTS)
     lists = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_lists), _LISTS)
-    dealt = keep(lists.groupBy("list", "code").agg(F.sum("weight").alias("weight")), "lists")
+    dealt = keep(lists.groupBy("list", "code").agg(F.sum("weight").alias("weight")), "lists", TEXTS)
     lists = keep(dealt.join(dealt.groupBy("list").agg(F.count("*").alias("g")), "list"), "lists")
     drop(dealt)
     crowded = F.col("g") > CROWDED

@@ -22,7 +22,7 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         space[[32, 9, 10, 11, 12, 13]] = True
         _tables["space"] = space
     if "up" not in _tables or len(_tables["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
             _tables[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
     return _tables["byte"], _tables["space"], _tables["up"], _tables["down"]

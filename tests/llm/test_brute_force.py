@@ -403,3 +403,36 @@ def test_a_failed_task_leaves_no_file(tmp_path):
     with new_file(str(tmp_path), "x", ".bin") as (sink, uri):
         sink.write(b"2")
     assert [p.read_bytes() for p in tmp_path.iterdir()] == [b"2"] and uri.endswith(next(tmp_path.iterdir()).name)
+
+
+def test_token_files_of_odd_ids(spark):
+    from tokenizers import Tokenizer
+
+    from maskwright.llm.queries import byte_bpe
+    from maskwright.llm.token_binary import read_documents, write_tokens
+
+    rows = [(5, "five"), (None, "none"), (2, "two two"), (5, "five again"), (2, "two two"), (-1, None), (7, "long " * 30_000)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(3)
+    plain = Tokenizer.from_file(byte_bpe())
+    got = sorted(read_documents(write_tokens(docs, byte_bpe(), sequence=64)).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == len(rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    sums = Counter((i, zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == sums
+
+
+def test_ngram_join_of_odd_rows(spark):
+    from maskwright.llm.ngram_join import jaccard_join
+
+    rng = np.random.default_rng(11)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 9000, 40_000))
+    rows = [(4, long, "a"), (9, long + " end", "b"), (9, long + " end", "b"), (None, long, "c"), (None, None, "d"), (3, "few words", "e"), (8, "Few WORDS", "f"), (6, "", "g"), (9, "another text of nine", "h")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, tag string, component_id int, code int").repartition(4)
+    got = {r.tag: (r.component_id, r.code) for r in jaccard_join(docs).collect()}
+    assert len(got) == len({r[2] for r in rows}) and got["a"] == (4, 2) and got["b"][0] == 4 and got["c"][0] is None and got["d"][0] is None
+    assert got["e"][0] == got["f"][0] == 3 and got["g"][0] == 6
+    assert jaccard_join(docs).count() == len(rows)
