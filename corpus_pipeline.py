@@ -19,6 +19,11 @@ from maskwright.llm.queries import REPETITIONS, piece_model
 from maskwright.llm.sentencepiece_sampling import sample_segmentations
 
 SAMPLES = 2
+BATCH_ROWS = 2000  # documents that a Python worker gets at once: workers outlive their stage, so memory adds up over the stages
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
@@ -29,6 +34,7 @@ def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language can't be told: null texts, those without a letter, and those no nearer to any learned language than chance. A null ``lang`` becomes the prediction."""
+    _bounded(spark)
     profiles = train(docs.where(~held_out(F.col("doc_id"))))
     docs, columns = _aside(docs, "lang_pred", "score")
     found = identify(docs, profiles).where(told(F.col("score"), F.col("lang_pred")))
@@ -48,6 +54,7 @@ def _without(docs: DataFrame, gone: DataFrame, what: str) -> DataFrame:
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row stays: of the largest doc_id, without an id only if none has one."""
+    _bounded(spark)
     if _told_apart(docs):
         return _without(docs, dedup_report(docs.select("doc_id", "text"), largest=True).where("not kept"), "exact-gone")
     docs, columns = _aside(docs, "keep_id", "group_size", "kept", "text_sha256")
@@ -57,6 +64,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that near-duplicate links connect, one row stays: of the smallest doc_id, without an id only if none has one."""
+    _bounded(spark)
     if not _told_apart(docs):
         docs = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         found = jaccard_join(docs.select("_row", "doc_id", "text"), id_col="_row")
@@ -67,12 +75,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, those of small sources up to twice, blocks permuted anew in each pass: the rows of a file come in that order."""
+    _bounded(spark)
     docs, columns = _aside(docs, "mix_epoch", "mix_block", "mix_position", "mix_key")
     return mix(docs, repetitions=REPETITIONS).select(*columns)
 
 
 def sampling_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two segmentations of each document with their inclusion scores; a document that comes again (``pass`` 2, 3 ...) gets others."""
+    _bounded(spark)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
     again = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("text"))
     return sample_segmentations(rows.withColumn("pass", again), piece_model(), k=SAMPLES, pass_col="pass")
