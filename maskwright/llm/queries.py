@@ -14,7 +14,9 @@ from maskwright.llm.html_text import main_text
 from maskwright.llm.language_id import held_out, identify, train
 from maskwright.llm.mixing import mix
 from maskwright.llm.ngram_join import jaccard_join
+from maskwright.llm.periodic_runs import made_periodic, periodic_runs, run_digests
 from maskwright.llm.sentencepiece_sampling import sample_segmentations
+from maskwright.llm.sql import PERIODIC_RUNS
 from maskwright.llm.token_binary import read_documents, write_tokens
 from maskwright.llm.warc import read_warc, write_warc
 
@@ -183,3 +185,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("op10_html_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@CATALOG.query("op13_periodic_runs", PERIODIC_RUNS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_digests(periodic_runs(docs, text_col=made_periodic(F.col("doc_id"), F.col("text"))))
