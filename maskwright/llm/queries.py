@@ -18,6 +18,7 @@ from maskwright.llm.periodic_runs import made_periodic, periodic_runs, run_diges
 from maskwright.llm.sentencepiece_sampling import sample_segmentations
 from maskwright.llm.sql import PERIODIC_RUNS
 from maskwright.llm.token_binary import read_documents, write_tokens
+from maskwright.llm.token_counts import token_counts
 from maskwright.llm.warc import read_warc, write_warc
 
 CATALOG = Catalog()
@@ -191,3 +192,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return run_digests(periodic_runs(docs, text_col=made_periodic(F.col("doc_id"), F.col("text"))))
+
+
+@CATALOG.query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe())
