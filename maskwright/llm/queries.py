@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.catalog import Catalog
 from maskwright.llm.chat_format import chat_digests, format_chats
+from maskwright.llm.chat_repair import damaged, repair_report
 from maskwright.llm.common import table
 from maskwright.llm.embedding_dedup import near_dedup
 from maskwright.llm.exact_dedup import dedup_report
@@ -16,7 +17,7 @@ from maskwright.llm.mixing import mix
 from maskwright.llm.ngram_join import jaccard_join
 from maskwright.llm.periodic_runs import made_periodic, periodic_runs, run_digests
 from maskwright.llm.sentencepiece_sampling import sample_segmentations
-from maskwright.llm.sql import PERIODIC_RUNS
+from maskwright.llm.sql import CHAT_REPAIR, PERIODIC_RUNS
 from maskwright.llm.token_binary import read_documents, write_tokens
 from maskwright.llm.token_counts import token_counts
 from maskwright.llm.warc import read_warc, write_warc
@@ -197,3 +198,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("op11_token_counts")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe())
+
+
+@CATALOG.query("op12_chat_repair", CHAT_REPAIR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_report(damaged(rows), rows)
