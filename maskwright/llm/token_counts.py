@@ -20,7 +20,8 @@ SLOTS = 1 << 17  # of the broadcast table: 17 bytes each, 2.2 MB in all
 FREQUENT = SLOTS // 2  # pieces in it at most
 PROBES = 8  # slots that a lookup looks at
 WIDE = 16  # bytes of a piece in the table at most
-SAMPLE = 4096  # rows that the table is chosen from; it changes speed alone
+SAMPLE = 4096  # texts that the table is chosen from; it changes speed alone
+WHOLE = 1 << 14  # bytes of such a text at most
 CACHED = 1 << 20  # pieces whose length a worker remembers
 _SHORT = 64  # bytes of a piece that a worker remembers
 
@@ -179,28 +180,23 @@ class TwoTier:
         return out
 
 
-def _frequent(path: str):
-    def choose(batches):
-        counting, seen = Counting.of(path), Counter()
-        for batch in batches if counting.cuts else ():
-            texts = batch.column(0).cast(pa.binary())
-            for first, last in text_slices(texts, 4 << 20):
-                raw, _, start, size = _pieces(texts.slice(first, last - first))
-                data, short = raw.tobytes(), size <= WIDE
-                seen.update(data[i:j] for i, j in zip(start[short].tolist(), (start + size)[short].tolist(), strict=True))
-                if len(seen) > 8 * FREQUENT:
-                    seen = Counter(dict(seen.most_common(4 * FREQUENT)))
-        best = [x for x, _ in seen.most_common(FREQUENT)]
-        tokens = counting.lengths([x.decode() for x in best]) if best else []
-        yield pa.RecordBatch.from_arrays([pa.array(best, pa.binary()), pa.array(tokens, pa.int64())], names=["piece", "tokens"])
-
-    return choose
-
-
 def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table of the most frequent pieces of ``SAMPLE`` rows of ``docs``, counted in one task; at most ``FREQUENT`` short pieces reach the driver."""
-    some = docs.select(F.col(text_col).cast("string")).limit(SAMPLE)
-    return build_table({bytes(x.piece): x.tokens for x in some.mapInArrow(tidy(_frequent(tokenizer)), "piece binary, tokens long").collect()})
+    """The table of the most frequent pieces in ``SAMPLE`` of the texts of ``WHOLE`` bytes at most.
+
+    These are 64 MB at most and come from the first partitions that have
+    enough of them; no others are read for it.
+    """
+    counting = Counting.of(tokenizer)
+    if not counting.cuts:
+        return build_table({})
+    some = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where(F.octet_length("text") <= WHOLE).limit(SAMPLE).toArrow()
+    seen: Counter[bytes] = Counter()
+    for texts in some.column("text").chunks:
+        raw, _, start, size = _pieces(texts)
+        data, short = raw.tobytes(), size <= WIDE
+        seen.update(data[i:j] for i, j in zip(start[short].tolist(), (start + size)[short].tolist(), strict=True))
+    best = [x for x, _ in seen.most_common(FREQUENT)]
+    return build_table(dict(zip(best, counting.lengths([x.decode() for x in best]), strict=True)))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
