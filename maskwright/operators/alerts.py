@@ -16,16 +16,37 @@ THRESHOLDS = {
 STEP = 60  # seconds between two looks
 
 
-def grid(rows: DataFrame, counts: dict[str, Column], step: int = STEP, at: str = "ts") -> DataFrame:
-    """(t, counts): a row for every step from the first to the last, also where nothing happened; sums are taken before the shuffle. ``t`` is the step's end in seconds; a row at its end belongs to it."""
+DAY = 86400
+
+
+def grid(rows: DataFrame, counts: dict[str, Column], step: int = STEP, at: str = "ts", since: int | None = None, until: int | None = None) -> DataFrame:
+    """(t, counts): a row for every step from the first to the last, also where nothing happened; sums are taken before the shuffle. ``t`` is the step's end in seconds; a row at its end belongs to it.
+
+    ``since`` and ``until`` bound the steps: rows of steps outside count in
+    none (``outside`` finds them), so one stray time can't stretch the grid.
+    Days are dealt out first and filled with steps where they are.
+    """
     second = F.unix_micros(F.col(at).cast("timestamp"))
     bucket = (F.ceil(second / F.lit(step * 1_000_000)) * F.lit(step)).cast("bigint")
-    found = rows.where(F.col(at).isNotNull()).groupBy(bucket.alias("t")).agg(*[F.sum(c.cast("bigint")).alias(n) for n, c in counts.items()])
-    span = found.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    steps = span.where("a is not null").select(F.explode(F.sequence("a", "b", F.lit(step).cast("bigint"))).alias("t"))
+    found = rows.where(F.col(at).isNotNull()).groupBy(bucket.alias("t")).agg(*[F.sum(c.cast("bigint")).alias(n) for n, c in counts.items()]).where(within(since, until))
+    span = found.agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a is not null")
+    stride = F.lit(step * max(1, DAY // step)).cast("bigint")
+    days = span.select("b", F.explode(F.sequence("a", "b", stride)).alias("d")).repartition("d")
+    steps = days.select(F.explode(F.sequence("d", F.least("b", F.col("d") + stride - F.lit(step)), F.lit(step).cast("bigint"))).alias("t"))
     return steps.join(found, "t", "left").select("t", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in counts])
 
 
+def within(since: int | None, until: int | None) -> Column:
+    """Whether a step ``t`` is at ``since`` or later and at ``until`` or before."""
+    return (F.lit(True) if since is None else F.col("t") >= since) & (F.lit(True) if until is None else F.col("t") <= until)
+
+
+def outside(rows: DataFrame, since: int | None, until: int | None, step: int = STEP, at: str = "ts") -> DataFrame:
+    """The rows that ``grid`` counts in no step: without a time, or of a step outside the bounds."""
+    bucket = (F.ceil(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(step * 1_000_000)) * F.lit(step)).cast("bigint")
+    return rows.withColumn("t", bucket).where(F.col("t").isNull() | ~within(since, until)).drop("t")
+
+
 def over(seconds: int) -> object:
     """The frame of the last ``seconds`` up to each step; the rows are steps, so its size is bounded by the time covered."""
     return Window.orderBy("t").rangeBetween(1 - seconds, 0)

@@ -45,12 +45,26 @@ def mint(found: DataFrame, key: bytes, seed: Column | None = None, suffix_bytes:
     raise ValueError("tokens still collide; the suffix is too short")
 
 
-def issue(requests: DataFrame, key: bytes, ttl_seconds: int, seed: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(requests with their token, the slots): equal values of a scope and type share a token while their slot lives."""
-    found = slots(requests, ttl_seconds)
+def refused(types: tuple[str, ...] | None = None) -> Column:
+    """Why a request can't have a slot, in the order of the tests: empty_scope, empty_value, unknown_type (null, empty, or none of ``types``) or no_time; null where it can. A null counts as empty."""
+    empty = lambda name: F.coalesce(F.col(name).cast("string") == "", F.lit(True))
+    unknown = empty("type") if types is None else ~F.coalesce(F.col("type").isin(*types), F.lit(False))
+    return F.when(empty("scope"), "empty_scope").when(empty("value"), "empty_value").when(unknown, "unknown_type").when(F.col("at").isNull(), "no_time")
+
+
+def issue(requests: DataFrame, key: bytes, ttl_seconds: int, seed: Column | None = None, types: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests with their token and ``error``, the slots): equal values of a scope and type share a token while their slot lives.
+
+    A request that ``refused`` names gets no token and touches no slot; each
+    request comes back once. ``types``: the types there are (``registry.extended``
+    adds one's own); without it, any that is not empty.
+    """
+    rows = requests.withColumn("error", refused(types))
+    found = slots(rows.where("error is null"), ttl_seconds)
     minted = mint(found, key, seed)
     names = [*SLOT, "slot_at"]
-    return found.join(minted.select(*names, "token"), names), minted
+    issued = found.join(minted.select(*names, "token"), names)
+    return issued.unionByName(rows.where("error is not null"), allowMissingColumns=True), minted
 
 
 def revoked(table: DataFrame, scopes: DataFrame, scope: str = "scope") -> DataFrame:
@@ -113,22 +127,28 @@ def replace_spans(docs: DataFrame, token: str, which: str = "e.personal", text:
     return rows.withColumn("tokenized", F.expr(joined)).drop("chosen", "folded")
 
 
-def persist(replaced: DataFrame, vault: DataFrame, id_col: str = "doc_id", scope: str = "scope") -> tuple[DataFrame, DataFrame]:
+def persist(replaced: DataFrame, vault: DataFrame, scope: str = "scope") -> tuple[DataFrame, DataFrame]:
     """(texts, new mappings) of ``replace_spans``, all or nothing.
 
-    A text is given out only if every mapping of it can be stored: none of its
-    tokens has another original in the vault (scope, token, original) or in
-    another text of the batch. Else it is null and ``error`` is ``conflict``.
-    Mappings come from the texts given out, each once, without those that the
-    vault has.
+    A text is given out only if every mapping of it can be stored: it has a
+    scope (else ``empty_scope``), its tokens and originals are not null or
+    empty (``empty_mapping``), and none of its tokens has another original in
+    the vault (scope, token, original) or in another text of the batch
+    (``conflict``). Else it is null and ``error`` says so. What becomes of a
+    row depends on its scope and replacements alone, so rows without an
+    identifier or with one that repeats are rows like others. Mappings come
+    from the texts given out, each once, without those that the vault has.
     """
-    asked = replaced.select(id_col, scope, F.explode_outer("replacements").alias("r")).where("r is not null").select(id_col, scope, "r.token", F.col("r.value").alias("original"))
+    nothing = F.coalesce(F.size("replacements"), F.lit(0)) == 0
+    hollow = F.exists("replacements", lambda r: F.coalesce((r["token"] == "") | (r["value"] == ""), F.lit(True)))
+    flaw = F.when(F.col("error").isNotNull() | nothing, F.col("error")).when(F.coalesce(F.col(scope) == "", F.lit(True)), "empty_scope").when(hollow, "empty_mapping")
+    rows = replaced.withColumns({"error": flaw, "_fate": F.sha2(F.to_json(F.struct(scope, F.transform("replacements", lambda r: F.struct(r["token"], r["value"])).alias("r"))), 256)})
+    asked = rows.where("error is null").select("_fate", scope, F.explode("replacements").alias("r")).select("_fate", scope, "r.token", F.col("r.value").alias("original")).distinct()
     held = vault.select(F.col("scope").alias(scope), "token", F.col("original").alias("held"))
     every = asked.select(scope, "token", F.col("original").alias("held")).unionByName(held)
     clash = every.groupBy(scope, "token").agg((F.min("held") != F.max("held")).alias("clash")).where("clash").select(scope, "token")
-    failed = asked.join(clash, [scope, "token"], "left_semi").select(F.col(id_col).alias("_failed")).distinct()
-    texts = replaced.join(failed, F.col(id_col) == F.col("_failed"), "left")
-    bad = F.col("_failed").isNotNull()
-    texts = texts.withColumns({"tokenized": F.when(~bad, F.col("tokenized")), "error": F.when(bad & F.col("error").isNull(), "conflict").otherwise(F.col("error"))}).drop("_failed", "replacements")
-    new = asked.join(failed, F.col(id_col) == F.col("_failed"), "left_anti").select(scope, "token", "original").distinct().join(held.select(scope, "token"), [scope, "token"], "left_anti")
+    failed = asked.join(clash, [scope, "token"], "left_semi").select(F.col("_fate").alias("_failed")).distinct()
+    texts = rows.join(failed, F.col("_fate") == F.col("_failed"), "left").withColumn("error", F.coalesce("error", F.when(F.col("_failed").isNotNull(), "conflict")))
+    texts = texts.withColumn("tokenized", F.when(F.col("error").isNull(), F.col("tokenized"))).drop("_failed", "_fate", "replacements")
+    new = asked.join(failed, F.col("_fate") == F.col("_failed"), "left_anti").select(scope, "token", "original").distinct().join(held.select(scope, "token"), [scope, "token"], "left_anti")
     return texts, new

@@ -56,13 +56,16 @@ def lifetimes(requests: DataFrame, keys: tuple[str, ...], ttl_seconds: int, orde
 
 
 def save(requests: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Save requests (scope, token, original, at) in order: the first of a live mapping stores it, an equal one changes nothing, another one conflicts; a mapping lives ``ttl_seconds`` from its first save, and the first request after that replaces it by a new one that lives as long. ``stored`` is what the mapping holds."""
-    rows = lifetimes(requests.drop("first_at", "stored", "outcome"), ("scope", "token"), ttl_seconds, ("original",))
+    """Save requests (scope, token, original, at) in order: the first of a live mapping stores it, an equal one changes nothing, another one conflicts; a mapping lives ``ttl_seconds`` from its first save, and the first request after that replaces it by a new one that lives as long. ``stored`` is what the mapping holds. A request with a null or empty scope, token or original, or without a time, touches no mapping: its outcome is empty_scope, empty_token, empty_original or no_time."""
+    empty = lambda name: F.coalesce(F.col(name).cast("string") == "", F.lit(True))
+    flaw = F.when(empty("scope"), "empty_scope").when(empty("token"), "empty_token").when(empty("original"), "empty_original").when(F.col("at").isNull(), "no_time")
+    every = requests.drop("first_at", "stored", "outcome").withColumn("outcome", flaw)
+    rows = lifetimes(every.where("outcome is null").drop("outcome"), ("scope", "token"), ttl_seconds, ("original",))
     life = Window.partitionBy("scope", "token", "first_at").orderBy("at", "original")
     rows = rows.withColumns({"stored": F.first("original").over(life), "_n": F.row_number().over(life), "_born": F.min("first_at").over(Window.partitionBy("scope", "token"))})
     first = F.when(F.col("first_at").eqNullSafe(F.col("_born")), "stored").otherwise("replaced")
     outcome = F.when(F.col("_n") == 1, first).when(F.col("original") == F.col("stored"), "same").otherwise("conflict")
-    return rows.withColumn("outcome", outcome).drop("ends_at", "_n", "_born")
+    return rows.withColumn("outcome", outcome).drop("ends_at", "_n", "_born").unionByName(every.where("outcome is not null"), allowMissingColumns=True)
 
 
 def resolve(requests: DataFrame, vault: DataFrame) -> DataFrame:

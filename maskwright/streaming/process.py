@@ -13,6 +13,23 @@ STATE = "original string, result string, failure string"
 FAILED = {"unavailable": "model_unavailable", "vault": "vault_unavailable", "review": "review_required"}
 
 
+def step(held: tuple | None, payload: str, status: str, mask: Callable[[str], str], rules_only: Callable[[str], str] | None = None) -> tuple[tuple, str, str | None]:
+    """(state, outcome, reply) of one request of an id; the state is (original, result, failure)."""
+    original, result, failure = held or (payload, None, None)
+    if held is None or failure == "model_unavailable" and payload == original:
+        if status == "ok":
+            return (payload, mask(payload), None), "masked", mask(payload)
+        if status == "unavailable" and rules_only is not None:
+            return (payload, rules_only(payload), None), "degraded", rules_only(payload)
+        failure = FAILED.get(status, "masking_failed")
+        return (payload, None, failure), failure, None
+    if payload == original:
+        return held, failure or "stored", result
+    if failure is None and payload == result:
+        return held, "restored", original
+    return held, "conflict", None
+
+
 def process_stream(requests: DataFrame, mask: Callable[[str], str], ttl_ms: int | None = None, rules_only: Callable[[str], str] | None = None) -> DataFrame:
     """Requests (payload_id, seq, payload [, model_status]) of a stream, answered in order of ``seq`` within a micro-batch.
 
@@ -25,21 +42,6 @@ def process_stream(requests: DataFrame, mask: Callable[[str], str], ttl_ms: int
     without requests is forgotten.
     """
 
-    def step(held: tuple | None, payload: str, status: str) -> tuple[tuple, str, str | None]:
-        original, result, failure = held or (payload, None, None)
-        if held is None or failure == "model_unavailable" and payload == original:
-            if status == "ok":
-                return (payload, mask(payload), None), "masked", mask(payload)
-            if status == "unavailable" and rules_only is not None:
-                return (payload, rules_only(payload), None), "degraded", rules_only(payload)
-            failure = FAILED.get(status, "masking_failed")
-            return (payload, None, failure), failure, None
-        if payload == original:
-            return held, failure or "stored", result
-        if failure is None and payload == result:
-            return held, "restored", original
-        return held, "conflict", None
-
     def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -49,7 +51,7 @@ def process_stream(requests: DataFrame, mask: Callable[[str], str], ttl_ms: int
         statuses = rows["model_status"] if "model_status" in rows else ["ok"] * len(rows)
         out = []
         for seq, payload, status in zip(rows["seq"], rows["payload"], statuses, strict=True):
-            held, outcome, reply = step(held, payload, status)
+            held, outcome, reply = step(held, payload, status, mask, rules_only)
             out.append((key[0], seq, outcome, reply))
         state.update(held)
         if ttl_ms is not None:
