@@ -10,8 +10,10 @@ from maskwright.functions.crypto import slot_token_sql
 from maskwright.functions.dialect import DUCK
 from maskwright.functions.registry import extended
 from maskwright.operators import alerts, counters, intervals, runtime, tokens, vault
+from maskwright.operators.store import VaultStore
 from maskwright.plans.other_queries import KEY
 from maskwright.plans.service_queries import TTL_DAYS, _spans_of
+from maskwright.sources.shared import folder
 from maskwright.sources.tables import table
 from maskwright.streaming.expiry import expiring_process
 from maskwright.streaming.expiry import token_slots as slots_of
@@ -206,6 +208,33 @@ def register(catalog: Catalog) -> None:
         return intervals.full(a, b, ["k"], 64).groupBy("k", side.alias("side")).agg(F.count("*").alias("n"), F.sum(F.coalesce("l.start", F.lit(0)) + F.coalesce("r.start", F.lit(0))).alias("places"))
 
 
+    # --- stored mappings ---
+
+    swept = "TIMESTAMP '2024-01-28 12:00:00'"
+    over3 = "n.asked >= f.first_at + INTERVAL 3 DAY"
+
+    @catalog.query(
+        "vault_store_lifecycle",
+        f"""WITH RECURSIVE s AS (SELECT 's' || (user_id % 5) AS scope, 't' || user_id AS token, event_type AS original, ts AS asked FROM events WHERE user_id % 5 <> 1 OR day(ts) > 10),
+        n AS (SELECT *, row_number() OVER (PARTITION BY scope, token ORDER BY asked, original) AS k FROM s),
+        f AS (SELECT scope, token, k, asked AS first_at, original AS stored FROM n WHERE k = 1
+          UNION ALL SELECT n.scope, n.token, n.k, CASE WHEN {over3} THEN n.asked ELSE f.first_at END, CASE WHEN {over3} THEN n.original ELSE f.stored END FROM f JOIN n ON n.scope = f.scope AND n.token = f.token AND n.k = f.k + 1),
+        e AS (SELECT scope, token, arg_max(stored, k) AS stored, max(first_at) + INTERVAL 3 DAY AS expires FROM f GROUP BY ALL)
+        SELECT DISTINCT a.scope, a.token, CASE WHEN expires > {swept} THEN stored END AS original, CASE WHEN expires > {swept} THEN NULL ELSE 'not_found' END AS error,
+               (SELECT count(*) FROM e WHERE expires > {swept}) AS n_stored
+        FROM (SELECT 's' || (user_id % 5) AS scope, 't' || user_id AS token FROM events) a LEFT JOIN e USING (scope, token)""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "events").selectExpr("'s' || CAST(user_id % 5 AS STRING) AS scope", "'t' || CAST(user_id AS STRING) AS token", "event_type AS original", "CAST(ts AS TIMESTAMP) AS at")
+        store = VaultStore(spark, folder(spark, "vault"), KEY, 3 * DAY, parts=8)
+        store.save(rows.where("day(at) <= 10"))
+        store.revoke(spark.createDataFrame([("s1",)], "scope string"))
+        store.save(rows.where("day(at) > 10"))
+        now = F.expr(swept)
+        store.sweep(now)
+        n = store.records().count()
+        return store.resolve(rows.select("scope", "token").distinct().withColumn("at", now)).select("scope", "token", "original", "error", F.lit(n).cast("bigint").alias("n_stored"))
+
     # --- streams with state that ends ---
 
     part = "CAST(floor((day(ts) - 1) / 8) AS INT)"  # the events come in four parts, by day
