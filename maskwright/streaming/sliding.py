@@ -14,7 +14,7 @@ SLIDES = {n: max(STEP, s // 24 // STEP * STEP) for n, s in WINDOWS.items()}
 
 
 def counted(events: DataFrame, counts: dict[str, Column], late: str, id_col: str = "event_id", step: int = STEP) -> DataFrame:
-    """Events of a stream as counts per step (start, counts): each event once within the watermark, steps given out when it has passed them, later rows dropped and counted by Spark."""
+    """Events of a stream as counts per step (start, counts): each event once within the watermark, steps given out when it has passed them, later rows (behind the watermark that the batch before began with) dropped and counted by Spark."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([id_col])
     sums = [F.sum(c.cast("bigint")).alias(n) for n, c in counts.items()]
     return rows.groupBy(F.window("ts", f"{step} seconds").alias("w")).agg(*sums).select(F.col("w.start").alias("start"), *counts)

@@ -297,9 +297,9 @@ def test_the_store_forgets_by_the_clock(spark):
 
 
 def test_sliding_ratios_count_late_and_repeated_rows_once(spark):
-    rows = spark.range(2000).select(F.col("id").alias("event_id"), F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 100)").alias("ts"), (F.col("id") % 4 == 0).cast("int").alias("bad"), F.floor(F.col("id") / 1000).cast("int").alias("part"))
-    planted = rows.unionByName(rows.where("event_id % 7 = 0")).unionByName(rows.where("event_id < 5").withColumns({"part": F.lit(1), "event_id": -1 - F.col("event_id")}))
-    steps, first = run(counted(in_order(planted, F.col("part"), 2), {"requests": F.lit(1), "errors": F.col("bad")}, "1 hour"), "steps")
+    rows = spark.range(2000).select(F.col("id").alias("event_id"), F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 100)").alias("ts"), (F.col("id") % 4 == 0).cast("int").alias("bad"), F.floor(F.col("id") / 700).cast("int").alias("part"))
+    planted = rows.unionByName(rows.where("event_id % 7 = 0")).unionByName(rows.where("event_id < 5").withColumns({"part": F.lit(2), "event_id": -1 - F.col("event_id")}))
+    steps, first = run(counted(in_order(planted, F.col("part"), 3), {"requests": F.lit(1), "errors": F.col("bad")}, "1 hour"), "steps")
     assert dropped(first) == 5
     assert steps.agg(F.sum("requests"), F.max("requests")).first()[1] == 3
     found, query = run(sliding_ratios(stream_of(steps)), "ratios")
