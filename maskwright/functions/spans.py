@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,27 @@ def holds(d: Spark, rule: Rule, left: str, match: str, value: str, right: str, c
     return " AND ".join(f"({t})" for t in tests)
 
 
+_BLOCK = 256  # items of an array that are folded in one go
+
+
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with a value worked out once and named."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def prefixes(items: str, zero: str, join: Callable[[str, str], str]) -> str:
+    """What the items before each one fold to, for an associative ``join`` of values like ``zero``.
+
+    A fold that builds an array copies it at each step, so it goes by blocks:
+    inside each block, then over the blocks' totals.
+    """
+    fold = lambda array: f"aggregate({array}, named_struct('to', {zero}, 'out', slice(array({zero}), 1, 0)), (s, y) -> named_struct('to', {join('s.to', 'y')}, 'out', concat(s.out, array(s.to))))"
+    blocks = f"transform(sequence(0, greatest(size(f_) - 1, 0) div {_BLOCK}), k -> slice(f_, CAST(k * {_BLOCK} + 1 AS INT), {_BLOCK}))"
+    inner = f"transform({blocks}, z -> {fold('z')})"
+    whole = f"flatten(transform(w_, (w, i) -> transform(w.out, o -> {join('t_.out[i]', 'o')})))"
+    return let(items, "f_", let(inner, "w_", let(fold("transform(w_, w -> w.to)"), "t_", whole)))
+
+
 def _found(rule: Rule, text: str) -> str:
     """Spark SQL for the candidates of one rule.
 
@@ -66,13 +89,15 @@ def _found(rule: Rule, text: str) -> str:
     value = "b.v" if rule.group else "b.m"
     columns = f"named_struct('m', b.m, 'v', {value}, 'gap', slice(b.g, 1, {n}), 'then', slice(b.g, 2, {n}), 'last', slice(concat(array(''), b.m), 1, {n}), 'next', slice(concat(b.m, array('')), 2, {n}))"
     zipped = f"transform(array({columns}), c -> arrays_zip(c.m, c.v, c.gap, c.then, c.last, c.next))[0]"
-    run = "named_struct('c', s.c + length(y.g) + length(y.m), 'b', s.b + octet_length(y.g) + octet_length(y.m), 'out', concat(s.out, array(named_struct('c', s.c + length(y.g), 'b', s.b + octet_length(y.g)))))"
-    running = f"aggregate(transform(b.m, (m, i) -> named_struct('g', b.g[i], 'm', m)), named_struct('c', 0, 'b', 0L, 'out', CAST(array() AS array<struct<c:int,b:bigint>>)), (s, y) -> {run}, s -> s.out)"
+    lengths = "transform(b.m, (m, i) -> named_struct('c', length(b.g[i]) + length(m), 'b', CAST(octet_length(b.g[i]) + octet_length(m) AS BIGINT)))"
+    before_each = prefixes(lengths, "named_struct('c', 0, 'b', 0L)", lambda x, y: f"named_struct('c', {x}.c + {y}.c, 'b', {x}.b + {y}.b)")
+    running = f"transform({before_each}, (p, i) -> named_struct('c', p.c + length(b.g[i]), 'b', p.b + octet_length(b.g[i])))"
     seen = "named_struct('i', i, 'match', x.m, 'value', x.v, 'left', right(x.last, 3) || x.gap, 'right', x.then || x.next)"
     keep = "'i', x.i, 'match', x.match, 'value', x.value, 'left', x.left, 'right', x.right"
-    # 80 characters on either side are more than any test of the surroundings looks at
-    before = f"substring_index(substring({text}, greatest(o[x.i].c - 80, 0) + 1, least(o[x.i].c, 80)), '\\n', -1)"
-    after = f"substring_index(substring({text}, o[x.i].c + length(x.match) + 1, 80), '\\n', 1)"
+    # 80 characters on either side are more than any test of the surroundings looks at; that many and a cut one are in 324 bytes
+    stretch = lambda start, size: f"CAST(substring(raw, CAST({start} + 1 AS INT), CAST({size} AS INT)) AS STRING)"
+    before = f"substring_index(right({stretch('greatest(o[x.i].b - 324, 0L)', 'least(o[x.i].b, 324L)')}, 80), '\\n', -1)"
+    after = f"substring_index(left({stretch('o[x.i].b + octet_length(x.match)', '324')}, 80), '\\n', 1)"
     cut = f"transform(transform({zipped}, (x, i) -> {seen}), x -> named_struct({keep}, 'cut', {cut_value(SPARK, rule, 'x.value')}))"
     kept = f"transform({cut}, x -> named_struct({keep}, 'cut', x.cut, 'kept', {strip_value(SPARK, rule, 'x.cut')}))"
     good = f"filter({kept}, x -> {holds(SPARK, rule, 'x.left', 'x.match', 'x.value', 'x.right', 'x.cut', 'x.kept', before, after)})"
@@ -81,7 +106,7 @@ def _found(rule: Rule, text: str) -> str:
     out = f"transform({placed}, x -> named_struct('type', '{rule.type}', 'start', x.s, 'end', x.s + octet_length(x.kept), 'cstart', x.c, 'cend', x.c + length(x.kept), 'confidence', 1.0D, 'sources', {sources}))"
     none = f"CAST(array() AS array<{CANDIDATE}>)"
     if rule.window:
-        found = f"transform(array({running}), o -> transform(array({good}), q -> CAST({out} AS array<{CANDIDATE}>))[0])[0]"
+        found = let(f"encode({text}, 'UTF-8')", "raw", let(running, "o", let(good, "q", f"CAST({out} AS array<{CANDIDATE}>)")))
     else:
         found = f"transform(array({good}), q -> CASE WHEN size(q) = 0 THEN {none} ELSE transform(array({running}), o -> CAST({out} AS array<{CANDIDATE}>))[0] END)[0]"
     return f"(CASE WHEN {SPARK.like(text, rule.hint)} THEN transform({bound}, b -> {found})[0] ELSE {none} END)"

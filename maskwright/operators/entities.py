@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.dialect import SPARK
 from maskwright.functions.phrases import CLIENT, ORGANIZATION, ORGANIZATION_INN, PASSPORT, POSITIVE, PUBLIC, addressed, present, present_not_negated, promoted_type
 from maskwright.functions.registry import ADDRESS_PARTS, HIGH_RISK_TYPES, LINKED_TYPES, NAME_TYPES, REASON_SCORES, REASONS, SOURCES
-from maskwright.functions.spans import CANDIDATE, bound, with_candidates
+from maskwright.functions.spans import CANDIDATE, bound, with_candidates, prefixes
 
 PLACED = CANDIDATE.removesuffix(">") + ",line:bigint,left60:string>"
 _MERGED = f"struct<c:{PLACED},parts:array<{PLACED}>>"
@@ -105,7 +105,8 @@ def _resolved(array: str) -> str:
     Only candidates of one cluster (a run in document order without a place
     at which none of them goes on) can meet, so each cluster is settled by itself.
     """
-    first = "aggregate(transform(u, (c, i) -> named_struct('i', i, 's', c.start, 'e', c.end)), named_struct('e', -1L, 'out', CAST(array() AS array<int>)), (s, c) -> named_struct('e', greatest(s.e, c.e), 'out', CASE WHEN c.s >= s.e THEN concat(s.out, array(c.i)) ELSE s.out END), s -> s.out)"
+    furthest = prefixes("transform(u, c -> c.end)", "-1L", lambda x, y: f"greatest({x}, {y})")
+    first = _let(furthest, "m", "filter(transform(u, (c, i) -> i), i -> u[i].start >= m[i])")
     clusters = "transform(f, (b, k) -> slice(u, b + 1, (CASE WHEN k + 1 < size(f) THEN f[k + 1] ELSE size(u) END) - b))"
     tier = "CASE WHEN array_contains(c.sources, 'validator') THEN 3 WHEN array_contains(c.sources, 'regex') THEN 2 ELSE 1 END"
     order = _sorted("g", f"-({tier})", "-c.confidence", "c.start - c.end", "c.start", "c.end", "c.type")
@@ -144,8 +145,8 @@ def _assessed(array: str, text: str, disabled: bool) -> str:
     by_line = f"transform({_runs(_let(f"encode({text}, 'UTF-8')", 'raw', seen), 'p.line = q.line')}, g -> {line})"
     # the lines of each kind of owner are numbered in order
     person, organization = "exists(g, x -> x.owner = 'PERSON')", "exists(g, x -> x.owner = 'ORGANIZATION')"
-    step = f"named_struct('p', s.p + CAST({person} AS INT), 'o', s.o + CAST({organization} AS INT), 'out', concat(s.out, array(named_struct('p', s.p + 1, 'o', s.o + 1))))"
-    numbers = f"aggregate(l, named_struct('p', 0, 'o', 0, 'out', CAST(array() AS array<struct<p:int,o:int>>)), (s, g) -> {step}, s -> s.out)"
+    counts = f"transform(l, g -> named_struct('p', CAST({person} AS INT), 'o', CAST({organization} AS INT)))"
+    numbers = f"transform({prefixes(counts, "named_struct('p', 0, 'o', 0)", lambda x, y: f"named_struct('p', {x}.p + {y}.p, 'o', {x}.o + {y}.o)")}, x -> named_struct('p', x.p + 1, 'o', x.o + 1))"
     best = "array_max(transform(x.why, r -> CASE r " + " ".join(f"WHEN '{r}' THEN {s}D" for r, s in REASON_SCORES.items()) + " ELSE 0.0D END))"
     score = f"CASE x.owner WHEN 'PERSON' THEN {best} WHEN 'UNKNOWN' THEN 0.3D ELSE 0.9D END"
     ident = "CASE x.owner WHEN 'PERSON' THEN 'person-' || m[i].p WHEN 'ORGANIZATION' THEN 'organization-' || m[i].o ELSE '' END" if not disabled else "''"
