@@ -37,6 +37,7 @@ _NAME = (
     r"sidebar|side|aside|widget|menu|menubar|nav|navbar|navigation|topbar|breadcrumbs?|pagination|pager|masthead|header|footer|foot|copyright|legal|disclaimer|"
     r"share|sharing|social|follow|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|form|search|toolbar|skip|hidden)"
 )
+_UNSURE = re.compile(r"(?:side|foot|legal|disclaimer|share|follow|related|recommend\w*|reply|respond|form|search|skip)", re.I)  # of these, what text may be called too
 _WHOLE, _PART = re.compile(_NAME, re.I), re.compile(rf"(?:^|[-_]){_NAME}(?:$|[-_])", re.I)
 _NAMED = frozenset("div section ul ol dl table center".split())  # what a class or id can tell to be chrome; headings, paragraphs and inline elements never
 _CLOSED_BY = {
@@ -65,16 +66,16 @@ def _chrome(tag: str, attrs: dict[str, str]) -> bool:
 
 
 def _named(tag: str, attrs: dict[str, str]) -> int:
-    """How surely a container's name tells chrome: 3 a whole class that names a header, 2 another whole class, 1 a part of a class or a whole id, 0 not at all.
+    """How surely a container's name tells chrome: 3 a whole class that names a header, 2 another whole class, 1 a class that text may have too, a part of a class or a whole id, 0 not at all.
 
     The id of a section is the slug of its heading and tells nothing.
     """
     if tag not in _NAMED:
         return 0
     classes = attrs.get("class", "").split()
-    if whole := [x for x in classes if _WHOLE.fullmatch(x)]:
+    if whole := [x for x in classes if _WHOLE.fullmatch(x) and not _UNSURE.fullmatch(x)]:
         return 3 if all(x.lower() in ("header", "masthead") for x in whole) else 2
-    if any(_PART.search(x) for x in classes):
+    if any(_PART.search(x) for x in classes):  # whole ones among them
         return 1
     return int(tag != "section" and "section" not in classes and bool(_WHOLE.fullmatch(attrs.get("id", "").strip())))
 
@@ -378,9 +379,10 @@ class Block:
 class _Around:
     """What the elements around a place say.
 
-    An element is chrome by kind, role, state or the whole of a class. The
-    heading of an article stays in a header. Where only a part of a name (or
-    an id) tells chrome, an element in an article or main stays for the
+    An element is chrome by kind, role, state or the whole of a class that
+    names adverts, notices, menus, sidebars, footers or comments. The
+    heading of an article stays in a header. Where only a part of a name, an
+    id, or a class that text may have too (legal, form, related ...) tells chrome, an element in an article or main stays for the
     wrapper to decide on, and so does one that holds the page's h1 or main.
     """
 

@@ -119,3 +119,10 @@ def test_rows_and_columns(spark):
     got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, wrapper string")).collect()
     assert sorted((r.page_id, r.text, r.wrapper) for r in got if r.page_id < 9) == sorted((i % 3, f"Head {i % 3}\nBody {i % 3}", "w") for i in range(9))
     assert [(r.text, r.n_chars, r.wrapper) for r in got if r.page_id == 9] == [("", 0, None)]
+
+
+def test_names_that_text_may_have_stay_in_an_article(spark):
+    inside = '<table class="legal"><tr><td>Clause one.</td></tr></table><ul class="form"><li>Water is a form of ice.</li></ul><div class="related"><p>A related matter.</p></div><div class="side"><p>Side by side.</p></div>'
+    page = f'<html><body><div class="related"><a href="/x">More news</a></div><article><h1>Title</h1><p>First words of it.</p>{inside}<div class="ad">Buy</div><div class="comments"><p>Me too</p></div></article></body></html>'
+    row = main_text(spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")).first()
+    assert row.text.split("\n") == ["Title", "First words of it.", "Clause one.", "Water is a form of ice.", "A related matter.", "Side by side."]
