@@ -19,7 +19,7 @@ from maskwright.llm.queries import REPETITIONS, piece_model
 from maskwright.llm.sentencepiece_sampling import sample_segmentations
 
 SAMPLES = 2
-BATCH_ROWS = 2000  # documents that a Python worker gets at once: workers outlive their stage, so memory adds up over the stages
+BATCH_ROWS = 1000  # documents that a Python worker gets at once: workers outlive their stage, so memory adds up over the stages
 
 
 def _bounded(spark: SparkSession) -> None:
@@ -103,8 +103,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
-        path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for name, stage in STAGES:
+            path = fresh_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
     return docs
