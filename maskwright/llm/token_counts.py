@@ -189,10 +189,10 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
     counting = Counting.of(tokenizer)
     if not counting.cuts:
         return build_table({})
-    some = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where(F.octet_length("text") <= WHOLE).limit(SAMPLE).toArrow()
+    some = docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).where(F.octet_length("text") <= WHOLE).take(SAMPLE)
     seen: Counter[bytes] = Counter()
-    for texts in some.column("text").chunks:
-        raw, _, start, size = _pieces(texts)
+    for i in range(0, len(some), 256):
+        raw, _, start, size = _pieces(pa.array([bytes(x.text) for x in some[i : i + 256]], pa.binary()))
         data, short = raw.tobytes(), size <= WIDE
         seen.update(data[i:j] for i, j in zip(start[short].tolist(), (start + size)[short].tolist(), strict=True))
     best = [x for x, _ in seen.most_common(FREQUENT)]
