@@ -37,9 +37,9 @@ def _ends(samples: DataFrame, looks: DataFrame, keys: list[str], sums: dict[str,
     and of its start, and takes what has run up to there; so a window costs the same whatever its length.
     """
     kind = samples.select(sample.alias("s")).schema[0].dataType
-    named = {n: c.cast("double") for n, c in sums.items()}
+    named, zero = dict(sums), {f.name: F.lit(0).cast(f.dataType) for f in samples.select(*[c.alias(n) for n, c in sums.items()]).schema}
     marks = samples.select(*keys, F.col("t").alias("_at"), F.lit(0).alias("_turn"), F.lit(None).cast("string").alias("range"), F.lit(None).cast("bigint").alias("_t"), sample.alias("_s"), *[c.alias(f"_{n}") for n, c in named.items()])
-    nothing = [F.lit(None).cast(kind).alias("_s"), *[F.lit(None).cast("double").alias(f"_{n}") for n in named]]
+    nothing = [F.lit(None).cast(kind).alias("_s"), *[F.when(F.lit(False), zero[n]).alias(f"_{n}") for n in named]]
     ends = looks.select(*keys, F.col("t").alias("_at"), F.lit(2).alias("_turn"), "range", F.col("t").alias("_t"), *nothing)
     starts = looks.select(*keys, F.col("since").alias("_at"), F.lit(1).alias("_turn"), "range", F.col("t").alias("_t"), *nothing)
     order = [F.col("_at"), F.col("_turn"), F.col("range"), F.col("_t")]
@@ -48,7 +48,7 @@ def _ends(samples: DataFrame, looks: DataFrame, keys: list[str], sums: dict[str,
     down = running(marks.select(*keys, "_at", "_turn", "range", "_t", "_s").unionByName(starts.select(*keys, "_at", "_turn", "range", "_t", "_s")), keys, back, {"first": ("last", F.col("_s"))}, "looks")
     sides = up.where("_t IS NOT NULL").groupBy(*keys, F.col("_t").alias("t"), "range").agg(
         F.max(F.when(F.col("_turn") == 2, F.col("last"))).alias("last"),
-        *[F.coalesce(F.max(F.when(F.col("_turn") == 1, F.col(f"s_{n}"))), F.lit(0.0)).alias(f"a_{n}") for n in named], *[F.coalesce(F.max(F.when(F.col("_turn") == 2, F.col(f"s_{n}"))), F.lit(0.0)).alias(f"b_{n}") for n in named],
+        *[F.coalesce(F.max(F.when(F.col("_turn") == 1, F.col(f"s_{n}"))), zero[n]).alias(f"a_{n}") for n in named], *[F.coalesce(F.max(F.when(F.col("_turn") == 2, F.col(f"s_{n}"))), zero[n]).alias(f"b_{n}") for n in named],
     )
     firsts = down.where("_t IS NOT NULL").select(*keys, F.col("_t").alias("t"), "range", "first")
     return looks.join(sides, [*keys, "t", "range"]).join(firsts, [*keys, "t", "range"])
@@ -79,15 +79,21 @@ def rates(samples: DataFrame, grid: Grid, ranges: dict[str, int], keys: tuple[st
 
 
 def slopes(samples: DataFrame, grid: Grid, seconds: int, keys: tuple[str, ...] = ("series",)) -> DataFrame:
-    """(keys, t, slope): the slope a second of the line through the samples in (t - seconds, t], two at least, from running sums."""
+    """(keys, t, slope): the slope a second of the line through the samples in (t - seconds, t], two at least, from running sums.
+
+    Sums of times and of their squares are decimals, so that what a window
+    adds to them does not drown in what came before it.
+    """
     names = list(keys)
     clean = _sampled(samples, names)
     zero = clean.agg(F.min("t")).first()[0] or 0
-    x = (F.col("t") - F.lit(zero)) / SECOND
-    sums = {"n": F.lit(1), "x": x, "y": F.col("value"), "xy": x * F.col("value"), "xx": x * x}
+    x = ((F.col("t") - F.lit(zero)) / SECOND).cast("decimal(18,6)")
+    sums = {"n": F.lit(1), "x": x, "y": F.col("value"), "xy": x.cast("double") * F.col("value"), "xx": (x * x).cast("decimal(28,8)")}
     found = _ends(clean, _looks(clean, names, grid, {"all": seconds}), names, sums, F.struct("t", "value"))
-    d = {n: F.col(f"b_{n}") - F.col(f"a_{n}") for n in sums}
-    return found.where(d["n"] >= 2).select(*names, "t", ((d["n"] * d["xy"] - d["x"] * d["y"]) / (d["n"] * d["xx"] - d["x"] * d["x"])).alias("slope"))
+    found = found.select(*names, "t", ((F.col("since") - F.lit(zero)) / SECOND).cast("decimal(18,6)").alias("o"), *[(F.col(f"b_{n}") - F.col(f"a_{n}")).alias(n) for n in sums]).where("n >= 2")
+    from_start = {"n": "n", "x": "CAST(x - n * o AS DOUBLE)", "xx": "CAST(xx - 2 * o * x + n * o * o AS DOUBLE)", "xy": "xy - CAST(o AS DOUBLE) * y", "y": "y"}
+    own = found.select(*names, "t", *[F.expr(e).alias(n) for n, e in from_start.items()])
+    return own.select(*names, "t", F.expr("(n * xy - x * y) / (n * xx - x * x)").alias("slope"))
 
 
 def steadily_rising(samples: DataFrame, grid: Grid, seconds: int = 1800, over: int = 7200, step: int = 300, keys: tuple[str, ...] = ("series",)) -> DataFrame:
