@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.sources.schema import checked
+
 SCHEMA = (
     "version string, offset_unit string, cases array<struct<id:string, input:string, expected_mask:string, "
     "spans:array<struct<type:string, start:int, end:int, value:string, personal:boolean, mask_token:string>>>>"
 )
 
 
-# The keys that each object of a corpus file must have, and those it may have.
-KEYS = {"corpus": (("version", "offset_unit", "cases"), ()), "case": (("id", "input", "expected_mask", "spans"), ()), "span": (("type", "start", "end", "value", "personal"), ("mask_token",))}
 
+def _object(required: str, optional: str = "", **properties: dict) -> dict:
+    names = (*required.split(), *optional.split())
+    return {"type": "object", "required": required.split(), "properties": {n: properties.get(n, {"type": "string"}) for n in names}, "additionalProperties": False}
 
-def _odd(keys: Column, kind: str) -> Column:
-    must, may = KEYS[kind]
-    return keys.isNull() | ~F.forall(keys, lambda k: k.isin(*must, *may)) | (F.size(F.array_intersect(keys, F.array(*map(F.lit, must)))) < len(must))
 
+# The shape of a corpus file, as a JSON Schema.
+_WORD, _PLACE = {"type": "string", "minLength": 1}, {"type": "integer", "minimum": 0}
+_SPAN = _object("type start end value personal", "mask_token", type=_WORD, start=_PLACE, end=_PLACE, personal={"type": "boolean"})
+_CASE = _object("id input expected_mask spans", id=_WORD, spans={"type": "array", "items": _SPAN})
+FILE_SCHEMA = _object("version offset_unit cases", version={"type": "string", "const": "1"}, offset_unit={"type": "string", "const": "utf8_byte"}, cases={"type": "array", "items": _CASE})
 
-def shape_problems(spark: SparkSession, path: str) -> DataFrame:
-    """(file, problem): files that are no JSON object, whose objects lack a key or have one too many, or with another version or offset unit."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("v"))
-    part = lambda c, p: F.from_json(F.get_json_object(c, p), "array<string>")
-    raw = raw.withColumns({"top": F.json_object_keys("v"), "cases": part(F.col("v"), "$.cases")})
-    spans = F.flatten(F.transform("cases", lambda c: F.coalesce(F.from_json(F.get_json_object(c, "$.spans"), "array<string>"), F.array().cast("array<string>"))))
-    tests = {
-        "corpus": _odd(F.col("top"), "corpus") | F.col("cases").isNull(), "case": F.exists("cases", lambda c: _odd(F.json_object_keys(c), "case")), "span": F.exists(spans, lambda s: _odd(F.json_object_keys(s), "span")),
-        "version": (F.get_json_object("v", "$.version") != "1") | (F.get_json_object("v", "$.offset_unit") != "utf8_byte"),
-    }
-    found = F.array(*[F.when(F.coalesce(t, F.lit(False)), k) for k, t in tests.items()])
-    return raw.select("file", F.explode(F.array_compact(found)).alias("problem"))
+
+def shape_problems(spark: SparkSession, path: str, schema: dict = FILE_SCHEMA) -> DataFrame:
+    """(file, path, keyword): where a file breaches the JSON Schema of corpora."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+    return checked(raw, schema).select("file", F.inline("breaches"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(version, offset_unit, id, input, expected_mask, spans) of each case; a file of another shape fails."""
     bad = shape_problems(spark, path).limit(5).collect()
     if bad:
-        raise ValueError("not a corpus: " + ", ".join(f"{r.file} ({r.problem})" for r in bad))
+        raise ValueError("not a corpus: " + ", ".join(f"{r.file} ({r.keyword} at {r.path or '/'})" for r in bad))
     raw = spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path, multiLine=True)
     return raw.select("version", "offset_unit", F.explode("cases").alias("c")).select("version", "offset_unit", "c.*")
 
