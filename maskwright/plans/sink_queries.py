@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.catalog import Catalog
+from maskwright.operators import audit
+from maskwright.sources import audit_log
 from maskwright.sources.schema import checked
+from maskwright.sources.shared import folder
 from maskwright.sources.tables import table
+from maskwright.streaming import requests
+from maskwright.streaming.session import in_order
 
 #: The bodies of ``schema_breaches``.
 EVENT_SCHEMA = {
@@ -65,3 +71,57 @@ def register(catalog: Catalog) -> None:
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, "events").select("event_id", F.expr(bodies("STRING")))
         return checked(rows, EVENT_SCHEMA).select("event_id", F.inline("breaches"))
+
+    # --- sinks ---
+
+    part = "CAST(floor((day(ts) - 1) / 8) AS INT)"  # the events come in four parts, by day
+    quoted = "'\"' || upper(event_type) || '\"'"
+    several = "event_id % 3"
+
+    @catalog.query(
+        "audit_log_commits",
+        f"""WITH e AS (SELECT event_id, {several} AS n, {quoted} AS type FROM events)
+        SELECT '{{"request_id":"req_' || md5(CAST(event_id AS VARCHAR)) || '","operation":"detect","has_personal_data":' || (n = 2) || ',"detected_types":[' || CASE n WHEN 0 THEN '' WHEN 1 THEN type ELSE '"A",' || type END || '],"entity_count":' || n
+          || ',"personal_flags":[' || CASE n WHEN 0 THEN '' WHEN 1 THEN 'false' ELSE 'false,true' END || '],"sources":[' || CASE n WHEN 0 THEN '' WHEN 1 THEN '"regex"' ELSE '"regex","rubert"' END || '],"reason_codes":[],"duration_ms":' || event_id % 50
+          || ',"model_mode":"full","result":"success"}}' AS line, CAST(x.n_commits AS BIGINT) AS n_commits FROM e, (SELECT count(DISTINCT floor((day(ts) - 1) / 8)) + 1 AS n_commits FROM events) x
+        UNION ALL SELECT '{{"request_id":"customer-' || c_custkey || '"}}', (SELECT count(DISTINCT floor((day(ts) - 1) / 8)) + 1 FROM events) FROM customer""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        audit_log.register(spark)
+        out = folder(spark, "audit")
+        entity = "named_struct('type', upper(event_type), 'sources', array('regex'), 'reasons', CAST(array() AS array<string>), 'personal', false)"
+        other = "named_struct('type', 'A', 'sources', array('rubert', 'regex'), 'reasons', CAST(array() AS array<string>), 'personal', true)"
+        rows = table(spark, sf_dir, "events").selectExpr("event_id AS doc_id", "event_type AS text", f"slice(array({entity}, {other}), 1, CAST({several} AS INT)) AS entities", f"{part} AS part")
+        arriving = in_order(rows, F.col("part"), 4)
+        said = audit.lines(audit.projected(arriving), F.concat(F.lit("req_"), F.md5(F.col("doc_id").cast("string"))), "detect", F.lit("success"), F.col("doc_id") % 50).select("line")
+        for state in ("first", "again"):  # the second run has lost its checkpoint, so that all batches come again
+            query = said.writeStream.format(audit_log.FORMAT).option("path", out).option("name", "events").option("checkpointLocation", folder(spark, state)).trigger(availableNow=True).start()
+            query.awaitTermination()
+        customers = table(spark, sf_dir, "customer").select(F.format_string('{"request_id":"customer-%d"}', "c_custkey").alias("line"))
+        for _ in range(2):
+            customers.write.format(audit_log.FORMAT).mode("append").option("name", "customers").save(out)
+        lines = spark.read.format(audit_log.FORMAT).load(out)
+        n_commits = lines.select("commit").distinct().count()
+        return lines.select("line", F.lit(n_commits).cast("bigint").alias("n_commits"))
+
+    refusal = "event_id % 7 WHEN 1 THEN 'json' WHEN 2 THEN 'blank' WHEN 3 THEN 'json'"
+
+    @catalog.query(
+        "stream_requests",
+        f"SELECT event_id, CASE {refusal} END AS error, CASE WHEN event_id % 7 NOT IN (1, 2, 3) THEN event_type || ' ж' END AS text, CAST(floor((day(ts) - 1) / 8) AS INT) AS batch FROM events",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        body = "CASE event_id % 7 WHEN 1 THEN '{\"text\": 5}' WHEN 2 THEN '{\"text\": \" \"}' WHEN 3 THEN '[]' ELSE '{\"text\":\"' || event_type || ' ж\"}' END AS body"
+        arriving = in_order(table(spark, sf_dir, "events").selectExpr("event_id", body, f"{part} AS part"), F.col("part"), 4)
+        out, state, lost = folder(spark, "requests"), folder(spark, "state"), []
+
+        def fail_once(batch: int) -> None:
+            if batch == 1 and not lost:
+                lost.append(batch)
+                raise RuntimeError("the driver is lost after the rows are written and before the batch counts")
+
+        try:
+            requests.serve(arriving, out, state, ("text",), then=fail_once).awaitTermination()
+        except StreamingQueryException:
+            requests.serve(arriving, out, state, ("text",), then=fail_once).awaitTermination()
+        return requests.served(spark, out, "event_id long, part int, text string", None).select("event_id", "error", "text", "batch")

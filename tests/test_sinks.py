@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
+from maskwright.sources import audit_log
 from maskwright.sources.corpus import load, shape_problems
 from maskwright.sources.schema import checked
+from maskwright.streaming import requests
+from maskwright.streaming.session import in_order
 
 # schema, bodies that fit, bodies that don't
 KEYWORDS = [
@@ -83,3 +88,104 @@ def test_a_corpus_of_another_shape_is_refused_with_the_place(spark, tmp_path):
     (tmp_path / "good").mkdir()
     (tmp_path / "good" / "c.json").write_text(json.dumps(file))
     assert shape_problems(spark, str(tmp_path / "good")).count() == 0 and load(spark, str(tmp_path / "good")).first().id == "a"
+
+
+# --- the audit log
+
+
+def append(rows, path, name=None, **options):
+    writer = rows.write.format(audit_log.FORMAT).mode("append").options(**options)
+    (writer.option("name", name) if name else writer).save(path)
+
+
+def lines(spark, path):
+    return sorted(r.line for r in spark.read.format(audit_log.FORMAT).load(path).collect())
+
+
+def test_a_commit_counts_once(spark, tmp_path):
+    audit_log.register(spark)
+    path = str(tmp_path / "log")
+    rows = spark.range(0, 1000, 1, 4).selectExpr("concat('ж', id) AS line")
+    append(rows, path, "one")
+    append(rows, path, "one")
+    append(rows.limit(0), path, "none")
+    append(rows, path)
+    append(rows, path)
+    found = spark.read.format(audit_log.FORMAT).load(path)
+    assert sorted(r["count"] for r in found.groupBy("commit").count().collect()) == [1000, 1000, 1000] and found.where("commit = 'one'").select("line").distinct().count() == 1000
+    assert len(os.listdir(f"{path}/lines")) == 12 and len(os.listdir(f"{path}/commits")) == 4
+
+
+def test_a_failed_job_leaves_no_line(spark, tmp_path):
+    audit_log.register(spark)
+    path = str(tmp_path)
+    append(spark.createDataFrame([("kept",)], "line string"), path)
+    rows = spark.range(0, 40, 1, 4).selectExpr("CASE WHEN id < 35 THEN 'l' || id END AS line", "id")
+    for bad in (rows, rows.selectExpr("coalesce(line, 'a\\nb') AS line"), rows.selectExpr("coalesce(line, repeat('x', 200)) AS line"), rows.selectExpr("CASE WHEN id = 39 THEN raise_error('lost') ELSE 'l' END AS line")):
+        with pytest.raises(PySparkException):
+            append(bad.select("line"), path, mostBytes="100")
+        assert lines(spark, path) == ["kept"]
+    with pytest.raises(PySparkException):
+        spark.range(1).selectExpr("'x' AS line").write.format(audit_log.FORMAT).mode("overwrite").save(path)
+    open(f"{path}/lines/left-behind.jsonl", "w").write("what a killed task wrote\n")
+    assert lines(spark, path) == ["kept"]
+    assert audit_log.sweep(spark, path) == 0 and audit_log.sweep(spark, path, 0) >= 1
+    assert len(os.listdir(f"{path}/lines")) == 1 and lines(spark, path) == ["kept"]
+
+
+def test_an_empty_log_and_a_damaged_one(spark, tmp_path):
+    audit_log.register(spark)
+    path = str(tmp_path / "new")
+    assert lines(spark, path) == [] and audit_log.sweep(spark, path, 0) == 0
+    append(spark.createDataFrame([("",), ("x",)], "line string").coalesce(1), path)
+    assert lines(spark, path) == ["", "x"]
+    (file,) = os.listdir(f"{path}/lines")
+    open(f"{path}/lines/{file}", "a").write("more\n")
+    with pytest.raises(PySparkException, match="not what its commit says"):
+        lines(spark, path)
+
+
+def test_a_stream_that_loses_its_checkpoint_adds_nothing(spark, tmp_path):
+    audit_log.register(spark)
+    path = str(tmp_path / "log")
+    arriving = in_order(spark.range(30).selectExpr("id", "id % 3 AS part"), F.col("part"), 3, 2).selectExpr("CAST(id AS STRING) AS line")
+
+    def run(state, name="s"):
+        writer = arriving.writeStream.format(audit_log.FORMAT).option("path", path).option("checkpointLocation", str(tmp_path / state)).trigger(availableNow=True)
+        (writer.option("name", name) if name else writer).start().awaitTermination()
+
+    run("a")
+    run("b")
+    run("b")
+    assert lines(spark, path) == sorted(map(str, range(30))) and len(os.listdir(f"{path}/commits")) == 3
+    run("c", "other")
+    assert len(lines(spark, path)) == 60
+    with pytest.raises(PySparkException):
+        run("d", None)
+
+
+# --- requests as a stream
+
+
+def test_a_restart_writes_no_row_twice(spark, tmp_path):
+    rows = [(i, i % 4, None if i % 5 == 0 else "{" if i % 5 == 1 else json.dumps({"text": f"т{i}", "scope_id": "s"})) for i in range(40)]
+    arriving = in_order(spark.createDataFrame(rows, "id int, part int, body string"), F.col("part"), 4, 2)
+    out, state, seen = str(tmp_path / "out"), str(tmp_path / "state"), []
+
+    def lost(batch):
+        seen.append(batch)
+        if seen.count(batch) == 1 and batch in (0, 2):
+            raise RuntimeError("lost")
+
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            requests.serve(arriving, out, state, ("text",), ("scope_id",), then=lost).awaitTermination()
+    requests.serve(arriving, out, state, ("text",), ("scope_id",), then=lost).awaitTermination()
+    assert seen == [0, 0, 1, 2, 2, 3]
+    columns = "id int, part int, text string, scope_id string"
+    good, refused = requests.served(spark, out, columns), requests.served(spark, out, columns, True)
+    assert sorted((r.id, r.text, r.batch) for r in good.collect()) == [(i, f"т{i}", i % 4) for i in range(40) if i % 5 > 1]
+    assert sorted((r.id, r.error, r.text) for r in refused.collect()) == [(i, "json", None) for i in range(40) if i % 5 < 2]
+    assert requests.served(spark, out, columns, None).count() == 40 and "body" not in good.columns
+    requests.serve(arriving, out, state, ("text",), ("scope_id",), then=lost).awaitTermination()
+    assert seen == [0, 0, 1, 2, 2, 3]
