@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -73,8 +74,13 @@ def prefixes(items: str, zero: str, join: Callable[[str, str], str]) -> str:
     return let(items, "f_", let(inner, "w_", let(fold("transform(w_, w -> w.to)"), "t_", whole)))
 
 
+def _cyrillic_only(hint: str) -> bool:
+    """Whether each alternative of a hint has a Cyrillic letter, so that a text without one needs no search for it."""
+    return all(re.search("[а-яё]", part, re.IGNORECASE) for part in hint.split("|"))
+
+
 def _found(rule: Rule, text: str) -> str:
-    """Spark SQL for the candidates of one rule.
+    """Spark SQL for the candidates of one rule; ``cyrillic_`` is whether the text has a letter of that script.
 
     Matches and the gaps between them interleave, so their running lengths are
     the offsets, in characters and bytes; they are taken in one pass, and only
@@ -105,11 +111,12 @@ def _found(rule: Rule, text: str) -> str:
     sources = "array('regex', 'validator')" if rule.validated else "array('regex')"
     out = f"transform({placed}, x -> named_struct('type', '{rule.type}', 'start', x.s, 'end', x.s + octet_length(x.kept), 'cstart', x.c, 'cend', x.c + length(x.kept), 'confidence', 1.0D, 'sources', {sources}))"
     none = f"CAST(array() AS array<{CANDIDATE}>)"
+    hint = f"{'cyrillic_ AND ' if _cyrillic_only(rule.hint) else ''}{SPARK.like(text, rule.hint)}"
     if rule.window:
         found = let(f"encode({text}, 'UTF-8')", "raw", let(running, "o", let(good, "q", f"CAST({out} AS array<{CANDIDATE}>)")))
     else:
         found = f"transform(array({good}), q -> CASE WHEN size(q) = 0 THEN {none} ELSE transform(array({running}), o -> CAST({out} AS array<{CANDIDATE}>))[0] END)[0]"
-    return f"(CASE WHEN {SPARK.like(text, rule.hint)} THEN transform({bound}, b -> {found})[0] ELSE {none} END)"
+    return f"(CASE WHEN {hint} THEN transform({bound}, b -> {found})[0] ELSE {none} END)"
 
 
 def bound(docs: DataFrame, name: str, value: Column) -> DataFrame:
@@ -126,8 +133,8 @@ def with_candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str
 
     Confidence is 1. A null text has none.
     """
-    every = F.concat(*[F.expr(_found(r, text)) for r in rules])
-    return bound(docs, to, in_order(every))
+    every = let(SPARK.like(text, r"\p{IsCyrillic}"), "cyrillic_", f"concat({', '.join(_found(r, text) for r in rules)})")
+    return bound(docs, to, in_order(F.expr(every)))
 
 
 def in_order(candidates: Column) -> Column:
