@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,18 @@ from maskwright.operators.process import answers
 
 
 def detection_metrics(truth: DataFrame, predicted: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
-    """Per type over distinct (case_id, type, start, end): tp, fp, fn, fp_on_hard_negative, precision, recall, f1 and whether each is defined."""
+    """Per type over distinct (case_id, type, start, end): support and predicted (spans in the truth and found), tp, fp, fn, fp_on_hard_negative, precision, recall, f1 and whether each is defined.
+
+    A type that only ``negatives`` has comes with zeros. The spans meet in
+    one aggregate that combines before its shuffle; nulls are values.
+    """
     keys = ["case_id", "type", "start", "end"]
-    both = truth.select(*keys).distinct().withColumn("t", F.lit(1)).join(predicted.select(*keys).distinct().withColumn("p", F.lit(1)), keys, "full")
-    if negatives is not None:
-        both = both.join(negatives.select(*keys).distinct().withColumn("n", F.lit(1)), keys, "left")
-    else:
-        both = both.withColumn("n", F.lit(None).cast("int"))
-    on = lambda c: F.col(c).isNotNull()
-    counts = both.groupBy("type").agg(F.count_if(on("t") & on("p")).alias("tp"), F.count_if(~on("t") & on("p")).alias("fp"), F.count_if(on("t") & ~on("p")).alias("fn"), F.count_if(~on("t") & on("p") & on("n")).alias("fp_on_hard_negative"))
+    tagged = [df.select(*keys, *[F.lit(tag == own).alias(tag) for tag in "tpn"]) for own, df in (("t", truth), ("p", predicted), ("n", negatives)) if df is not None]
+    spans = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(*[F.bool_or(tag).alias(tag) for tag in "tpn"])
+    counts = spans.groupBy("type").agg(
+        F.count_if("t").alias("support"), F.count_if("p").alias("predicted"), F.count_if(F.col("t") & F.col("p")).alias("tp"), F.count_if(~F.col("t") & F.col("p")).alias("fp"), F.count_if(F.col("t") & ~F.col("p")).alias("fn"),
+        F.count_if(~F.col("t") & F.col("p") & F.col("n")).alias("fp_on_hard_negative"),
+    )
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = counts.withColumns({"precision": safe(F.col("tp"), F.col("tp") + F.col("fp")), "recall": safe(F.col("tp"), F.col("tp") + F.col("fn")), "precision_defined": F.col("tp") + F.col("fp") > 0, "recall_defined": F.col("tp") + F.col("fn") > 0})
     return out.withColumns({"f1_defined": F.col("precision_defined") & F.col("recall_defined"), "f1": F.round(safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6), "precision": F.round("precision", 6), "recall": F.round("recall", 6)})

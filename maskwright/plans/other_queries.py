@@ -124,7 +124,24 @@ def register(catalog: Catalog) -> None:
 
     @catalog.query("detection_metrics", f"{metric} SELECT type, tp, fp, fn, round(precision_, 6) AS precision, round(recall_, 6) AS recall, round(f1_, 6) AS f1, tp + fp > 0 AS precision_defined, tp + fn > 0 AS recall_defined, tp + fp > 0 AND tp + fn > 0 AS f1_defined FROM m")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scored(spark, sf_dir).drop("fp_on_hard_negative").orderBy("type")
+        return scored(spark, sf_dir).drop("fp_on_hard_negative", "support", "predicted").orderBy("type")
+
+    spans = "SELECT l_orderkey AS case_id, l_returnflag || l_linestatus AS type, l_linenumber * 10 AS start, l_linenumber * 10 + CAST(l_quantity AS INT) AS e, l_partkey FROM lineitem"
+    moved = "SELECT case_id, CASE WHEN l_partkey % 11 = 0 THEN 'odd' ELSE type END AS type, start, e + CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END AS e FROM s WHERE l_partkey % 5 > 0"
+    unsure = "SELECT case_id, CASE WHEN l_partkey % 13 = 0 THEN 'never' ELSE type END AS type, start, e + 1 AS e FROM s WHERE l_partkey % 3 = 0"
+
+    @catalog.query(
+        "detection_support",
+        f"""WITH s AS ({spans}), t AS (SELECT DISTINCT case_id, type, start, e FROM s), p AS (SELECT DISTINCT * FROM ({moved})), n AS (SELECT DISTINCT * FROM ({unsure}))
+        SELECT k.type, (SELECT count(*) FROM t WHERE t.type = k.type) AS support, (SELECT count(*) FROM p WHERE p.type = k.type) AS predicted, (SELECT count(*) FROM p SEMI JOIN t USING (case_id, type, start, e) WHERE p.type = k.type) AS tp,
+               (SELECT count(*) FROM p ANTI JOIN t USING (case_id, type, start, e) WHERE p.type = k.type) AS fp, (SELECT count(*) FROM t ANTI JOIN p USING (case_id, type, start, e) WHERE t.type = k.type) AS fn,
+               (SELECT count(*) FROM p ANTI JOIN t USING (case_id, type, start, e) SEMI JOIN n USING (case_id, type, start, e) WHERE p.type = k.type) AS fp_on_hard_negative
+        FROM (SELECT type FROM t UNION SELECT type FROM p UNION SELECT type FROM n) k""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = table(spark, sf_dir, "lineitem")
+        every, found, doubted = (spark.sql(f"WITH s AS ({spans.replace('lineitem', '{lines}')}) {q}", lines=lines).withColumnRenamed("e", "end") for q in ("SELECT * FROM s", moved, unsure))
+        return scoring.detection_metrics(every, found, doubted).select("type", "support", "predicted", "tp", "fp", "fn", "fp_on_hard_negative")
 
     @catalog.query("macro_average", f"{metric} SELECT round(avg(round(precision_, 6)) FILTER (tp + fp > 0), 6) AS macro_precision, round(avg(round(recall_, 6)) FILTER (tp + fn > 0), 6) AS macro_recall, round(avg(round(f1_, 6)) FILTER (tp + fp > 0 AND tp + fn > 0), 6) AS macro_f1, count(*) FILTER (tp + fp > 0) AS precision_types, count(*) FILTER (tp + fn > 0) AS recall_types, count(*) FILTER (tp + fp > 0 AND tp + fn > 0) AS f1_types, count(*) AS n_types FROM m")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -463,9 +463,9 @@ def register(catalog: Catalog) -> None:
         rows = audit.projected(owned_docs(spark, sf_dir))
         return audit.lines(rows, F.concat(F.lit("req_"), F.md5(F.col("doc_id").cast("string"))), "detect", F.lit("success"), F.col("doc_id") % 50, "fast")
 
-    @catalog.query("load_pool", "SELECT 'load-' || i AS payload_id, 'Клиент Тестов Тест Тестович, телефон +7 900 123-45-' || lpad(CAST(i % 100 AS VARCHAR), 2, '0') || ', email test' || i || '@example.com' AS payload FROM range(0, 2000) t(i)")
+    @catalog.query("load_pool", "SELECT 'load-' || o_orderkey AS payload_id, 'Клиент Тестов Тест Тестович, телефон +7 900 123-45-' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || ', email test' || o_orderkey || '@example.com' AS payload FROM orders")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return load_pool(spark, 2000)
+        return load_pool(table(spark, sf_dir, "orders"), "o_orderkey")
 
     @catalog.query(
         "target_met",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskwright.catalog import Catalog
 from maskwright.operators import audit
-from maskwright.sources import audit_log
+from maskwright.sources import audit_log, models
 from maskwright.sources.schema import checked
 from maskwright.sources.shared import folder
 from maskwright.sources.tables import table
@@ -72,6 +72,29 @@ def register(catalog: Catalog) -> None:
         rows = table(spark, sf_dir, "events").select("event_id", F.expr(bodies("STRING")))
         return checked(rows, EVENT_SCHEMA).select("event_id", F.inline("breaches"))
 
+    # answers of a model over "Клиент <name>", some of them of another shape
+
+    def replies(text: str) -> str:
+        say = lambda x: f"CAST({x} AS {text})"
+        start = f"CASE c_custkey % 17 WHEN 1 THEN '\"7\"' WHEN 2 THEN '7.0' WHEN 3 THEN 'null' WHEN 4 THEN '-1' WHEN 5 THEN '99999999999' ELSE '7' END"
+        model = "CASE c_custkey % 19 WHEN 1 THEN 'other' WHEN 2 THEN 'rubert' ELSE 'gliner' END"
+        label = "CASE c_custkey % 19 WHEN 2 THEN 'CITY' WHEN 3 THEN '' ELSE 'ru_pii_person' END"
+        entity = f"'{{\"entities\":[{{\"label\":\"' || {label} || '\",\"start\":' || {start} || ',\"end\":' || {say('7 + length(c_name) + CASE WHEN c_custkey % 29 = 1 THEN 1 ELSE 0 END')} || ',\"confidence\":' || CASE c_custkey % 31 WHEN 1 THEN '1.5' WHEN 2 THEN '1' ELSE '0.5' END || ',\"model\":\"' || {model} || '\"' || CASE WHEN c_custkey % 37 = 1 THEN ',\"why\":\"\"' ELSE '' END || '}}'"
+        return f"CASE c_custkey % 13 WHEN 1 THEN {entity} || '}}' WHEN 2 THEN {entity} || '],\"took\":1}}' WHEN 3 THEN {entity} || ',{{\"label\":\"X\"}}]}}' WHEN 4 THEN '{{\"entities\":null}}' WHEN 5 THEN {entity} || ']}} {{}}' WHEN 6 THEN NULL WHEN 7 THEN '{{\"entities\":[]}}' ELSE {entity} || ']}}' END"
+
+    @catalog.query(
+        "model_answers",
+        """WITH c AS (SELECT c_custkey, c_name, c_custkey % 13 AS m, c_custkey % 17 AS s, c_custkey % 19 AS l FROM customer),
+        e AS (SELECT *, CASE WHEN m = 6 THEN 'unavailable' WHEN m BETWEEN 1 AND 5 OR m <> 7 AND (s IN (1, 2, 3, 5) OR l = 1 OR c_custkey % 37 = 1) THEN 'invalid_response' END AS error FROM c)
+        SELECT c_custkey, error, CASE WHEN error IS NULL AND m <> 7 AND s <> 4 AND l <> 3 AND c_custkey % 29 <> 1 AND c_custkey % 31 <> 1 THEN CASE l WHEN 2 THEN 'ADDRESS_CITY' ELSE 'FULL_NAME' END END AS type,
+               CASE WHEN error IS NULL AND m <> 7 AND s <> 4 AND l <> 3 AND c_custkey % 29 <> 1 AND c_custkey % 31 <> 1 THEN 13 + strlen(c_name) END AS end_byte FROM e""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Клиент "), "c_name").alias("text"), F.expr(replies("STRING")).alias("answer"))
+        found = models.model_candidates(models.answered(rows), rows).select("doc_id", F.inline("models"))
+        said = models.answers(rows).select("doc_id", "error")
+        return said.join(found, "doc_id", "left").select(F.col("doc_id").alias("c_custkey"), "error", "type", F.col("end").alias("end_byte"))
+
     # --- sinks ---
 
     part = "CAST(floor((day(ts) - 1) / 8) AS INT)"  # the events come in four parts, by day

@@ -7,10 +7,41 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.registry import DOCUMENT_LABELS, MODEL_LABELS
 from maskwright.functions.spans import CANDIDATE
+from maskwright.sources.schema import checked
 
 SCHEMA = "doc_id long, label string, start_cp int, end_cp int, confidence double, model string"
 
 
+# The shape of a model's answer, as a JSON Schema.
+_FIELDS = {"label": {"type": "string"}, "start": {"type": "integer"}, "end": {"type": "integer"}, "confidence": {"type": "number"}, "model": {"enum": ["rubert", "gliner"]}}
+ANSWER_SCHEMA = {
+    "type": "object", "required": ["entities"], "additionalProperties": False,
+    "properties": {"entities": {"type": "array", "items": {"type": "object", "required": list(_FIELDS), "properties": _FIELDS, "additionalProperties": False}}},
+}
+
+
+def answers(docs: DataFrame, answer: str = "answer") -> DataFrame:
+    """``docs`` with ``error`` and ``entities`` (label, start_cp, end_cp, confidence, model) of the JSON text ``answer``.
+
+    ``invalid_response`` and null entities where the answer has another
+    shape: no JSON or more than one value, an unknown key anywhere, a field
+    that is missing, null or of another kind, a place that is not written as
+    a whole number or is beyond 32 bits, an unknown model. A null answer is
+    ``unavailable``. Offsets and labels are judged by ``model_candidates``.
+    """
+    wire = "entities array<struct<label:string,start:int,end:int,confidence:double,model:string>>"
+    rows = checked(docs, ANSWER_SCHEMA, answer, "_breaches").withColumn("_wire", F.from_json(answer, wire)["entities"])
+    bad = (F.size("_breaches") > 0) | F.col("_wire").isNull() | F.exists("_wire", lambda e: e["start"].isNull() | e["end"].isNull() | e["confidence"].isNull())
+    error = F.when(F.col(answer).isNull(), "unavailable").when(bad, "invalid_response")
+    entity = lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start_cp"), e["end"].alias("end_cp"), e["confidence"].alias("confidence"), e["model"].alias("model"))
+    return rows.withColumn("error", error).withColumn("entities", F.when(F.col("error").isNull(), F.transform("_wire", entity))).drop("_breaches", "_wire")
+
+
+def answered(docs: DataFrame, answer: str = "answer") -> DataFrame:
+    """The table of model entities (``SCHEMA``) of the documents whose answer is sound."""
+    return answers(docs, answer).select(F.col("doc_id").cast("long"), F.inline("entities")).select("doc_id", "label", "start_cp", "end_cp", "confidence", "model")
+
+
 def resolved_type() -> Column:
     """The type of (model, label), null where unknown."""
     out = F.lit(None).cast("string")

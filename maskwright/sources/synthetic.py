@@ -88,7 +88,7 @@ def ru_docs_sql() -> str:
     return f"(SELECT c_custkey AS doc_id, {text_sql(k, _name(k), _phone(k), _inn_twelve(_inn_eleven(_inn_base(k))), _card(_card_base(k)))} AS text FROM customer)"
 
 
-def load_pool(spark: SparkSession, n: int) -> DataFrame:
-    """(payload_id, payload) of n requests for load tests; each is another text."""
-    text = F.format_string("Клиент Тестов Тест Тестович, телефон +7 900 123-45-%02d, email test%d@example.com", F.col("id") % 100, F.col("id"))
-    return spark.range(n).select(F.format_string("load-%d", "id").alias("payload_id"), text.alias("payload"))
+def load_pool(rows: DataFrame, key: str) -> DataFrame:
+    """(payload_id, payload) of a request for load tests per row of ``rows``, made from its number ``key``; each is another text."""
+    text = F.format_string("Клиент Тестов Тест Тестович, телефон +7 900 123-45-%02d, email test%d@example.com", F.col(key) % 100, F.col(key))
+    return rows.select(F.format_string("load-%d", key).alias("payload_id"), text.alias("payload"))

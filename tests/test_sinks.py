@@ -9,7 +9,8 @@ import pytest
 from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
-from maskwright.sources import audit_log
+from maskwright.operators import scoring
+from maskwright.sources import audit_log, models
 from maskwright.sources.corpus import load, shape_problems
 from maskwright.sources.schema import checked
 from maskwright.streaming import requests
@@ -189,3 +190,32 @@ def test_a_restart_writes_no_row_twice(spark, tmp_path):
     assert requests.served(spark, out, columns, None).count() == 40 and "body" not in good.columns
     requests.serve(arriving, out, state, ("text",), ("scope_id",), then=lost).awaitTermination()
     assert seen == [0, 0, 1, 2, 2, 3]
+
+
+# --- answers of models, support of types
+
+
+def test_answers_of_another_shape_are_refused(spark):
+    e = {"label": "ru_pii_person", "start": 2, "end": 5, "confidence": 0.5, "model": "gliner"}
+    whole = lambda *es, **more: json.dumps({"entities": list(es), **more})
+    good = [whole(), whole(e), whole(e, e | {"label": ""}, e | {"start": -1}, e | {"end": 99}, e | {"confidence": 2}), whole(e | {"confidence": 1}), " " + whole(e) + "\n"]
+    bad = ["", "{}", "[]", "null", '{"entities":null}', '{"entities":{}}', whole(took=1), whole(e | {"why": ""}), whole(e) + " {}", whole(e)[:-1], whole(e, None), whole([e])]
+    bad += [whole({k: v for k, v in e.items() if k != name}) for name in e] + [whole(e | {name: None}) for name in e]
+    bad += [whole(e | {"start": 1.5}), whole(e | {"start": "1"}), whole(e | {"start": 1 << 31}), whole(e).replace("2", "2.0"), whole(e | {"confidence": "1"}), whole(e | {"model": "GLINER"}), whole(e | {"label": 1})]
+    rows = spark.createDataFrame([(i, "я яяя", a) for i, a in enumerate([*good, *bad, None])], "doc_id long, text string, answer string")
+    got = {r.doc_id: (r.error, r.entities) for r in models.answers(rows).collect()}
+    n = len(good)
+    assert [got[i][0] for i in range(n)] == [None] * n and [i for i in range(n, n + len(bad)) if got[i] != ("invalid_response", None)] == [] and got[n + len(bad)] == ("unavailable", None)
+    assert [len(got[i][1]) for i in range(n)] == [0, 1, 5, 1, 1] and tuple(got[1][1][0]) == ("ru_pii_person", 2, 5, 0.5, "gliner")
+    found = models.model_candidates(models.answered(rows), rows.drop("answer")).select("doc_id", F.inline("models")).collect()
+    assert sorted((r.doc_id, r.type, r.start, r.end) for r in found) == [(i, "FULL_NAME", 3, 9) for i in (1, 2, 3, 4)]
+
+
+def test_support_and_types_that_only_negatives_have(spark):
+    span = lambda rows: spark.createDataFrame(rows, "case_id string, type string, start long, end long")
+    truth = span([("a", "X", 0, 1), ("a", "X", 0, 1), ("b", "X", 0, 1), ("a", "Y", 5, 6), (None, "X", 0, 1)])
+    found = span([("a", "X", 0, 1), ("b", "X", 0, 2), ("b", "X", 0, 2), ("a", "Z", 0, 1), (None, "X", 0, 1)])
+    doubted = span([("b", "X", 0, 2), ("a", "X", 0, 1), ("c", "W", 0, 1)])
+    got = {r.type: (r.support, r.predicted, r.tp, r.fp, r.fn, r.fp_on_hard_negative, r.precision_defined, r.recall_defined) for r in scoring.detection_metrics(truth, found, doubted).collect()}
+    assert got == {"X": (3, 3, 2, 1, 1, 1, True, True), "Y": (1, 0, 0, 0, 1, 0, False, True), "Z": (0, 1, 0, 1, 0, 0, True, False), "W": (0, 0, 0, 0, 0, 0, False, False)}
+    assert scoring.detection_metrics(truth.limit(0), found.limit(0)).count() == 0 and scoring.detection_metrics(truth, found).where("type = 'X'").first().fp_on_hard_negative == 0
