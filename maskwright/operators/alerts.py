@@ -63,11 +63,11 @@ def ratios(steps: DataFrame, part: str = "errors", whole: str = "requests") -> D
     return steps.withColumns({f"ratio_{n}": ratio(part, whole, s) for n, s in WINDOWS.items()})
 
 
-def holding(steps: DataFrame, test: Column, seconds: int, to: str) -> DataFrame:
-    """``steps`` with whether ``test`` has held at every step for ``seconds``."""
+def holding(steps: DataFrame, test: Column, seconds: int, to: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``steps`` (of each ``by``) with whether ``test`` has held at every step for ``seconds``."""
     rows = steps.withColumn("_good", F.coalesce(test, F.lit(False)))
-    rows = rows.withColumn("_run", F.sum((~F.col("_good")).cast("int")).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    begun = F.min(F.when(F.col("_good"), F.col("t"))).over(Window.partitionBy("_run"))
+    rows = rows.withColumn("_run", F.sum((~F.col("_good")).cast("int")).over(Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    begun = F.min(F.when(F.col("_good"), F.col("t"))).over(Window.partitionBy(*by, "_run"))
     return rows.withColumn(to, F.col("_good") & (F.col("t") - begun >= seconds)).drop("_good", "_run")
 
 
@@ -89,6 +89,37 @@ def threshold_alerts(steps: DataFrame, seconds: int = 300) -> DataFrame:
     return holding(rows, F.col("requests") == 0, 120, "alert_down")
 
 
+def liveness(samples: DataFrame, span: tuple[int, int, int], look_back: int = 300, down: int = 120, absent: int = 300) -> DataFrame:
+    """(t, n_up, n_down, alert_down, alert_absent) at each step of ``span`` (first, last and step in seconds) of samples (series, t in microseconds, up).
+
+    A step sees a series' last sample if it is less than ``look_back``
+    seconds old; of samples at one time the greatest counts. ``n_up`` is the
+    number of series seen with a value other than 0, ``n_down`` of those that
+    have been at 0 for ``down`` seconds, the alert that there is one; a series
+    that isn't seen is not down. ``alert_absent``: no series has been seen for
+    ``absent`` seconds. Samples without a series, a time or a value count for
+    nothing. Samples combine by series and step before the shuffle, so what is
+    kept in order is a row a step and series, however many samples there are.
+    """
+    first, last, step = span
+    us = 1_000_000
+    sound = samples.where("series IS NOT NULL AND t IS NOT NULL AND up IS NOT NULL").where((F.col("t") > (first - look_back) * us) & (F.col("t") <= last * us))
+    at = F.greatest(F.lit(first), F.lit(first) + F.ceil((F.col("t") - first * us) / F.lit(step * us)) * step).cast("bigint")
+    seen = sound.groupBy("series", at.alias("s")).agg(F.max(F.struct("t", F.col("up").cast("double").alias("up"))).alias("sample")).where(F.col("s") <= last)
+    # a sample shows at its own step and at those that follow while it is young enough
+    steps = F.sequence("s", F.least(F.lit(last).cast("bigint"), F.col("s") + F.lit(look_back // step * step)), F.lit(step).cast("bigint"))
+    shown = seen.select("series", "sample", F.explode(steps).alias("s")).where(F.col("sample.t") > (F.col("s") - look_back) * us)
+    looked = shown.groupBy("series", F.col("s").alias("t")).agg(F.max("sample")["up"].alias("up"))
+    # a series that isn't seen at a step breaks its run at 0: runs are of steps in a row
+    row = F.row_number().over(Window.partitionBy("series", "_zero").orderBy("t"))
+    zeros = looked.withColumn("_zero", F.col("up") == 0).withColumn("_run", F.col("t") - row * step)
+    since = F.min("t").over(Window.partitionBy("series", "_zero", "_run"))
+    held = zeros.withColumn("_down", F.col("_zero") & (F.col("t") - since >= down))
+    counts = held.groupBy("t").agg(F.count_if(~F.col("_zero")).alias("n_up"), F.count_if("_down").alias("n_down"), F.lit(True).alias("_any"))
+    every = samples.sparkSession.range(first, last + 1, step).withColumnRenamed("id", "t").join(counts, "t", "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in ("n_up", "n_down")})
+    return holding(every, F.col("_any").isNull(), absent, "alert_absent").select("t", "n_up", "n_down", (F.col("n_down") > 0).alias("alert_down"), "alert_absent")
+
+
 def quantile(p: float, total: str, counts: list[str], bounds: tuple[float, ...]) -> Column:
     """The p quantile of cumulative buckets (columns ``counts`` with the upper bounds ``bounds``), linear within a bucket; beyond the last bucket its bound, null where ``total`` is 0."""
     rank = F.lit(p) * F.col(total)

@@ -162,6 +162,25 @@ def register(catalog: Catalog) -> None:
         found = counters.steadily_rising(counted_rows(spark, sf_dir), (MONTH[0], MONTH[1], 2700), 21600, 14400, 1800)
         return found.select("series", "t", F.round(F.col("least") * 1000 + _OFF, 4).alias("least_milli"), "rising")
 
+    alive = "event_type AS series, CASE WHEN user_id % 4 > 0 AND day(ts) % 3 > 0 THEN 1 ELSE 0 END AS up"
+    heard = "day(ts) NOT IN (11, 12) AND NOT (event_type = 'view' AND day(ts) = 20)"
+    wait = {"look_back": 3600, "down": 5400, "absent": 7200}
+
+    @catalog.query(
+        "liveness_alerts",
+        f"""WITH c AS (SELECT series, t, max(up) AS up FROM (SELECT {alive}, epoch_us(ts) AS t FROM events WHERE {heard}) GROUP BY ALL),
+        g AS (SELECT unnest(range({MONTH[0]}, {MONTH[1]} + 1, 900)) AS t), k AS (SELECT series, g.t, g.t::BIGINT * 1000000 AS us FROM (SELECT DISTINCT series FROM c), g),
+        l AS (SELECT k.series, k.t, CASE WHEN c.t > k.us - {wait['look_back']}::BIGINT * 1000000 THEN c.up END AS up FROM k ASOF LEFT JOIN c ON c.series = k.series AND k.us >= c.t),
+        z AS (SELECT *, up IS NOT NULL AND up = 0 AS zero, sum(CASE WHEN up IS NOT NULL AND up = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY t) AS run FROM l),
+        d AS (SELECT *, zero AND t - min(CASE WHEN zero THEN t END) OVER (PARTITION BY series, run) >= {wait['down']} AS down FROM z),
+        n AS (SELECT t, count(*) FILTER (up <> 0) AS n_up, count(*) FILTER (down) AS n_down, count(up) = 0 AS none FROM d GROUP BY t),
+        a AS (SELECT *, sum(CASE WHEN none THEN 0 ELSE 1 END) OVER (ORDER BY t) AS run FROM n)
+        SELECT t::BIGINT AS t, n_up, n_down, n_down > 0 AS alert_down, none AND t - min(CASE WHEN none THEN t END) OVER (PARTITION BY run) >= {wait['absent']} AS alert_absent FROM a""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        samples = table(spark, sf_dir, "events").where(heard).select(*[F.expr(x) for x in _split(alive)], F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+        return alerts.liveness(samples, (MONTH[0], MONTH[1], 900), **wait)
+
     # --- spans of two tables ---
 
     lines = "l_partkey % 7 AS k, l_orderkey * 3 AS s, l_orderkey * 3 + CASE l_linenumber WHEN 7 THEN 20000 ELSE l_quantity END AS e"

@@ -323,3 +323,14 @@ def test_kept_tables_are_deleted(spark):
     assert os.path.exists(path)
     shared.discard(spark)
     assert not os.path.exists(path)
+
+
+def test_liveness_by_hand(spark):
+    m = 60_000_000
+    # a: up, then 0 from minute 2 to 6, then never again; b: seen once; strays and nulls count for nothing
+    rows = [("a", 0, 1.0), *[("a", i * m, 0.0) for i in range(2, 7)], ("a", 2 * m, 0.0), ("b", 3 * m + 1, 1.0), ("b", 3 * m + 1, 0.0), (None, 4 * m, 0.0), ("c", None, 1.0), ("c", 5 * m, None), ("d", 10**15, 1.0), ("d", -(10**12), 1.0)]
+    got = {r.t // 60: (r.n_up, r.n_down, r.alert_down, r.alert_absent) for r in alerts.liveness(spark.createDataFrame(rows, "series string, t long, up double"), (0, 1200, 60)).collect()}
+    assert len(got) == 21 and [got[i][0] for i in range(10)] == [1, 1, 0, 0, 1, 1, 1, 1, 1, 0]
+    assert [i for i in got if got[i][1]] == [4, 5, 6, 7, 8, 9, 10] == [i for i in got if got[i][2]]
+    assert [i for i in got if got[i][3]] == list(range(16, 21))
+    assert alerts.liveness(spark.createDataFrame([], "series string, t long, up double"), (0, 600, 60)).where("alert_absent").count() == 6
