@@ -72,6 +72,7 @@ def _marked(name: str, kind: str, markers: str, value: str) -> Rule:
     return Rule(name, kind, rf"(?i)(?:{markers})[ \t]*({value})", rf"(?i)(?:{markers})", 1, left=((rf"{NOT_ASCII}\z", False),), stops=_ADDRESS_STOPS, strip=r" \t")
 
 
+# The patterns and hints of the rules.
 RULES = (
     Rule(
         "email", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@", validated=False, left=((r"[A-Za-z0-9._%+-]\z", False),), right=((r"\A(?:[A-Za-z0-9_%+-]|\.[A-Za-z0-9._%+-])", False),), check=checks.email

@@ -145,7 +145,11 @@ def infer_bounded(docs: DataFrame, predictor: Predictor, overlap: int = 64, para
     valid = plan_is_valid(plans.where(limit_error(F.col("total"), limit).isNull()), windows, overlap)
     errors = errors.unionByName(plans.select("doc_id", limit_error(F.col("total"), limit).alias("error")).where("error is not null")).unionByName(valid.where("not valid").select("doc_id", F.lit("invalid_plan").alias("error")))
     good = windows.join(valid.where("valid").select("doc_id"), "doc_id", "left_semi")
-    cut = good.join(docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text")), "doc_id").select("doc_id", "i", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+    # a text meets the list of its windows once and is cut inside its row, so that no window carries a whole text
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"))
+    listed = good.groupBy("doc_id").agg(F.collect_list(F.struct("i", "start", "end")).alias("_windows")).join(texts, "doc_id")
+    piece = lambda w: F.struct(w["i"].alias("i"), F.substring("_text", w["start"] + 1, w["end"] - w["start"]).alias("text"))
+    cut = listed.select("doc_id", F.inline(F.transform("_windows", piece)))
     asked = infer_windows(cut, predictor, parallel)
     failed = asked.groupBy("doc_id").agg(F.max(F.col("found").isNull()).alias("failed")).where("failed").select("doc_id", F.lit("model").alias("error"))
     rows = asked.select("doc_id", "i", F.inline("found")).join(good, ["doc_id", "i"]).where("start_cp >= 0 AND end_cp > start_cp AND end_cp <= end - start AND confidence BETWEEN 0 AND 1")
