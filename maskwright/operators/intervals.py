@@ -74,6 +74,45 @@ def anti(left: DataFrame, right: DataFrame, keys: list[str], how: str = "overlap
     return matches(left, right, keys, how, "_matched").where("NOT _matched").drop("_matched")
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, keys: list[str], sums: list[str] | None = None) -> DataFrame:
+    """Totals over the pairs of ``overlap_pairs``, by the left spans' place (keys, start, end), without making a pair.
+
+    ``spans``: left spans of that place; ``pairs``: their pairs; ``shared``:
+    places that the two of a pair share, over all pairs; and each of ``sums``,
+    whole-number columns of ``right``, over all pairs. Left spans that overlap
+    nothing have zeros. Ends stand before starts of the same place, so that the
+    spans begun before a left span's end, less those ended up to its start,
+    are the ones it meets; either number is a running sum over ends of spans
+    (``running``), of which each span has two. Sums are of 64 bits.
+    """
+    of = sums or []
+    place = [*keys, "start", "end"]
+    sound = F.coalesce(F.col("start") < F.col("end"), F.lit(False))
+    for k in keys:
+        sound &= F.col(k).isNotNull()
+    none = F.lit(None).cast("bigint")
+    marks = right.where(sound).select(*keys, none.alias("start"), none.alias("end"), *[F.col(c).cast("bigint").alias(f"_of{i}") for i, c in enumerate(of)], F.inline(_sides()))
+    asks = left.where(sound).select(*keys, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), *[none.alias(f"_of{i}") for i in range(len(of))], F.inline(_sides()))
+    mark, begins = F.col("start").isNull(), F.col("_turn") == 1
+    count = lambda test, value: F.when(mark & test, value)
+    values = {"_begun": ("sum", count(begins, F.lit(1).cast("bigint"))), "_ended": ("sum", count(~begins, F.lit(1).cast("bigint"))), "_at_begun": ("sum", count(F.lit(True), F.when(begins, F.col("_at")).otherwise(-F.col("_at"))))}
+    for i in range(len(of)):
+        values |= {f"_begun{i}": ("sum", count(begins, F.col(f"_of{i}"))), f"_ended{i}": ("sum", count(~begins, F.col(f"_of{i}")))}
+    found = running(asks.unionByName(marks), keys, [F.col("_at"), F.col("_turn")], values, "totals").where("start is not null").fillna(0, list(values))
+    met = lambda n: F.when(begins, -F.col(f"_ended{n}")).otherwise(F.col(f"_begun{n}"))
+    before = F.col("_at") * (F.col("_begun") - F.col("_ended")) - F.col("_at_begun")
+    totals = {"spans": begins.cast("bigint"), "pairs": met(""), "shared": F.when(begins, -before).otherwise(before)} | {c: met(i) for i, c in enumerate(of)}
+    lone = left.where(~sound).select(*keys, F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), *[F.lit(int(n == "spans")).cast("bigint").alias(f"_t_{n}") for n in totals])
+    each = found.select(*place, *[c.alias(f"_t_{n}") for n, c in totals.items()]).unionByName(lone)
+    return each.groupBy(*place).agg(*[F.sum(f"_t_{n}").alias(n) for n in totals])
+
+
+def _sides() -> Column:
+    """Where a span begins and ends, each a row: (_at, _turn), the end's turn before the beginning's."""
+    side = lambda c, turn: F.struct(F.col(c).cast("bigint").alias("_at"), F.lit(turn).alias("_turn"))
+    return F.array(side("start", 1), side("end", 0))
+
+
 def full(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
     """``overlap_pairs`` and, with a null on the other side, the spans of either table that overlap none."""
     pairs = overlap_pairs(left, right, keys, width)

@@ -122,6 +122,30 @@ def test_spans_against_all_pairs(spark, seed):
     assert intervals.overlap_pairs(a.limit(0), b, ["k"], 16).count() == 0
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_totals_of_overlaps_make_no_pairs(spark, seed):
+    rnd = random.Random(seed)
+    left, right = made_spans(rnd, 120), made_spans(rnd, 100)
+    frame = lambda rows: spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "k string, start long, end long, id int")
+    good = lambda s: None not in s and s[1] < s[2]
+    want = {}
+    for x in left:
+        met = [(j, y) for j, y in enumerate(right) if good(x) and good(y) and x[0] == y[0] and x[1] < y[2] and y[1] < x[2]]
+        new = (1, len(met), sum(min(x[2], y[2]) - max(x[1], y[1]) for _, y in met), sum(j for j, _ in met))
+        want[x] = tuple(a + b for a, b in zip(want.get(x, (0, 0, 0, 0)), new, strict=True))
+    got = intervals.overlap_totals(frame(left), frame(right), ["k"], ["id"])
+    assert {(r.k, r.start, r.end): (r.spans, r.pairs, r.shared, r.id) for r in got.collect()} == want
+    assert all(r.pairs == 0 for r in intervals.overlap_totals(frame(left), frame(right).limit(0), ["k"]).collect())
+
+
+@pytest.mark.parametrize("name", ["interval_overlaps"])
+def test_interval_queries_do_not_grow_with_pairs(spark, name, monkeypatch):
+    from maskwright.plans import queries as engine
+
+    monkeypatch.setattr(intervals, "overlap_pairs", lambda *_, **__: pytest.fail("pairs are made"))
+    assert engine.CATALOG.queries[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 # --- counters
 
 
