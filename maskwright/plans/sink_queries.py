@@ -10,8 +10,8 @@ from maskwright.catalog import Catalog
 from maskwright.operators import audit
 from maskwright.sources import audit_log, models
 from maskwright.sources.schema import checked
-from maskwright.sources.shared import folder
-from maskwright.sources.tables import table
+from maskwright.sources.shared import folder, kept
+from maskwright.sources.tables import spread, table
 from maskwright.streaming import requests
 from maskwright.streaming.session import in_order
 
@@ -90,10 +90,10 @@ def register(catalog: Catalog) -> None:
                CASE WHEN error IS NULL AND m <> 7 AND s <> 4 AND l <> 3 AND c_custkey % 29 <> 1 AND c_custkey % 31 <> 1 THEN 13 + strlen(c_name) END AS end_byte FROM e""",
     )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Клиент "), "c_name").alias("text"), F.expr(replies("STRING")).alias("answer"))
-        found = models.model_candidates(models.answered(rows), rows).select("doc_id", F.inline("models"))
-        said = models.answers(rows).select("doc_id", "error")
-        return said.join(found, "doc_id", "left").select(F.col("doc_id").alias("c_custkey"), "error", "type", F.col("end").alias("end_byte"))
+        rows = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")).select("doc_id", F.concat(F.lit("Клиент "), "c_name").alias("text"), F.expr(replies("STRING").replace("c_custkey", "doc_id")).alias("answer"))
+        said = kept(models.answers(rows).drop("answer"), "answers")
+        found = models.model_candidates(models.entities_of(said), said).select("doc_id", F.inline("models"))
+        return said.select("doc_id", "error").join(found, "doc_id", "left").select(F.col("doc_id").alias("c_custkey"), "error", "type", F.col("end").alias("end_byte"))
 
     # --- sinks ---
 

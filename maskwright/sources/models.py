@@ -39,7 +39,12 @@ def answers(docs: DataFrame, answer: str = "answer") -> DataFrame:
 
 def answered(docs: DataFrame, answer: str = "answer") -> DataFrame:
     """The table of model entities (``SCHEMA``) of the documents whose answer is sound."""
-    return answers(docs, answer).select(F.col("doc_id").cast("long"), F.inline("entities")).select("doc_id", "label", "start_cp", "end_cp", "confidence", "model")
+    return entities_of(answers(docs, answer))
+
+
+def entities_of(said: DataFrame) -> DataFrame:
+    """The same from what ``answers`` gave; where that is used more than once, keep it first (``shared.kept``)."""
+    return said.select(F.col("doc_id").cast("long"), F.inline("entities")).select("doc_id", "label", "start_cp", "end_cp", "confidence", "model")
 
 
 def resolved_type() -> Column:

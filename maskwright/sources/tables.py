@@ -11,6 +11,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as there are cores, where it comes in fewer: for costly work on rows of a few unsplittable files. What comes in more partitions stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` dealt evenly, three partitions a core at least, for costly work on rows. The number of partitions of files says nothing of that: a row group is not split, so most of them may be empty and a few tasks would do all."""
+    least = 3 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, df.rdd.getNumPartitions()))

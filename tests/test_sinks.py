@@ -219,3 +219,31 @@ def test_support_and_types_that_only_negatives_have(spark):
     got = {r.type: (r.support, r.predicted, r.tp, r.fp, r.fn, r.fp_on_hard_negative, r.precision_defined, r.recall_defined) for r in scoring.detection_metrics(truth, found, doubted).collect()}
     assert got == {"X": (3, 3, 2, 1, 1, 1, True, True), "Y": (1, 0, 0, 0, 1, 0, False, True), "Z": (0, 1, 0, 1, 0, 0, True, False), "W": (0, 0, 0, 0, 0, 0, False, False)}
     assert scoring.detection_metrics(truth.limit(0), found.limit(0)).count() == 0 and scoring.detection_metrics(truth, found).where("type = 'X'").first().fp_on_hard_negative == 0
+
+
+def test_answers_are_decoded_once(spark, monkeypatch):
+    from maskwright.plans import queries as engine
+    from maskwright.sources import models
+
+    calls, decode = [], models.answers
+    monkeypatch.setattr(models, "answers", lambda *args: calls.append(1) or decode(*args))
+    plan = engine.CATALOG.queries["model_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "parse_json" not in plan  # what is joined was written before
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    from maskwright.sources.tables import spread
+
+    path = str(tmp_path / "one")
+    spark.range(1000).withColumn("text", F.md5(F.col("id").cast("string"))).coalesce(1).write.parquet(path)
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        many = spark.read.parquet(path)
+        assert many.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism  # of which one has rows
+        sizes = [n for n in spread(many).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
