@@ -39,6 +39,18 @@ class Spark:
         """The largest k in 0..top for which ``test`` (over k) holds."""
         return f"array_max(filter(sequence(0, {top}), k -> {test}))"
 
+    def window(self, side: str, s: str, top: int) -> str:
+        """The characters at one side of ``s`` within ``top`` bytes; a mark stands for one that the window cuts. Cut by bytes, which costs what the window is long."""
+        inner = lambda i: f"substring(w_.raw, {i} + 1, 1) BETWEEN X'80' AND X'BF'"  # noqa: E731  a byte that goes on with a character
+        steps = [str(top - k) if side == "left" else f"(w_.n - {top - k})" for k in range(4)]
+        edge = "CASE " + " ".join(f"WHEN NOT {inner(i)} THEN {i}" for i in steps[:3]) + f" ELSE {steps[3]} END"
+        if side == "left":
+            cut = f"CAST(substring(w_.raw, 1, e_) AS STRING) || CASE WHEN e_ < {top} THEN '\u00a7' ELSE '' END"
+        else:
+            cut = f"CASE WHEN w_.n - e_ < {top} THEN '\u00a7' ELSE '' END || CAST(substring(w_.raw, e_ + 1, w_.n - e_) AS STRING)"
+        bound = f"transform(array(named_struct('raw', encode({s}, 'UTF-8'), 'n', octet_length({s}))), w_ -> transform(array({edge}), e_ -> {cut})[0])[0]"
+        return f"(CASE WHEN octet_length({s}) <= {top} THEN {s} ELSE {bound} END)"
+
 
 class Duck(Spark):
     """DuckDB SQL (RE2)."""
@@ -68,5 +80,10 @@ class Duck(Spark):
     def most(self, top: int, test: str) -> str:
         return f"list_max(list_filter(range(0, {top} + 1), lambda k: {test}))"
 
+    def window(self, side: str, s: str, top: int) -> str:
+        inside = f"{side}({s}, {self.most(top, f'{self.bytes(f'{side}({s}, CAST(k AS INT))')} <= {top}')})"
+        guard = f"CASE WHEN {self.bytes(s)} > {top} AND {self.bytes(inside)} < {top} THEN '\u00a7' ELSE '' END"
+        return f"({guard} || {inside})" if side == "right" else f"({inside} || {guard})"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -65,7 +65,7 @@ _NEAR_EDGES = {"left": ((rf"{NOT_ASCII}\z", False),), "right": ((rf"\A{NOT_ASCII
 
 
 def _digits(name: str, kind: str, pattern: str, *phrases: str, validated: bool = False) -> Rule:
-    return Rule(name, kind, pattern, "[0-9]", validated=validated, left=(_DIGIT_EDGE_LEFT, context(*phrases)), right=(_DIGIT_EDGE_RIGHT,))
+    return Rule(name, kind, pattern, f"(?i){'|'.join(phrases)}", validated=validated, left=(_DIGIT_EDGE_LEFT, context(*phrases)), right=(_DIGIT_EDGE_RIGHT,))
 
 
 def _marked(name: str, kind: str, markers: str, value: str) -> Rule:

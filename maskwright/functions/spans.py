@@ -29,10 +29,7 @@ def strip_value(d: Spark, rule: Rule, value: str) -> str:
 def near_address(d: Spark, before: str, after: str, value: str) -> str:
     """An address word within 60 bytes on the line; a letter that the window cuts only guards."""
     words = "|".join(sorted(ADDRESS_NEAR, key=len, reverse=True))
-    inside = lambda side, s: f"{side}({s}, {d.most(_NEAR_BYTES, f'{d.bytes(f'{side}({s}, CAST(k AS INT))')} <= {_NEAR_BYTES}')})"
-    left = f"(CASE WHEN {d.bytes(before)} > {_NEAR_BYTES} AND {d.bytes(inside('right', before))} < {_NEAR_BYTES} THEN '\u00a7' ELSE '' END || {inside('right', before)})"
-    right = f"({inside('left', after)} || CASE WHEN {d.bytes(after)} > {_NEAR_BYTES} AND {d.bytes(inside('left', after))} < {_NEAR_BYTES} THEN '\u00a7' ELSE '' END)"
-    return d.like(f"({left} || {value} || {right})", rf"(?i)(?:\A|[\x00-\x7F])(?:{words})(?:\z|[\x00-\x7F])")
+    return d.like(f"({d.window('right', before, _NEAR_BYTES)} || {value} || {d.window('left', after, _NEAR_BYTES)})", rf"(?i)(?:\A|[\x00-\x7F])(?:{words})(?:\z|[\x00-\x7F])")
 
 
 def holds(d: Spark, rule: Rule, left: str, match: str, value: str, right: str, cut: str, kept: str, before: str, after: str) -> str:
