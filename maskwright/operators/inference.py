@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.operators.windows import plan_is_valid
+from maskwright.sources.shared import kept
+from maskwright.sources.tables import spread
 
 TOKEN_LIMIT = 100_000
 _WINDOWS = "doc_id long, i int, start int, end int, tokens int"
@@ -106,7 +108,8 @@ def plan_windows(docs: DataFrame, predictor: Predictor, overlap: int) -> tuple[D
             rows = [planned(t) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_chars", "total", "windows"])
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, total long, windows array<struct<i:int,start:int,end:int,tokens:int>>")
+    made = spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_chars long, total long, windows array<struct<i:int,start:int,end:int,tokens:int>>")
+    made = kept(made, "plans")  # of no text, and read more than once
     return made.select("doc_id", "n_chars", "total", F.lit(predictor.capacity).alias("capacity")), made.select("doc_id", F.inline("windows"))
 
 
@@ -150,7 +153,7 @@ def infer_bounded(docs: DataFrame, predictor: Predictor, overlap: int = 64, para
     listed = good.groupBy("doc_id").agg(F.collect_list(F.struct("i", "start", "end")).alias("_windows")).join(texts, "doc_id")
     piece = lambda w: F.struct(w["i"].alias("i"), F.substring("_text", w["start"] + 1, w["end"] - w["start"]).alias("text"))
     cut = listed.select("doc_id", F.inline(F.transform("_windows", piece)))
-    asked = infer_windows(cut, predictor, parallel)
+    asked = kept(infer_windows(cut, predictor, parallel), "asked")  # the model is asked once for each window
     failed = asked.groupBy("doc_id").agg(F.max(F.col("found").isNull()).alias("failed")).where("failed").select("doc_id", F.lit("model").alias("error"))
     rows = asked.select("doc_id", "i", F.inline("found")).join(good, ["doc_id", "i"]).where("start_cp >= 0 AND end_cp > start_cp AND end_cp <= end - start AND confidence BETWEEN 0 AND 1")
     rows = rows.join(failed, "doc_id", "left_anti")

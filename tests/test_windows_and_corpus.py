@@ -58,3 +58,37 @@ def test_expired_mappings_start_anew(spark):
     hand = [r for r in sorted(got, key=lambda r: r.at) if r.token == "hand"]
     assert [r.outcome for r in hand] == ["stored", "conflict", "replaced", "same", "conflict", "same", "replaced", "same", "conflict"]
     assert hand[4].stored == "b" and hand[4].first_at == start + timedelta(seconds=10)
+
+
+class Noted:
+    """Notes in a file each text that it counts or is asked about."""
+
+    model, capacity = "noted", 4
+
+    def __init__(self, path):
+        self.path = path
+
+    def note(self, what):
+        with open(self.path, "a") as f:
+            f.write(what + "\n")
+
+    def tokens(self, text):
+        if len(text) == 7:
+            self.note("counted")
+        return [(i, i + 1) for i in range(len(text))]
+
+    def infer(self, texts):
+        for _ in texts:
+            self.note("asked")
+        return [[("X", 0, 1, 0.5)] for _ in texts]
+
+
+def test_each_window_is_asked_about_once(spark, tmp_path):
+    from maskwright.operators import inference
+
+    path = tmp_path / "noted"
+    docs = spark.createDataFrame([(i, "abcdefg") for i in range(3)], "doc_id long, text string")
+    found, errors = inference.infer_bounded(docs, Noted(str(path)), 1)
+    assert found.count() == 6 and errors.count() == 0  # two windows a text
+    said = path.read_text().split()
+    assert said.count("asked") == 6 and said.count("counted") == 3
