@@ -80,44 +80,52 @@ def expiring_process(requests: DataFrame, mask: Callable[[str], str], ttl_second
 
 
 class Slots(StatefulProcessor):
-    """The slots of a part of a scope in map state: (type, value) -> when it began and ends. Each one goes by a timer of its own."""
+    """The slots of a part of a scope, (type, value) and when each began and ends, as one value: asking the store for one slot costs more than carrying it along. A slot goes when the watermark has passed its end; the part's only timer is at the first end."""
 
     def __init__(self, ttl_seconds: int) -> None:
-        self.ttl = ttl_seconds
+        self.ttl = ttl_seconds * _MICRO
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "type string, value string", "slot_at long, ends long")
-        self.due = handle.getMapState("due", "at long", "slots array<struct<type: string, value: string>>")
+        self.slots = handle.getValueState("slots", "types array<string>, values array<string>, begun array<long>, due long")
+
+    def _held(self) -> tuple[dict[tuple, int], int | None]:
+        """When each slot began, and the time of the timer."""
+        if not self.slots.exists():
+            return {}, None
+        types, values, begun, due = self.slots.get()
+        return dict(zip(zip(types, values, strict=True), begun, strict=True)), due
+
+    def _keep(self, held: dict[tuple, int], old: int | None) -> None:
+        """Write the slots; their timer is at the first millisecond after the first end."""
+        due = (min(held.values()) + self.ttl) // 1000 + 1 if held else None
+        if due != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if held:
+            self.slots.update(([t for t, _ in held], [v for _, v in held], list(held.values()), due))
+        else:
+            self.slots.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _rows(rows, ["at", "request_id"])
-        held: dict[tuple, tuple] = {}
-        begun: dict[int, list] = {}
+        held, due = self._held()
         starts = []
         for kind, value, at in zip(batch["type"], batch["value"], _micros(batch["at"]), strict=True):
             slot = (kind, value)
-            if slot not in held and self.slots.containsKey(slot):
-                held[slot] = tuple(self.slots.getValue(slot))
-            if slot not in held or at >= held[slot][1]:
-                held[slot] = (at, at + self.ttl * _MICRO)
-                begun.setdefault(held[slot][1] // 1000 + 1, []).append(slot)
-            starts.append(held[slot][0])
-        for due, slots in begun.items():
-            before = self.due.getValue((due,))[0] if self.due.containsKey((due,)) else []
-            self.due.updateValue((due,), ([*map(tuple, before), *slots],))
-            self.handle.registerTimer(due)
-        for slot in {s for slots in begun.values() for s in slots}:
-            self.slots.updateValue(slot, held[slot])
+            begun = held.get(slot)
+            if begun is None or at >= begun + self.ttl:
+                held[slot] = begun = at
+            starts.append(begun)
+        self._keep(held, due)
         yield pd.DataFrame({"request_id": batch["request_id"].tolist(), "slot_at": pd.to_datetime(pd.Series(starts, dtype="int64"), unit="us")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.get_expiry_time_in_ms() if hasattr(expiredTimerInfo, "get_expiry_time_in_ms") else expiredTimerInfo.getExpiryTimeInMs()
-        if self.due.containsKey((due,)):
-            for slot in map(tuple, self.due.getValue((due,))[0]):
-                if self.slots.containsKey(slot) and self.slots.getValue(slot)[1] // 1000 + 1 <= due:
-                    self.slots.removeKey(slot)
-            self.due.removeKey((due,))
+        passed = timerValues.getCurrentWatermarkInMs()
+        alive = {slot: at for slot, at in self._held()[0].items() if (at + self.ttl) // 1000 + 1 > passed}
+        self._keep(alive, None)  # the timer goes with this call
         yield from ()
 
     def close(self) -> None:
