@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.registry import extended
@@ -15,6 +16,7 @@ from maskwright.operators.store import Conflict, VaultStore
 from maskwright.sources import shared
 from maskwright.streaming.expiry import expiring_process
 from maskwright.streaming.expiry import token_slots as slots_of
+from maskwright.streaming.process import process_stream
 from maskwright.streaming.session import ROCKSDB, in_order, run, settings, stream_of
 from maskwright.streaming.sliding import counted, dropped, sliding_ratios
 
@@ -299,6 +301,23 @@ def test_slots_expire_one_by_one(spark):
     assert query.lastProgress.stateOperators[0].numRowsTotal <= 6
 
 
+def test_a_scope_has_few_values_in_the_store(spark):
+    """Each slot a value of its own is asked for one by one, which takes most of the time."""
+    rows = at(spark.range(3000).selectExpr("CAST(id % 3 AS INT) AS part", "id AS request_id", "'s' AS scope", "'T' AS type", "CAST(id % 1000 AS STRING) AS value", "CAST(id % 3 AS DOUBLE) AS at"))
+    found, query = run(slots_of(in_order(rows, F.col("part"), 3, files=1), 100), "slots", ROCKSDB)
+    start = F.min("at").over(Window.partitionBy("value"))
+    assert found.select("request_id", "slot_at").exceptAll(rows.select("request_id", start)).isEmpty() and found.count() == 3000
+    assert query.lastProgress.stateOperators[0].numRowsTotal < 400
+
+
+def test_a_part_of_ids_is_one_state(spark):
+    rows = spark.range(6000).selectExpr("CAST(id DIV 3000 AS INT) AS part", "CASE WHEN id % 3000 > 0 THEN id % 3000 END AS payload_id", "id AS seq", "CASE WHEN id < 3000 THEN 'x' ELSE '<X>' END AS payload")
+    found, query = run(process_stream(in_order(rows, F.col("part"), 2, files=1), lambda x: f"<{x.upper()}>", parts=50), "states")
+    assert {(r.outcome, r.reply, r.n) for r in found.groupBy("outcome", "reply").agg(F.count("*").alias("n")).collect()} == {("masked", "<X>", 3000), ("restored", "x", 3000)}
+    assert found.where("payload_id is null").count() == 2 and found.select("payload_id", "seq").exceptAll(rows.select("payload_id", "seq")).isEmpty()
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 50
+
+
 def test_the_store_forgets_by_the_clock(spark):
     out = shared.folder(spark, "clock")
     source = f"{out}/in"
