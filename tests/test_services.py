@@ -11,12 +11,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions.registry import extended
+from maskwright.functions.rules import BY_NAME
+from maskwright.functions.spans import with_candidates
 from maskwright.operators import alerts, audit, inference, process, runtime, scoring, tokens, vault
 from maskwright.operators import entities as E
 from maskwright.operators.ranks import nearest_rank
+from maskwright.plans.detection import spans
+from maskwright.plans.entity_queries import _with_models
 from maskwright.plans.service_queries import WordPredictor
 from maskwright.sources import corpus, requests, settings
-from maskwright.sources.models import model_candidates
+from maskwright.sources.models import model_candidates, with_models
 from maskwright.streaming.process import process_stream
 
 KEY = bytes(range(32))
@@ -225,6 +229,21 @@ def test_a_partial_model_row_fails_its_document(spark):
     assert [(r.doc_id, len(r.models), r.models[0].end) for r in found] == [(2, 1, 12)]
 
 
+def test_models_of_a_row_need_no_join(spark):
+    docs = spark.createDataFrame([(i, "Иванов 4111111111111111 тут") for i in range(9)], "doc_id long, text string")
+    card, name = ("CREDIT_CARD", 7, 23, 0.9, "rubert"), ("LAST_NAME", 0, 6, 0.9, "rubert")
+    said = {0: [card, name], 1: [("CREDIT_CARD", 7, 22, 0.9, "rubert"), name], 2: [name, ("NO_SUCH", 0, 6, 0.9, "rubert")], 3: [name, (*name[:2], None, *name[3:])], 4: [name, ("", 0, 6, 0.9, "rubert")], 5: [name, ("LAST_NAME", 3, 99, 0.9, "rubert")], 6: [name, ("LAST_NAME", 0, 6, 1.5, "rubert")], 7: [], 8: [("LAST_NAME", 4, 2, 0.9, "rubert"), ("CREDIT_CARD", 7, 23, 0.9, "gliner")]}
+    fields = "label string, start_cp int, end_cp int, confidence double, model string"
+    rows = spark.createDataFrame([(i, *m) for i, ms in said.items() for m in ms], f"doc_id long, {fields}")
+    want = {r.doc_id: sorted(r.models) for r in model_candidates(rows, docs, spans(docs, (BY_NAME["card"],))).collect()}
+    held = with_candidates(docs, (BY_NAME["card"],)).join(spark.createDataFrame(list(said.items()), f"doc_id long, said array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"), "doc_id")
+    got = {r.doc_id: sorted(r.models) for r in with_models(held, F.col("said"), "candidates").collect()}
+    assert {i for i, m in got.items() if m} == {0, 1, 4, 5, 6} and len(got[0]) == 2
+    assert {i: m for i, m in got.items() if m} == want
+    plan = _with_models(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_candidates_within_a_character_are_dropped(spark):
     one = lambda a, b, c, d: ("LAST_NAME", a, b, c, d, 0.9, ["rubert"])
     rows = [(1, "Иванов", [one(0, 12, 0, 6), one(1, 12, 0, 6), one(0, 11, 0, 6), one(0, 99, 0, 6), one(4, 4, 2, 2)])]
