@@ -68,7 +68,8 @@ def prefixes(items: str, zero: str, join: Callable[[str, str], str]) -> str:
     blocks = f"transform(sequence(0, greatest(size(f_) - 1, 0) div {_BLOCK}), k -> slice(f_, CAST(k * {_BLOCK} + 1 AS INT), {_BLOCK}))"
     inner = f"transform({blocks}, z -> {fold('z')})"
     whole = f"flatten(transform(w_, (w, i) -> transform(w.out, o -> {join('t_.out[i]', 'o')})))"
-    return let(items, "f_", let(inner, "w_", let(fold("transform(w_, w -> w.to)"), "t_", whole)))
+    few = f"WHEN size(f_) < 2 THEN slice(array({zero}), 1, size(f_)) WHEN size(f_) <= {_BLOCK} THEN {fold('f_')}.out"
+    return let(items, "f_", f"CASE {few} ELSE {let(inner, 'w_', let(fold('transform(w_, w -> w.to)'), 't_', whole))} END")
 
 
 def _cyrillic_only(hint: str) -> bool:
@@ -83,28 +84,30 @@ def _found(rule: Rule, text: str) -> str:
     the offsets, in characters and bytes; they are taken in one pass, and only
     if a match passes the checks. Matches and gaps are bound once (``b``);
     each match sees the gap before it with the end of the match before that,
-    and the gap and match after it.
+    and the gap and match after it. Steps that a rule has no use for are left
+    out: each one is interpreted and copies its strings.
     """
     p = SPARK.lit(rule.pattern)
     value = f"regexp_extract_all({text}, {p}, 1)" if rule.group else "array()"
     bound = f"array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1), 'v', {value}))"
-    n = "size(b.m)"
-    value = "b.v" if rule.group else "b.m"
-    columns = f"named_struct('m', b.m, 'v', {value}, 'gap', slice(b.g, 1, {n}), 'then', slice(b.g, 2, {n}), 'last', slice(concat(array(''), b.m), 1, {n}), 'next', slice(concat(b.m, array('')), 2, {n}))"
-    zipped = f"transform(array({columns}), c -> arrays_zip(c.m, c.v, c.gap, c.then, c.last, c.next))[0]"
     lengths = "transform(b.m, (m, i) -> named_struct('c', length(b.g[i]) + length(m), 'b', CAST(octet_length(b.g[i]) + octet_length(m) AS BIGINT)))"
     before_each = prefixes(lengths, "named_struct('c', 0, 'b', 0L)", lambda x, y: f"named_struct('c', {x}.c + {y}.c, 'b', {x}.b + {y}.b)")
     running = f"transform({before_each}, (p, i) -> named_struct('c', p.c + length(b.g[i]), 'b', p.b + octet_length(b.g[i])))"
-    seen = "named_struct('i', i, 'match', x.m, 'value', x.v, 'left', right(x.last, 3) || x.gap, 'right', x.then || x.next)"
+    left = "CASE WHEN i = 0 THEN b.g[0] ELSE right(b.m[i - 1], 3) || b.g[i] END"
+    right = "CASE WHEN i + 1 = size(b.m) THEN b.g[i + 1] ELSE b.g[i + 1] || b.m[i + 1] END"
+    seen = f"transform(b.m, (m, i) -> named_struct('i', i, 'match', m, 'value', {'b.v[i]' if rule.group else 'm'}, 'left', {left}, 'right', {right}))"
     keep = "'i', x.i, 'match', x.match, 'value', x.value, 'left', x.left, 'right', x.right"
     # 80 characters on either side are more than any test of the surroundings looks at; that many and a cut one are in 324 bytes
     stretch = lambda start, size: f"CAST(substring(raw, CAST({start} + 1 AS INT), CAST({size} AS INT)) AS STRING)"
     before = f"substring_index(right({stretch('greatest(o[x.i].b - 324, 0L)', 'least(o[x.i].b, 324L)')}, 80), '\\n', -1)"
     after = f"substring_index(left({stretch('o[x.i].b + octet_length(x.match)', '324')}, 80), '\\n', 1)"
-    cut = f"transform(transform({zipped}, (x, i) -> {seen}), x -> named_struct({keep}, 'cut', {cut_value(SPARK, rule, 'x.value')}))"
-    kept = f"transform({cut}, x -> named_struct({keep}, 'cut', x.cut, 'kept', {strip_value(SPARK, rule, 'x.cut')}))"
-    good = f"filter({kept}, x -> {holds(SPARK, rule, 'x.left', 'x.match', 'x.value', 'x.right', 'x.cut', 'x.kept', before, after)})"
-    placed = "transform(q, x -> named_struct('kept', x.kept, 's', o[x.i].b + octet_length(x.match) - octet_length(x.value), 'c', o[x.i].c + length(x.match) - length(x.value)))"
+    cut, kept = "x.value", "x.value"
+    if rule.stops:
+        seen, cut, kept = f"transform({seen}, x -> named_struct({keep}, 'cut', {cut_value(SPARK, rule, 'x.value')}))", "x.cut", "x.cut"
+    if rule.strip:
+        seen, kept = f"transform({seen}, x -> named_struct({keep}, 'cut', {cut}, 'kept', {strip_value(SPARK, rule, cut)}))", "x.kept"
+    good = f"filter({seen}, x -> {holds(SPARK, rule, 'x.left', 'x.match', 'x.value', 'x.right', cut, kept, before, after)})"
+    placed = f"transform(q, x -> named_struct('kept', {kept}, 's', o[x.i].b + octet_length(x.match) - octet_length(x.value), 'c', o[x.i].c + length(x.match) - length(x.value)))"
     sources = "array('regex', 'validator')" if rule.validated else "array('regex')"
     out = f"transform({placed}, x -> named_struct('type', '{rule.type}', 'start', x.s, 'end', x.s + octet_length(x.kept), 'cstart', x.c, 'cend', x.c + length(x.kept), 'confidence', 1.0D, 'sources', {sources}))"
     none = f"CAST(array() AS array<{CANDIDATE}>)"
@@ -137,7 +140,7 @@ def with_candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str
 def in_order(candidates: Column) -> Column:
     """Candidates by start, end and type."""
     keyed = F.transform(candidates, lambda c: F.struct(c["start"], c["end"], c["type"], c.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda k: k["c"])
+    return F.transform(F.sort_array(keyed), lambda k: k["c"])
 
 
 def rule_spans_sql(rule: Rule, docs: str, text: str = "text", places: bool = False) -> str:

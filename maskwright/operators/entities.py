@@ -42,14 +42,14 @@ def _let(value: str, name: str, body: str) -> str:
 
 def _runs(array: str, same: str) -> str:
     """Runs of neighbours of an array: ``same`` tells of ``p`` and ``q``, which follows it, whether they belong together."""
-    test = _let("named_struct('p', a[i - 1], 'q', a[i])", "n", same.replace("p.", "n.p.").replace("q.", "n.q."))
+    test = same.replace("p.", "a[i - 1].").replace("q.", "a[i].")
     starts = f"filter(transform(a, (x, i) -> i), i -> CASE WHEN i = 0 THEN true ELSE NOT ({test}) END)"
     return _let(array, "a", _let(starts, "s", "transform(s, (b, k) -> slice(a, b + 1, (CASE WHEN k + 1 < size(s) THEN s[k + 1] ELSE size(a) END) - b))"))
 
 
 def _sorted(array: str, *keys: str) -> str:
     named = ", ".join(f"'k{i}', {k}" for i, k in enumerate(keys))
-    return f"transform(array_sort(transform({array}, c -> named_struct({named}, 'c', c))), k -> k.c)"
+    return f"transform(sort_array(transform({array}, c -> named_struct({named}, 'c', c))), k -> k.c)"
 
 
 def _unique(array: str) -> str:
@@ -115,7 +115,7 @@ def _resolved(array: str) -> str:
     step = f"""CASE WHEN NOT exists(acc, w -> {overlap}) THEN concat(acc, array({new}))
         WHEN exists(acc, w -> {inside}) THEN transform(acc, w -> CASE WHEN {inside} THEN CAST(named_struct('c', w.c, 'parts', concat(w.parts, array(c))) AS {_MERGED}) ELSE w END) ELSE acc END"""
     won = f"aggregate({order}, CAST(array() AS array<{_MERGED}>), (acc, c) -> {step})"
-    settled = f"transform(array_sort(transform({won}, w -> named_struct('s', w.c.start, 'e', w.c.end, 't', w.c.type, 'w', w))), k -> k.w)"
+    settled = f"transform(sort_array(transform({won}, w -> named_struct('s', w.c.start, 'e', w.c.end, 't', w.c.type, 'w', w))), k -> k.w)"
     alone = f"array(CAST(named_struct('c', g[0], 'parts', CAST(array() AS array<{PLACED}>)) AS {_MERGED}))"
     return _let(_unique(array), "u", _let(first, "f", f"flatten(transform({clusters}, g -> CASE WHEN size(g) = 1 THEN {alone} ELSE {settled} END))"))
 

@@ -133,3 +133,19 @@ def test_windows_of_bytes_hold_whole_characters(spark):
 def test_rules_of_digits_are_not_searched_without_their_phrases():
     for name in ("passport", "division_code", "driver_license_4_6", "driver_license_2_2_6", "cvv", "pin"):
         assert not re.search(BY_NAME[name].hint, "order 123 4567 of 12-34, 4510 123456") and re.search(BY_NAME[name].hint, "Паспорт, код подразделения, ВУ, CVV, PIN")
+
+
+def test_offsets_of_few_and_many_matches(spark):
+    counts = (0, 1, 2, 3, 255, 256, 257, 600)
+    texts = spark.createDataFrame([(n, "".join(f"ж a{i}@example.com" for i in range(n))) for n in counts], "doc_id long, text string")
+    for r in with_candidates(texts, (BY_NAME["email"],)).collect():
+        raw = r.text.encode()
+        assert [raw[c.start : c.end].decode() for c in r.candidates] == [r.text[c.cstart : c.cend] for c in r.candidates] == [f"a{i}@example.com" for i in range(r.doc_id)]
+
+
+def test_a_rule_takes_no_step_it_has_no_use_for():
+    """Each step is interpreted for every match, which is most of the time of detection."""
+    from maskwright.functions.spans import _found
+
+    assert not any("arrays_zip" in _found(r, "text") for r in RULES)
+    assert not any("'cut'" in _found(r, "text") for r in RULES if not r.stops and not r.strip)
